@@ -8,7 +8,18 @@ from pyspark.sql import functions as F
 from dossier.llm.curriculum import mix
 from dossier.llm.decontaminate import find_contamination
 from dossier.llm.exact_dedup import exact_dedup
-from dossier.session import prepare, read_table
+from dossier.llm.simhash import near_duplicates
+from dossier.llm.substring_dedup import remove_repeats
+from dossier.llm.token_counts import token_counts
+from dossier.llm.token_files import read_token_files, write_token_files
+from dossier.session import prepare, read_table, table_path
+
+
+def tokenizer_path(name: str) -> str:
+    """A file of the public tokenizers; they stay where they are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +27,25 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = table_path(spark, "tokens")
+    write_token_files(read_table(spark, sf_dir, "documents"), out, tokenizer_path("word_bpe_49k.json"))
+    return read_token_files(spark, out).withColumnRenamed("doc", "doc_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -26,6 +56,10 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_token_counts": op2_token_counts,
+    "op3_simhash": op3_simhash,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_token_files": op5_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix": op8_mix,
 }
@@ -52,6 +86,18 @@ SQL = {
         select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
                sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
         from d left join cover using (doc_id) left join its using (doc_id)""",
+    "op4_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+        win as (
+            select doc_id, i, array_to_string(w[i:i + 34], ' ') g
+            from (select doc_id, w, unnest(range(1, len(w) - 33)) i from d where len(w) >= 35)),
+        many as (select g from win group by g having count(*) > 1),
+        gone as (select distinct doc_id, unnest(range(i, i + 35)) k from win join many using (g)),
+        kept as (
+            select doc_id, string_agg(word, ' ' order by k) s, count(*) n
+            from (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) k from d) anti join gone using (doc_id, k) group by 1)
+        select doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(s, '')) kept_sha256
+        from d left join kept using (doc_id)""",
     "op7_exact_dedup": """
         select doc_id, max(doc_id) over w keep_id, count(*) over w::bigint group_size,
                doc_id = max(doc_id) over w kept, sha256(coalesce(text, '')) text_sha256

@@ -90,7 +90,7 @@ def _sketch(bits: int, width: int):
     return run
 
 
-def _merge(key, table: pa.Table) -> pa.Table:
+def _merge(key, table):
     """A page's cells whose counts, summed over partitions, reach two."""
     count = np.zeros(PAGE, np.uint8)
     for name, by in (("once", 1), ("more", 2)):

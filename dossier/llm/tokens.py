@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from dossier.llm.words import spans, utf8
 
 #: Pieces a worker remembers; beyond it the memory starts afresh.
-MEMORY = 300_000
+MEMORY = 1_000_000
 _open: dict[str, object] = {}
 _memories: dict[tuple, object] = {}
 
@@ -28,8 +29,33 @@ def tokenizer(path: str):
     return _open[path]
 
 
-def _pieces_spaced(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cuts of texts before each ASCII space that follows something else.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _kind(tok) -> tuple[bool, bool, list[bytes]]:
+    """Whether pre-tokens part letters from marks, whether case is dropped, and the added tokens."""
+    spec = json.loads(tok.to_str())
+    pre = json.dumps(spec["pre_tokenizer"])
+    parts = "ByteLevel" in pre and ('"use_regex": true' in pre or "[^\\\\s\\\\p{L}\\\\p{N}]+" in pre)
+    return parts, "Lowercase" in json.dumps(spec["normalizer"]), [x["content"].encode() for x in spec["added_tokens"]]
+
+
+def _inner(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places between an ASCII letter and an ASCII mark other than an apostrophe: always ends of a pre-token."""
+    cut = np.zeros(len(data), bool)
+    letter, mark = _LETTER[data], _MARK[data]
+    cut[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    cut[at[at < len(data)]] = False
+    return cut
+
+
+def _pieces_spaced(data: np.ndarray, at: np.ndarray, inner: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts of texts before each ASCII space that follows something else, and inside words.
 
     A byte-level pre-token has white space at its start only, or is all white space, and matching goes
     on from its end without looking back; so such a place is always a boundary, and the pieces'
@@ -42,13 +68,24 @@ def _pieces_spaced(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     unsure[2:] |= (data[:-2] >= 0xE1) & (data[:-2] <= 0xE3) & ((data[1:-1] == 0x9A) | (data[1:-1] == 0x80) | (data[1:-1] == 0x81)) & (data[2:] >= 0x80)
     cut = np.zeros(n, bool)
     cut[1:] = white[1:] & ~unsure[:-1]
+    if inner:
+        cut |= _inner(data, at)
     cut[at[at < n]] = True
-    return np.flatnonzero(cut)
+    starts = np.flatnonzero(cut)
+    return starts, np.append(starts[1:], n)
 
 
-def _pieces_bare(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words, for a tokenizer that drops white space and looks at each word alone."""
+def _pieces_bare(data: np.ndarray, at: np.ndarray, inner: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Words, for a tokenizer that drops white space and looks at each word alone, and parts of words."""
     starts, ends, _ = spans(data, at)
+    if inner:
+        cut = np.append(_inner(data, at), False)
+        both = []
+        for edges in (starts, ends):
+            flags = cut.copy()
+            flags[edges] = True
+            both.append(np.flatnonzero(flags))
+        starts, ends = both
     return starts, ends
 
 
@@ -57,6 +94,7 @@ class _Memory:
 
     def __init__(self, tok, ids: bool):
         self.tok, self.ids = tok, ids
+        self.parts, self.caseless, self.special = _kind(tok)
         self.clear()
 
     def clear(self):
@@ -72,7 +110,7 @@ class _Memory:
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             texts = [p.decode() for p in part]
-            done = self.tok.encode_batch(texts, add_special_tokens=False) if self.ids else self.tok.encode_batch_fast(texts, add_special_tokens=False)
+            done = self.tok.encode_batch_fast(texts, add_special_tokens=False)
             lengths = np.fromiter(map(len, done), np.int64, len(done))
             at = len(self.known)
             if at + len(part) > len(self.start):
@@ -94,16 +132,15 @@ def _encoded(column: pa.Array, path: str, spaced: bool, ids: bool):
     memory = _memories.setdefault((path, ids), None) or _Memory(tokenizer(path), ids)
     _memories[path, ids] = memory
     data, at = utf8(column)
-    if spaced:
-        starts = _pieces_spaced(data, at)
-        ends = np.append(starts[1:], len(data))
-        offsets, raw = np.append(starts, len(data)), data
-    else:
-        starts, ends = _pieces_bare(data, at)
-        lengths = ends - starts
-        offsets = np.append(0, np.cumsum(lengths))
-        keep = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
-        raw = data[keep]
+    low = _LOWER[data]
+    raw = low.tobytes()
+    plain = not any(x.lower() in raw for x in memory.special)  # a text with an added token keeps whole words and case
+    if plain and memory.caseless:
+        data = low
+    starts, ends = (_pieces_spaced if spaced else _pieces_bare)(data, at, plain and memory.parts)
+    lengths = ends - starts
+    offsets = np.append(0, np.cumsum(lengths))
+    raw = data if spaced else data[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])]
     first = np.searchsorted(starts, at)
     if not len(starts):
         return memory, np.zeros(0, np.int64), first
