@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.session import materialise
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Word characters are digits, a-z (after lower-casing A-Z) and everything beyond ASCII.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -13,6 +15,8 @@ BROADCAST_WINDOWS = 1_000_000
 #: Distinct opening hashes that may travel in the plan as a hash set (400 KB); beyond it none is used.
 OPENINGS = 50_000
 OPENING = 3
+#: Contaminated texts (12 bytes each) that may be broadcast to drop documents.
+BROADCAST_TEXTS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -55,7 +59,7 @@ def _item_windows(items: DataFrame, width: int, item_col: str, text_col: str) ->
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()
+    docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """One row per row of docs: id, n_words, n_hit, n_items, items (sorted ids), hits (pos, n), contaminated.
 
@@ -64,7 +68,7 @@ def find_contamination(
     pass are compared with the windows' own: a join on the words themselves, so hash collisions
     cannot count. Nothing of a document is shuffled but its matches and one row of counts.
     Null and empty texts have no words; items without words have no windows; a null item id is left
-    out of items. Repeated rows are judged each on its own. carry names further columns to keep.
+    out of items. Repeated rows are judged each on its own.
     """
     windows = _item_windows(items, width, item_col, item_text_col).cache()
     try:
@@ -75,20 +79,20 @@ def find_contamination(
                 openings[n] = values
     finally:
         windows.unpersist()
-    base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in carry], words(F.col(f"`{text_col}`")).alias("_w"))
+    base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.monotonically_increasing_id().alias("_row"), words(F.col(f"`{text_col}`")).alias("_w"))
     empty = F.array().cast("array<struct<pos:int,n:int,gram:string>>")
     found = []
     for n in sorted(lengths):
         found.append(F.filter(F.transform("_w", _window(n, openings.get(n))), lambda x: x.isNotNull()))
     counts = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("gram")))
-    spots = base.select("_id", "_row", *carry, F.size("_w").cast("long").alias("_words"), F.inline(F.concat(counts, *(found or [empty]))))
+    spots = base.select("_id", "_row", F.size("_w").cast("long").alias("_words"), F.inline(F.concat(counts, *(found or [empty]))))
     keys = windows.select("_item", F.col("_n").alias("_wn"), F.col("_g").alias("_wg"))
     if sum(lengths.values()) <= BROADCAST_WINDOWS:
         keys = F.broadcast(keys)
     matched = spots.join(keys, (F.col("gram") == F.col("_wg")) & (F.col("n") == F.col("_wn")), "left").where("pos < 0 or _wn is not null")
     hit = F.when(F.col("pos") >= 0, F.struct("pos", "n"))
     grouped = matched.groupBy("_row").agg(
-        F.first("_id").alias("_id"), *[F.first(c).alias(c) for c in carry], F.max("_words").alias("n_words"), F.sort_array(F.collect_set(hit)).alias("hits"), F.sort_array(F.collect_set("_item")).alias("items")
+        F.first("_id").alias("_id"), F.max("_words").alias("n_words"), F.sort_array(F.collect_set(hit)).alias("hits"), F.sort_array(F.collect_set("_item")).alias("items")
     )
 
     def cover(acc, x):
@@ -97,25 +101,35 @@ def find_contamination(
 
     covered = F.aggregate("hits", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), cover)["n"].cast("long")
     return grouped.select(
-        F.col("_id").alias(id_col), *carry, "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits", (F.size("hits") > 0).alias("contaminated")
+        F.col("_id").alias(id_col), "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits", (F.size("hits") > 0).alias("contaminated")
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", width: int = 10, text_col: str = "text") -> DataFrame:
     """docs without contaminated documents, or (remove='spans') without the words that were hit.
 
-    A removed word takes the separators after it along. Columns are those of docs, extra ones
-    included, whatever their names.
+    What is hit depends on the text alone, so findings go back to documents by two hashes of it, 96
+    bits in all; documents are shuffled only if more texts are contaminated than may be broadcast.
+    A removed word takes the separators after it along. Null texts stay as they are. Columns are
+    those of docs, extra ones included.
     """
     names = docs.columns
-    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index(text_col)}"
-    found = find_contamination(numbered.withColumn("_key", F.lit(0)), items, width, "_key", text, carry=tuple(numbered.columns))
+    keys = [F.xxhash64(text).alias("k1"), F.hash(text).alias("k2")]
+    found = find_contamination(plain.select(F.struct(*keys).alias("key"), F.col(text).alias("text")), items, width, "key")
+    found = found.where("contaminated").groupBy("key").agg(F.first("hits").alias("hits"))
+    found = materialise(found.select(F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"), "hits"), "contaminated")
+    few = found.count() <= BROADCAST_TEXTS
+    keyed = plain.select("*", *keys)
     if remove == "documents":
-        kept = found.where(~F.col("contaminated"))
+        bad = found.select("k1", "k2")
+        kept = keyed.join(F.broadcast(bad) if few else bad, ["k1", "k2"], "left_anti")
     else:
-        pieces = F.split(F.col(text), r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])")
-        lead = F.col(text).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]").cast("int")
+        kept = keyed.join(found, ["k1", "k2"], "left")
+        separator = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+        pieces = F.split(F.col(text), f"(?<={separator})(?=[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])")
+        lead = F.col(text).rlike("^" + separator).cast("int")
         left = F.filter(pieces, lambda _, i: ~F.exists("hits", lambda x: (i - lead >= x["pos"]) & (i - lead < x["pos"] + x["n"])))
-        kept = found.withColumn(text, F.when(F.col("contaminated"), F.array_join(left, "")).otherwise(F.col(text)))
-    return kept.select(*[F.col(c).alias(n) for c, n in zip(numbered.columns, names, strict=True)])
+        kept = kept.withColumn(text, F.when(F.col("hits").isNotNull(), F.array_join(left, "")).otherwise(F.col(text)))
+    return kept.select(*[F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)])

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from dossier.llm.curriculum import mix
 from dossier.llm.decontaminate import find_contamination
 from dossier.llm.exact_dedup import exact_dedup
+from dossier.llm.gru_langid import language_id
+from dossier.llm.license_scan import scan_licences
+from dossier.llm.rff_quality import quality
 from dossier.llm.simhash import near_duplicates
 from dossier.llm.substring_dedup import remove_repeats
 from dossier.llm.token_counts import token_counts
@@ -46,6 +49,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, out).withColumnRenamed("doc", "doc_id")
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licences(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_matches", F.array_join("licences", ",").alias("licences"), "best_licence", "best_dice")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -54,14 +62,25 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_files": op5_token_files,
+    "op6_licence_scan": op6_licence_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix": op8_mix,
+    "op9_quality": op9_quality,
+    "op10_language_id": op10_language_id,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
