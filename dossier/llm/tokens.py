@@ -8,10 +8,13 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from dossier.llm.words import spans, utf8
+from dossier.llm.words import mix64, spans, utf8, word_hashes
 
 #: Pieces a worker remembers; beyond it the memory starts afresh.
-MEMORY = 1_000_000
+MEMORY = 1_500_000
+SLOTS = 1 << 22
+_SHIFT = np.uint64(64 - 22)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _open: dict[str, object] = {}
 _memories: dict[tuple, object] = {}
 
@@ -46,10 +49,14 @@ def _kind(tok) -> tuple[bool, bool, list[bytes]]:
 
 
 def _inner(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Places between an ASCII letter and an ASCII mark other than an apostrophe: always ends of a pre-token."""
+    """Places between a letter (ASCII, U+00C0 to U+00FF) and an ASCII mark other than an apostrophe: always ends of a pre-token."""
     cut = np.zeros(len(data), bool)
-    letter, mark = _LETTER[data], _MARK[data]
-    cut[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    begins, mark = _LETTER[data], _MARK[data]
+    done = begins.copy()
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    begins[lead], done[lead + 1] = True, True
+    cut[1:] = (done[:-1] & mark[1:]) | (mark[:-1] & begins[1:])
     cut[at[at < len(data)]] = False
     return cut
 
@@ -90,63 +97,134 @@ def _pieces_bare(data: np.ndarray, at: np.ndarray, inner: bool) -> tuple[np.ndar
 
 
 class _Memory:
-    """Ids of pieces, held one after another."""
+    """Ids of pieces, held one after another, and an open hash table of the pieces.
+
+    A piece is known by a 64-bit hash of its bytes and by its length with its first and last eight bytes.
+    """
 
     def __init__(self, tok, ids: bool):
         self.tok, self.ids = tok, ids
         self.parts, self.caseless, self.special = _kind(tok)
+        self.between = _separator(tok) if ids and self.parts else None
         self.clear()
 
     def clear(self):
-        self.known: dict[bytes, int] = {}
+        self.key, self.again, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.known = 0
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.store, self.used = np.zeros(4096, np.uint32), 0
 
-    def __call__(self, pieces: list[bytes]) -> np.ndarray:
-        """The entry of each piece."""
-        if len(self.known) + len(pieces) > MEMORY:
-            self.clear()
-        new = [p for p in pieces if p not in self.known]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            texts = [p.decode() for p in part]
-            done = self.tok.encode_batch_fast(texts, add_special_tokens=False)
+    def _probe(self, h: np.ndarray, again: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries (-1 if unknown) and the slots where the search ended."""
+        slot = (h >> _SHIFT).astype(np.int64)
+        out = np.full(len(h), -1, np.int64)
+        left = at
+        while len(left):
+            s = slot[left]
+            k = self.key[s]
+            hit = (k == h[left]) & (self.again[s] == again[left])
+            out[left[hit]] = self.entry[s[hit]]
+            left = left[~hit & (k != 0)]
+            slot[left] = (slot[left] + 1) & (SLOTS - 1)
+        return out, slot
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of each piece's)."""
+        if self.between is None or any("7" in p for p in pieces):
+            done = self.tok.encode_batch_fast(pieces, add_special_tokens=False)
             lengths = np.fromiter(map(len, done), np.int64, len(done))
-            at = len(self.known)
-            if at + len(part) > len(self.start):
-                grow = max(len(self.start), len(part))
-                self.start, self.length = np.append(self.start, np.zeros(grow, np.int64)), np.append(self.length, np.zeros(grow, np.int64))
-            self.length[at : at + len(part)] = lengths
+            return np.fromiter((x for e in done for x in e.ids), np.uint32, int(lengths.sum())) if self.ids else lengths[:0].astype(np.uint32), lengths
+        done = self.tok.encode_batch_fast([" 7 ".join(pieces[i : i + 256]) + " 7" for i in range(0, len(pieces), 256)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in done])
+        mark = ids == self.between
+        return ids[~mark], np.diff(np.flatnonzero(mark), prepend=-1) - 1
+
+    def _learn(self, pieces: list[str], h: np.ndarray, again: np.ndarray) -> None:
+        at = self.known
+        if at + len(pieces) > len(self.start):
+            grow = np.zeros(max(len(self.start), len(pieces)), np.int64)
+            self.start, self.length = np.append(self.start, grow), np.append(self.length, grow)
+        # Pieces with the separator's digit are encoded apart.
+        order = np.argsort(np.fromiter(("7" in p for p in pieces), bool, len(pieces)), kind="stable") if self.between is not None else np.arange(len(pieces))
+        pieces, h, again = [pieces[k] for k in order.tolist()], h[order], again[order]
+        for i in range(0, len(pieces), 4096):
+            ids, lengths = self._encode(pieces[i : i + 4096])
+            self.length[at + i : at + i + len(lengths)] = lengths
             if self.ids:
-                total = int(lengths.sum())
-                if self.used + total > len(self.store):
-                    self.store = np.append(self.store, np.zeros(max(len(self.store), total), np.uint32))
-                self.start[at : at + len(part)] = self.used + np.cumsum(lengths) - lengths
-                self.store[self.used : self.used + total] = np.fromiter((x for e in done for x in e.ids), np.uint32, total)
-                self.used += total
-            self.known.update(zip(part, range(at, at + len(part)), strict=True))
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+                if self.used + len(ids) > len(self.store):
+                    self.store = np.append(self.store, np.zeros(max(len(self.store), len(ids)), np.uint32))
+                self.start[at + i : at + i + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+                self.store[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
+        todo = np.arange(len(pieces))
+        while len(todo):
+            slot = self._probe(h, again, todo)[1][todo]
+            _, one = np.unique(slot, return_index=True)
+            s = slot[one]
+            self.key[s], self.again[s], self.entry[s] = h[todo[one]], again[todo[one]], at + todo[one]
+            todo = np.delete(todo, one)
+        self.known += len(pieces)
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each piece of data."""
+        h = word_hashes(data, starts, ends) | np.uint64(1)
+        again = _ends(data, starts, ends)
+        out, _ = self._probe(h, again, np.arange(len(h)))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            order = new[np.lexsort((again[new], h[new]))]
+            first = np.ones(len(order), bool)
+            first[1:] = (h[order][1:] != h[order][:-1]) | (again[order][1:] != again[order][:-1])
+            lead = order[first]
+            if self.known + len(lead) > MEMORY and self.known:
+                self.clear()
+                return self(data, starts, ends)
+            raw = data.tobytes()
+            self._learn([raw[a:b].decode() for a, b in zip(starts[lead].tolist(), ends[lead].tolist(), strict=True)], h[lead], again[lead])
+            out[new] = self._probe(h, again, new)[0][new]
+        return out
+
+
+def _separator(tok) -> int | None:
+    """The id of a lone 7, if it stands for itself between any two words."""
+    one, split = tok.encode("7", add_special_tokens=False).ids, [tok.encode(x, add_special_tokens=False).ids for x in ("a,b 7 don't 7 !? 7", "a,b", "don't", "!?")]
+    return one[0] if len(one) == 1 and split[0] == split[1] + one + split[2] + one + split[3] + one else None
+
+
+def _ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each piece's length, first and last eight bytes in one number."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+    length = ends - starts
+    keep = _KEEP[np.minimum(length, 8)]
+    with np.errstate(over="ignore"):
+        tail = eight[np.maximum(starts, ends - 8)] & keep
+        return mix64(eight[starts] & keep) ^ (tail * np.uint64(0xD6E8FEB86659FD93)) ^ (length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """Capitals of ASCII and of U+00C0 to U+00DE in lower case, but for one that a mark may join to."""
+    low = _LOWER[data]
+    after = np.append(data[1:], np.uint8(0)) >= 0xC4
+    low[after] = data[after]
+    wide = np.flatnonzero(data == 0xC3) + 1
+    wide = wide[(wide < len(data))]
+    second = data[wide]
+    low[wide[(second <= 0x9E) & (second != 0x97) & ~after[wide]]] += 32
+    return low
 
 
 def _encoded(column: pa.Array, path: str, spaced: bool, ids: bool):
-    memory = _memories.setdefault((path, ids), None) or _Memory(tokenizer(path), ids)
-    _memories[path, ids] = memory
+    memory = _memories.get((path, ids))
+    if memory is None:
+        memory = _memories[path, ids] = _Memory(tokenizer(path), ids)
     data, at = utf8(column)
-    low = _LOWER[data]
-    raw = low.tobytes()
-    plain = not any(x.lower() in raw for x in memory.special)  # a text with an added token keeps whole words and case
+    raw = _LOWER[data].tobytes()
+    plain = not any(x.lower() in raw for x in memory.special)  # texts with an added token keep whole words and case
     if plain and memory.caseless:
-        data = low
+        data = _lowered(data)
     starts, ends = (_pieces_spaced if spaced else _pieces_bare)(data, at, plain and memory.parts)
-    lengths = ends - starts
-    offsets = np.append(0, np.cumsum(lengths))
-    raw = data if spaced else data[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])]
-    first = np.searchsorted(starts, at)
-    if not len(starts):
-        return memory, np.zeros(0, np.int64), first
-    texts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
-    coded = texts.dictionary_encode()
-    return memory, memory(coded.dictionary.to_pylist())[np.asarray(coded.indices)], first
+    return memory, memory(data, starts, ends) if len(starts) else np.zeros(0, np.int64), np.searchsorted(starts, at)
 
 
 def count_tokens(column: pa.Array, path: str) -> np.ndarray:
