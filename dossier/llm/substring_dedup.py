@@ -122,25 +122,22 @@ class _Repeated:
 
 
 def _candidates(width: int, bits: int, shards: int, repeated):
-    """Windows estimated repeated, dealt into shards by their hash, equal ones of a flush as one.
+    """Windows estimated repeated, dealt into shards by their anchor, equal ones of a flush as one.
 
     Of windows that a flush holds more than once, one goes to its shard with the count 2; all their
     places are known to be repeated and go to the shard of their document.
     """
-    from dossier.llm.words import mix64 as mixed
-
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         a, b, doc, pos = (np.concatenate([h[k] for h in held]) for k in range(4))
-        keys = np.concatenate([h[4] for h in held])
+        keys, shard = np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
         order = np.lexsort((b, a))
-        a, b, doc, pos = a[order], b[order], doc[order], pos[order]
+        a, b, doc, pos, shard = a[order], b[order], doc[order], pos[order], shard[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         at = np.flatnonzero(new)
         n = np.diff(np.append(at, len(a)))
         known = np.repeat(n > 1, n)
-        a, b, d, p, n = a[at], b[at], doc[at], pos[at], np.minimum(n, 2).astype(np.uint8)
-        shard = (a % np.uint64(shards)).astype(np.int64)
+        a, b, d, p, n, shard = a[at], b[at], doc[at], pos[at], np.minimum(n, 2).astype(np.uint8), shard[at]
         order = np.argsort(shard, kind="stable")
         a, b, d, p, n, shard = a[order], b[order], d[order], p[order], n[order], shard[order]
         cuts = [*np.flatnonzero(np.diff(shard, prepend=-1)).tolist(), len(shard)]
@@ -155,7 +152,7 @@ def _candidates(width: int, bits: int, shards: int, repeated):
             cuts = [*np.flatnonzero(np.diff(d, prepend=-1)).tolist(), len(d)]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 key = keys[d[i]]
-                rows.append((int(mixed(key[:1])[0] % np.uint64(shards)), b"", b"", b"", b"", p[i:j].tobytes(), key.tobytes()))
+                rows.append((int(mix64(key[:1])[0] % np.uint64(shards)), b"", b"", b"", b"", p[i:j].tobytes(), key.tobytes()))
         names = ["shard", "a", "b", "n", "doc", "pos", "keys"]
         kinds = [pa.int64(), *[pa.binary()] * 6]
         for i in range(0, len(rows), 4096):
@@ -180,7 +177,7 @@ def _candidates(width: int, bits: int, shards: int, repeated):
                 b = (rolling(w, width, _BASE_B)[at] >> np.uint64(32)).astype("<u4")
                 doc = np.searchsorted(first, at, "right") - 1
                 key = np.stack([np.asarray(batch.column(k).slice(i, j - i)).astype(np.int64) for k in (0, 1)], axis=1).view(np.uint64)
-                held.append((a, b, doc + docs, (at - first[doc]).astype("<u4"), key))
+                held.append((a, b, doc + docs, (at - first[doc]).astype("<u4"), key, (mix64(anchor[at]) % np.uint64(shards)).astype(np.int64)))
                 docs += j - i
                 n += len(at)
                 if n > FLUSH:
