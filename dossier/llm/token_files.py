@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.rans import Table, decode, encode
-from dossier.llm.tokens import token_ids
+from dossier.llm.tokens import IdCounter, token_ids
 from dossier.llm.words import slices
 from dossier.session import partitions
 
@@ -22,12 +22,14 @@ BLOCK = 1 << 20
 
 def _counts(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(end + 1, np.int64)
+        counter, texts = IdCounter(path), 0
         for batch in batches:
-            total[end] += batch.num_rows
+            texts += batch.num_rows
             for i, j in slices(batch.column(0)):
-                n = np.bincount(token_ids(batch.column(0).slice(i, j - i), path)[0], minlength=len(total))
-                total = n + np.pad(total, (0, len(n) - len(total)))
+                counter.add(batch.column(0).slice(i, j - i))
+        total = counter.counts()
+        total = np.append(total, np.zeros(max(0, end + 1 - len(total)), np.int64))
+        total[end] += texts
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token", "n"])
 
@@ -49,15 +51,18 @@ def _blocks(path: str, end: int, frequencies, kind: pa.DataType):
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["part", "block", "first", "n_ids", "docs", "lengths", "data"])
 
         for batch in batches:
-            for i, j in slices(batch.column(1), 1 << 20):
+            for i, j in slices(batch.column(1)):
                 ids, at = token_ids(batch.column(1).slice(i, j - i), path)
                 n = np.diff(at) + 1
                 # The end id goes behind each text's ids.
-                ids = np.insert(ids, at[1:], np.uint32(end))
-                held.append(ids)
+                whole = np.full(len(ids) + len(n), end, np.uint32)
+                inside = np.ones(len(whole), bool)
+                inside[np.cumsum(n) - 1] = False
+                whole[inside] = ids
+                held.append(whole)
                 names += batch.column(0).slice(i, j - i).to_pylist()
                 lengths += n.tolist()
-                size += len(ids)
+                size += len(whole)
                 if size >= BLOCK:
                     yield close()
                     block, first, size = block + 1, first + size, 0

@@ -108,7 +108,10 @@ class _Memory:
         self.between = _separator(tok) if ids and self.parts else None
         self.clear()
 
+    life = 0
+
     def clear(self):
+        self.life += 1
         self.key, self.again, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.known = 0
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -241,3 +244,41 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     sums = np.append(0, np.cumsum(lengths))
     where = np.repeat(memory.start[entry] - sums[:-1], lengths) + np.arange(sums[-1])
     return memory.store[where], sums[first]
+
+
+class IdCounter:
+    """How often each id occurs in texts, by counting pieces: ids are looked up once for each different piece."""
+
+    def __init__(self, path: str):
+        self.path, self.seen, self.total, self.memory, self.life = path, np.zeros(0, np.int64), np.zeros(0, np.int64), None, 0
+
+    def add(self, column: pa.Array) -> None:
+        # Entries are only good until the memory starts afresh, which a call may do: then settle first.
+        memory = _memories.get((self.path, True))
+        if memory is not None and memory is self.memory:
+            before = memory.start, memory.length, memory.store
+        self.memory, entry, _ = _encoded(column, self.path, False, True)
+        if self.memory.life != self.life:
+            if len(self.seen):
+                self._settle(*before)
+            self.life = self.memory.life
+        n = np.bincount(entry)
+        if len(n) > len(self.seen):
+            self.seen = np.append(self.seen, np.zeros(len(n) - len(self.seen), np.int64))
+        self.seen[: len(n)] += n
+
+    def _settle(self, start: np.ndarray, length: np.ndarray, store: np.ndarray) -> None:
+        used = np.flatnonzero(self.seen)
+        lengths = length[used]
+        sums = np.append(0, np.cumsum(lengths))
+        ids = store[np.repeat(start[used] - sums[:-1], lengths) + np.arange(sums[-1])]
+        n = np.bincount(ids, np.repeat(self.seen[used], lengths)).astype(np.int64)
+        if len(n) > len(self.total):
+            self.total = np.append(self.total, np.zeros(len(n) - len(self.total), np.int64))
+        self.total[: len(n)] += n
+        self.seen = np.zeros(0, np.int64)
+
+    def counts(self) -> np.ndarray:
+        if len(self.seen):
+            self._settle(self.memory.start, self.memory.length, self.memory.store)
+        return self.total
