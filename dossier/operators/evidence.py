@@ -21,7 +21,7 @@ def ledger(report: DataFrame) -> DataFrame:
     after = lines.join(first, "doc").where(F.col("n") > F.col("head"))
     end = after.groupBy("doc").agg(F.min(F.when(~bar, F.col("n"))).alias("end"))
     rows = after.join(end, "doc").where((F.col("end").isNull() | (F.col("n") < F.col("end"))) & ~F.col("line").rlike(r"^[|\-: ]*$"))
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     return rows.select("doc", "n", cells.alias("c")).where("size(c) >= 6").select("doc", "n", *[F.col("c")[i].alias(k) for i, k in enumerate(COLUMNS)])
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.functions import text as X
 from dossier.plans.components import connected_components
@@ -34,7 +35,7 @@ def by_name(entity: DataFrame, order: str = "ord") -> DataFrame:
     return by_key(entity, X.norm_name(F.col("label")), order)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Indel similarity of the words in order: twice the longest common subsequence over both lengths."""
 
