@@ -170,3 +170,43 @@ def merge_records(entity: DataFrame, id_map: DataFrame, via: str) -> DataFrame:
     kept = entity.select(F.col("id").alias("canonical"), F.col("label").alias("kept_label"))
     moved = id_map.where("id <> canonical").join(entity.select("id", "label", "entity_type"), "id").join(kept, "canonical")
     return moved.select(F.col("canonical").alias("kept"), F.col("id").alias("merged"), "kept_label", "label", "entity_type", F.lit(via).alias("via"))
+
+
+def fellegi_sunter(entity: DataFrame, threshold: float = 0.9, rounds: int = 20) -> DataFrame:
+    """(id, canonical) by probabilistic linkage of names (Fellegi and Sunter 1969).
+
+    Pairs share a type and a name key's first word; three comparisons (whole key, last word, length)
+    make eight patterns. The expectation-maximisation runs on the counts of patterns, which is all
+    that reaches the driver. Under four entities, or without pairs, everyone is themselves.
+    """
+    key = X.norm_name(F.col("label"))
+    base = entity.select("id", "entity_type", key.alias("k")).where("k is not null")
+    words = F.split("k", " ")
+    one = base.groupBy("entity_type", "k").agg(F.min("id").alias("rep")).withColumn("first", words[0]).withColumn("last", F.element_at(words, -1))
+    side = lambda s: one.select("entity_type", "first", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "k", "last")])
+    pairs = side("a").join(side("b"), ["entity_type", "first"]).where("rep_a < rep_b")
+    bit = lambda c: c.cast("int")
+    pattern = bit(F.levenshtein("k_a", "k_b") <= 2) * 4 + bit(F.col("last_a") == F.col("last_b")) * 2 + bit(F.abs(F.length("k_a") - F.length("k_b")) <= 1)
+    pairs = materialise(pairs.select("rep_a", "rep_b", pattern.alias("pattern")), "fs")
+    counts = {r[0]: r[1] for r in pairs.groupBy("pattern").agg(F.count(F.lit(1))).collect()}
+    same = by_key(entity.withColumn("_fs", F.col("id")), key, "_fs")
+    if not counts or entity.limit(4).count() < 4:
+        return same
+    lam, m, u = 0.1, [0.9] * 3, [0.2] * 3
+    odds: dict[int, float] = {}
+    for _ in range(rounds):
+        for p in counts:
+            a, b = lam, 1 - lam
+            for i in range(3):
+                on = p >> i & 1
+                a, b = a * (m[i] if on else 1 - m[i]), b * (u[i] if on else 1 - u[i])
+            odds[p] = a / (a + b)
+        total, match = sum(counts.values()), sum(n * odds[p] for p, n in counts.items())
+        lam = min(0.999, max(1e-6, match / total))
+        for i in range(3):
+            on = [(n, odds[p]) for p, n in counts.items() if p >> i & 1]
+            m[i] = min(0.999, max(0.001, sum(n * o for n, o in on) / max(1e-9, match)))
+            u[i] = min(0.999, max(0.001, sum(n * (1 - o) for n, o in on) / max(1e-9, total - match)))
+    sure = [p for p, o in odds.items() if o >= threshold]
+    comp = connected_components(pairs.where(F.col("pattern").isin(*sure) if sure else F.lit(False)), "rep_a", "rep_b")
+    return same.join(comp, F.col("canonical") == F.col("node"), "left").select("id", F.coalesce("component", "canonical").alias("canonical"))

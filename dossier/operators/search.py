@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.functions import text as X
 
@@ -45,8 +50,6 @@ def bm25(chunk: DataFrame, query: str, sensitivity: tuple[str, ...] = PUBLIC, li
 
 
 def query_terms(query: str) -> list[str]:
-    import re
-
     plain = query.lower().translate(str.maketrans(X.ACCENTS, X.PLAIN))
     return [t for t in re.split(r"[^a-z0-9]+", plain) if t and t not in STOP]
 
@@ -64,6 +67,24 @@ def vector(items: DataFrame, query: list[float], limit: int = LIMIT) -> DataFram
     return ranked(d.where("distance is not null"), "distance", limit, True)
 
 
+def embed(items: DataFrame, provider: Callable[[list[str]], list[list[float] | None]], text: str = "body", batch: int = 50) -> DataFrame:
+    """items with a vector of each text by provider(list of texts) -> list of vectors; a batch that fails gives nulls."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            out = []
+            for i in range(0, len(part), batch):
+                some = ["" if t is None else t for t in part.iloc[i : i + batch]]
+                try:
+                    out += [None if v is None else [float(x) for x in v] for v in provider(some)]
+                except Exception:  # noqa: BLE001
+                    out += [None] * len(some)
+            yield pd.Series(out, dtype=object)
+
+    return items.withColumn("embedding", vectors(text))
+
+
 def fuse(a: DataFrame, b: DataFrame, k: int = RRF_K, limit: int = LIMIT) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists; a list without a row adds nothing."""
     part = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))

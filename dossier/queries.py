@@ -18,9 +18,10 @@ from dossier.operators import quality as Q
 from dossier.operators import resolve as Z
 from dossier.operators import search as S
 from dossier.operators import store as T
+from dossier.plans import case
 from dossier.plans.casegraph import frame, oracle
-from dossier.session import prepare, read_table
-from dossier.sources import files, ftm
+from dossier.session import prepare, read_table, table_path
+from dossier.sources import files, ftm, gold, tabular
 from dossier.sources.ontology import EDGES, TYPES, Vocabulary, canonical_edge, canonical_type, options, rejected_types
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,6 +415,75 @@ query("l_caps", "select id, substr(label || repeat('.', 600), 1, 500) t from ent
 query("l_trunc", "select id, true truncated from entity order by id limit 5", "entity")(lambda g: (lambda d: d.limit(5).withColumn("truncated", F.lit(d.limit(6).count() > 5)))(g("entity").select("id").orderBy("id")))
 query("f_render_path", "select 'A --[OWNS]--> B (0.50)' as text")(lambda g: G.render_path(g.values([(["a", "b"], ["OWNS"], 0.5)], "path array<string>, types array<string>, score double"), g.values([("a", "A"), ("b", "B")], "id string, label string")))
 query("ga_briefing")(lambda g: g.values([(T.briefing(C.new_since(g("entity"), 0), C.contradictions(g("edge"), g("entity"), 5), G.gaps(G.communities(_ss(g)), _ss(g)), C.unlinked(g("entity"), g("edge"), g("mention"))),)], "markdown string"))
+
+# --- whole runs and readers ------------------------------------------------------------------
+
+SPEC = """
+entities:
+  - {column: owner, type: organization}
+  - {column: asset, type_column: kind}
+edges:
+  - {source: owner, type: OWNS, target: asset, share_pct: pct, date: as_of}
+"""
+
+
+def _table(g):
+    k = F.col("s_suppkey")
+    rows = g.read("supplier").select(
+        F.concat(F.lit("Holder "), F.floor(k / 4).cast("string")).alias("owner"), F.col("s_name").alias("asset"), F.when(k % 5 == 0, "alien").when(k % 5 == 1, "event").otherwise("company").alias("kind"),
+        F.concat((k % 90).cast("string"), F.lit("%")).alias("pct"), F.lit("2024-01-02").alias("as_of"), (k + 1).alias("row_no"),
+    )
+    return tabular.ingest(rows, tabular.Spec.load(SPEC), "own.csv")
+
+
+_HASH = "substr(sha256('organization:' || lower({0}) || ':own.csv'), 1, 16)"
+query("src_tabular", f"select {_HASH.format("'holder ' || (s_suppkey // 4)")} source_id, {_HASH.format('s_name')} target_id, (s_suppkey % 90)::double share_pct, 1704153600000::bigint valid_at_ms from supplier where s_suppkey % 5 > 1")(lambda g: _table(g)["edges"].select("source_id", "target_id", "share_pct", "valid_at_ms"))
+query("src_tabular_skipped", "select s_suppkey + 1 row_no, case s_suppkey % 5 when 0 then 'bad_entity_type' else 'grade_violation' end reason from supplier where s_suppkey % 5 < 2")(lambda g: _table(g)["skipped"].select("row_no", "reason"))
+query("src_tabular_entities", "select distinct 'organization' entity_type, 'Holder ' || (s_suppkey // 4) as label from supplier union all select case s_suppkey % 5 when 1 then 'event' else 'organization' end, s_name from supplier where s_suppkey % 5 > 0")(lambda g: _table(g)["entities"].select("entity_type", "label"))
+query("f_row_evidence", "select 'row ' || (s_suppkey + 1) || ': owner=Holder ' || (s_suppkey // 4) || ', asset=' || s_name || ', pct=' || (s_suppkey % 90) || '%, as_of=2024-01-02' evidence from supplier where s_suppkey % 5 > 1")(lambda g: _table(g)["edges"].select("evidence"))
+
+
+@query("src_csv", "select n_nationkey::varchar k, n_name || ', \"the' || chr(10) || 'great\"' n, count(*) over ()::bigint n_rows from nation")
+def _(g):
+    path = table_path(g.spark, "csv") + ".csv"
+    g.read("nation").select(F.col("n_nationkey").alias("k"), F.concat("n_name", F.lit(', "the\ngreat"')).alias("n")).coalesce(1).write.csv(path, header=True, quote='"', escape='"')
+    df = files.read_table_file(g.spark, path)
+    return df.select("k", "n").join(df.agg(F.max("row_no").alias("n_rows")))
+
+
+def _records(g):
+    """Labels that documents hold, some of them spelt twice, and a ledger of edges between them."""
+    names = [("e1", "organization", "Apache License", "nlp"), ("e2", "organization", "APACHE  license", "nlp"), ("e3", "document", "All rights reserved", "nlp"), ("e4", "organization", "Apache License Inc.", "structured"), ("e5", "person", "Nobody Such", "nlp"), ("e6", "document", "MIT License", "nlp")]
+    ent = g.values([(*n, f"doc-{i}", 0.5, "x", 0, i) for i, n in enumerate(names)], "id string, entity_type string, label string, extraction_source string, source_url string, confidence double, provenance string, created_at long, ord long")
+    rows = [("e1", "e3", "A", 1.0), ("e2", "e3", "A", 2.0), ("e4", "e1", "A", 4.0), ("e5", "e1", "A", 8.0), ("e3", "e6", "B", 16.0)]
+    edge = g.values([(*r, "USD", None, "structured" if r[0] == "e4" else "nlp", "doc-1", "x", i) for i, r in enumerate(rows)], "source_id string, target_id string, edge_type string, amount double, currency string, share_pct double, extraction_source string, source_url string, provenance string, ord long")
+    return ent, edge
+
+
+@query("e2e_rebuild", "select 3::bigint entities, (select count(*) from documents) documents, 1::bigint resolved", "document")
+def _(g):
+    ent, edge = _records(g)
+    tables, counts = case.rebuild(g("chunk"), ent, edge, g("document").select("id", "path"), g("mention").limit(0))
+    same = tables["entity"].where("id in ('e1', 'e3', 'e6')").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("entities", "documents").join(same.select(F.when(F.col("n") == 3, 1).otherwise(0).cast("long").alias("resolved")))
+
+
+query("er_splink")(lambda g: Z.fellegi_sunter(_people(g)))
+query("er_greedy", "select vec_id id, vec_id canonical from embeddings where vec_id = 0")(lambda g: Z.greedy(g.values([("0", 0)], "id string, ord long"), g.values([], "a string, b string, s double")).select(F.col("id").cast("long").alias("id"), F.col("canonical").cast("long").alias("canonical")))
+query("snk_report")(lambda g: g.values([(T.report({"entities": g("entity").count()}, G.gaps(G.communities(_ss(g)), _ss(g)), G.bridges(_ss(g)), G.surprising(G.betweenness(_ss(g)), G.degrees(G.simple(_ss(g))))),)], "json string"))
+query("snk_skeleton")(lambda g: g.values([(T.skeleton_json(G.skeleton(_ss(g), 20), g("entity"), G.simple(_ss(g)).count()),)], "json string"))
+query("r_embed", "select id, length(body)::double d from chunk", "document", "chunk")(lambda g: S.embed(g("chunk"), lambda texts: [[float(len(t))] for t in texts]).select("id", F.get("embedding", F.lit(0)).alias("d")))
+query("j_gap", "with c as (select n_regionkey c, count(*) n from nation group by 1) select a.c a, b.c b, least(a.n, b.n)::bigint n from c a join c b on a.c < b.c where a.n >= 5 and b.n >= 5")(
+    lambda g: G.gaps(g.read("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_regionkey").alias("community")), g("edge").where("edge_type = 'OWNS'")).select("a", "b", F.least("size_a", "size_b").alias("n"))
+)
+query("src_findings", "select p_partkey entity_id, unnest(list_distinct([p_brand, p_type])) doc_id from part")(lambda g: files.read_findings(g.read("part").select(F.col("p_partkey").alias("id"), F.array("p_brand", "p_type").alias("provenance")))[1])
+query("src_gold", "select id, entity_type, label from (select 'n' || n_nationkey id, 'place' entity_type, n_name as label from nation union all select 'r' || r_regionkey, 'unknown', 'r' || r_regionkey from region where r_regionkey in (select n_regionkey from nation))")(
+    lambda g: gold.read_gold(g.read("nation").select(F.col("n_name").alias("path"), F.format_string("---\nentities:\n- {id: n%d, type: City, canonical: '%s'}\nedges:\n- {from: n%d, type: in, to: r%d}\n---\ntext", "n_nationkey", "n_name", "n_nationkey", "n_regionkey").alias("text")), {"city": "place"})[0].select("id", "entity_type", "label")
+)
+query("src_onto", "select 20::bigint edges, 27::bigint pairs")(lambda g: Vocabulary.shipped().frame(g.spark).agg(F.count_distinct("edge_type").alias("edges"), F.count(F.lit(1)).alias("pairs")))
+query("gt_linkage", "select 'L2' ledger_id, 'missing file' problem")(lambda g: V.linkage_gate(g.values([("L1", "ab-1", "GAP"), ("L2", "cd-2", "GAP")], "ledger_id string, artifact string, status string"), g.values([("ab-1", "", "f1", "h"), ("cd-2", "", "f2", "h")], "artifact_id string, capture_group string, local_path string, sha256 string"), g.values([("f1", "h")], "local_path string, sha256 string")).select("ledger_id", "problem"))
+query("gt_ledger", f"select v.id::bigint ledger_id from {values(STATES, 'id, s')} where v.id in (5, 7)")(lambda g: V.ledger_gate(g.values(STATES, "ledger_id long, status string")).select("ledger_id"))
+query("gt_minimise", "select 'doc-' || doc_id path from documents where contains(lower(text), 'gnu general')")(lambda g: V.minimise_gate(g("document").select(F.col("id").alias("path"), "text"), ["GNU General"]).select("path"))
 QUERIES_RAW = {"ga_funds": lambda g: QUERIES["ga_funds"](g.spark, g.sf_dir)}
 
 

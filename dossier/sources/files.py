@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEXT = (".txt", ".md", ".html", ".htm")
@@ -43,11 +43,23 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     return known.select(F.substring(F.sha2("path", 256), 1, 16).alias("id"), "path", F.element_at(F.split("path", "/"), -1).alias("title"), text.alias("text"))
 
 
+def numbered(df: DataFrame, name: str = "row_no") -> DataFrame:
+    """Rows numbered from 1 in the order of the scan: each partition's rows are counted first, one number for each partition."""
+    marked = df.withColumn("_m", F.monotonically_increasing_id())
+    part, inside = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r[0], r[1]) for r in marked.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect())
+    total, before = 0, []
+    for p, n in counts:
+        before.append((p, total))
+        total += n
+    base = df.sparkSession.createDataFrame(before, "_p long, _before long")
+    return marked.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn(name, F.col("_before") + inside + 1).drop("_m", "_p", "_before")
+
+
 def read_table_file(spark: SparkSession, path: str) -> DataFrame:
     """A CSV or TSV file with a header, all columns text, quoting honoured; row_no counts from 1 in file order."""
     sep = TABLES[PurePosixPath(path).suffix.lower()]
-    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True)
-    return df.withColumn("row_no", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+    return numbered(spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
