@@ -121,8 +121,8 @@ def multifield(entity: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id map, pairs decided, candidates): register numbers, addresses and names decide; only merges unite.
 
     Candidates share a type and a register number, or a type, name key and address; blanks are null
-    before the join, so they never meet. Inside a block of equal (register, address, jurisdiction) rows
-    are alike, so they are one node first and a block of any size gives no pairs of its rows.
+    before the join, so they never meet. All pairs of a block are decided, since a person reviews pairs;
+    blocks are as large as a register number, or a name at an address, has rows.
     """
     blank = lambda c: F.nullif(c, F.lit(""))
     base = entity.select(

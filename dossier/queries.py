@@ -20,7 +20,7 @@ from dossier.operators import search as S
 from dossier.operators import store as T
 from dossier.plans import case
 from dossier.plans.casegraph import frame, oracle
-from dossier.session import prepare, read_table, table_path
+from dossier.session import materialise, prepare, read_table, table_path
 from dossier.sources import files, ftm, gold, tabular
 from dossier.sources.ontology import EDGES, TYPES, Vocabulary, canonical_edge, canonical_type, options, rejected_types
 
@@ -484,6 +484,28 @@ query("src_onto", "select 20::bigint edges, 27::bigint pairs")(lambda g: Vocabul
 query("gt_linkage", "select 'L2' ledger_id, 'missing file' problem")(lambda g: V.linkage_gate(g.values([("L1", "ab-1", "GAP"), ("L2", "cd-2", "GAP")], "ledger_id string, artifact string, status string"), g.values([("ab-1", "", "f1", "h"), ("cd-2", "", "f2", "h")], "artifact_id string, capture_group string, local_path string, sha256 string"), g.values([("f1", "h")], "local_path string, sha256 string")).select("ledger_id", "problem"))
 query("gt_ledger", f"select v.id::bigint ledger_id from {values(STATES, 'id, s')} where v.id in (5, 7)")(lambda g: V.ledger_gate(g.values(STATES, "ledger_id long, status string")).select("ledger_id"))
 query("gt_minimise", "select 'doc-' || doc_id path from documents where contains(lower(text), 'gnu general')")(lambda g: V.minimise_gate(g("document").select(F.col("id").alias("path"), "text"), ["GNU General"]).select("path"))
+query("snk_docs", "select id, path from document union all select 'new-1', 'x' from region where r_regionkey = 0", "document")(lambda g: T.upsert(g("document").select("id", "path"), g.values([("new-1", "x")], "id string, path string")))
+query("snk_edges", "select source_id, target_id, edge_type, coalesce(provenance, 'unknown') provenance, extraction_source, confidence from edge", "edge")(lambda g: T.with_defaults(g("edge")).select("source_id", "target_id", "edge_type", "provenance", "extraction_source", "confidence"))
+query("snk_add_edge", "select 'a' source_id, 'doc-1' source_url", "document")(lambda g: R.provenance_gate(g.values([("a", "b", "doc-1", "", 1), ("c", "b", "ghost", "", 2), ("d", "b", "", "", 3)], "source_id string, target_id string, source_url string, provenance string, ord long"), g("document"))[0].select("source_id", "source_url"))
+query("snk_backup", "select count(*) n, count(distinct id) ids from chunk", "document", "chunk")(lambda g: materialise(g("chunk"), "backup").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")))
+query("stats", "select count(*) total, count(*) filter (chunk_index % 2 = 0) embedded from chunk", "document", "chunk")(lambda g: T.stats(g("chunk").withColumn("embedding", F.when(F.col("chunk_index") % 2 == 0, F.array(F.lit(1.0))))).agg(F.sum("total").alias("total"), F.sum("embedded").alias("embedded")))
+query("snk_review", "select source_id, target_id, 'inferred' provenance, true needs_review from (" + SQL["ga_control"].replace("with recursive", "with recursive", 1) + ")")(lambda g: G.infer_control(_own(g))[0].select("source_id", "target_id", "provenance", "needs_review"))
+COSINES = [(1, 0.93), (2, 0.9985), (3, 1.0), (4, 0.90), (5, 0.97)]
+query("f_band", f"select v.id::bigint id, case when v.id in (1, 5) then 'review' else 'exclude' end verdict from {values(COSINES, 'id, c')}")(lambda g: g.values(COSINES, "id long, c double").select("id", X.semantic_verdict(F.lit("person"), F.lit("person"), F.col("c")).alias("verdict")))
+query("x_source", "select extraction_source, count(*) cnt from entity group by 1", "entity")(lambda g: C.counted(g("entity"), "extraction_source"))
+query("s_gap", "with c as (select n_regionkey c, count(*) n from nation group by 1) select a.c a, b.c b, 'HIGH' severity from c a join c b on a.c < b.c where a.n >= 5 and b.n >= 5")(
+    lambda g: G.gaps(g.read("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_regionkey").alias("community")), g("edge").where("edge_type = 'OWNS'")).orderBy(F.col("severity") != "HIGH", "cross_edges", "a", "b").select("a", "b", "severity")
+)
+query("s_skeleton")(lambda g: G.skeleton(_ss(g), 25))
+query("x_phase3")(lambda g: E.relations(g("chunk"), lambda body: [{"source": "text", "target": "license", "type": "MENTIONS", "evidence": body}] if "License" in body else []))
+query("src_manifest", "select p_partkey::varchar artifact_id, p_size http_status from part")(lambda g: (lambda path: (g.read("part").select(F.col("p_partkey").cast("string").alias("artifact_id"), F.col("p_size").alias("http_status"), F.lit("x").alias("unheard_of")).write.json(path), files.read_manifest(g.spark, path).select("artifact_id", "http_status"))[1])(table_path(g.spark, "manifest")))
+query("ev_control", "select 1.0e0 as \"precision\", 1.0e0 recall, 1.0e0 f1")(lambda g: Q.prf(G.infer_control(g.values([("P", "B", "OWNS", 100.0), ("B", "C", "OWNS", 55.0), ("D", "B", "OWNS", 30.0)], "source_id string, target_id string, edge_type string, share_pct double"))[0], g.values([("P", "C")], "source_id string, target_id string"), ["source_id", "target_id"]))
+query("ev_flow", "select 1.0e0 as \"precision\", 1.0e0 recall, 1.0e0 f1")(lambda g: Q.prf(G.trace_funds(g.values([("a", "b", "PAID_TO", 100.0, "USD"), ("b", "c", "PAID_TO", 90.0, "USD"), ("a", "e", "PAID_TO", 5.0, "EUR")], "source_id string, target_id string, edge_type string, amount double, currency string"), g.values([("a",)], "id string")).select(F.array_join("path", ">").alias("p")), g.values([("a>b",), ("a>b>c",), ("a>e",)], "p string"), ["p"]))
+query("ev_multifield", "select 3::bigint entities, 1::bigint reviews")(lambda g: (lambda r: r[0].agg(F.count_distinct("canonical").alias("entities")).join(r[1].where("decision = 'review'").agg(F.count(F.lit(1)).alias("reviews"))))(Z.multifield(g.values([("1", "organization", "Acme", "R1", "270 Park Ave", "US"), ("2", "organization", "ACME Inc", "r1", "270 Park Avenue", "us"), ("3", "organization", "Galaxy", "R2", "1 A St", "US"), ("4", "organization", "Tulip", "R2", "2 B St", "US")], "id string, entity_type string, label string, reg_id string, address string, jurisdiction string"))))
+query("ev_dedup", "select 1.0e0 as \"precision\", 1.0e0 recall, 1.0e0 f1")(lambda g: Q.bcubed(Z.by_name(_people(g)).select("id", F.col("canonical").alias("cluster"), F.substring("id", 2, 9).alias("gold"))))
+query("ev_tabular", "select count(*) edges, (select count(*) from supplier where s_suppkey % 5 < 2) skipped from supplier where s_suppkey % 5 > 1")(lambda g: (lambda t: t["edges"].agg(F.count(F.lit(1)).alias("edges")).join(t["skipped"].agg(F.count(F.lit(1)).alias("skipped"))))(_table(g)))
+query("ev_ftm", "select count(*) edges from edge where edge_type = 'OWNS'", "edge")(lambda g: ftm.load(ftm.export(g("entity"), g("edge"))[0])[1].where("edge_type = 'OWNS'").agg(F.count(F.lit(1)).alias("edges")))
+query("ev_pipeline", f"select count(*) filter (not {_LEGAL}) violations, count(*) filter (e.evidence <> '') with_evidence {_ENDS}", "entity", "edge")(lambda g: (lambda x: x[1].agg(F.count(F.lit(1)).alias("violations")).join(x[0].unionByName(x[1]).where("evidence <> ''").agg(F.count(F.lit(1)).alias("with_evidence"))))(R.grade_gate(g("edge"), g("entity"), Vocabulary.shipped().frame(g.spark))))
 QUERIES_RAW = {"ga_funds": lambda g: QUERIES["ga_funds"](g.spark, g.sf_dir)}
 
 
