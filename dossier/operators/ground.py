@@ -9,6 +9,8 @@ from dossier.functions import text as X
 
 #: Labels that may be broadcast to the chunks (about 200 bytes each); beyond it the join is shuffled.
 BROADCAST_LABELS = 500_000
+#: Different first words of labels that may travel in the plan as a set; beyond it the join alone sifts.
+FIRST_WORDS = 20_000
 
 
 def mentions(entity: DataFrame, chunk: DataFrame, id_col: str = "id", label_col: str = "label", chunk_col: str = "id", body_col: str = "body") -> DataFrame:
@@ -21,7 +23,12 @@ def mentions(entity: DataFrame, chunk: DataFrame, id_col: str = "id", label_col:
     labels = entity.select(F.col(id_col).alias("entity"), X.norm(F.col(label_col)).alias("_label")).where("length(_label) >= 2")
     labels = labels.withColumn("_word", F.regexp_extract("_label", r"(?U)(\w+)", 1)).where("_word <> ''")
     body = chunk.select(F.col(chunk_col).alias("chunk"), X.norm(F.col(body_col)).alias("_body"))
-    words = body.select("chunk", "_body", F.explode(F.array_distinct(F.split("_body", r"(?U)\W+"))).alias("_word")).where("_word <> ''")
+    runs = F.array_distinct(F.split("_body", r"(?U)\W+"))
+    first = [r[0] for r in labels.select("_word").distinct().limit(FIRST_WORDS + 1).collect()]
+    if len(first) <= FIRST_WORDS:
+        # A chunk is repeated for the runs that begin a label only.
+        runs = F.filter(runs, lambda w: w.isin(first)) if first else F.array().cast("array<string>")
+    words = body.select("chunk", "_body", F.explode(runs).alias("_word")).where("_word <> ''")
     few = labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     return words.join(F.broadcast(labels) if few else labels, "_word").where(X.whole_word(F.col("_label"), F.col("_body"))).select("entity", "chunk").distinct()
 

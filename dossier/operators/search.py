@@ -39,13 +39,13 @@ def bm25(chunk: DataFrame, query: str, sensitivity: tuple[str, ...] = PUBLIC, li
     want = sorted(set(query_terms(query)))
     seen = chunk.where(F.col("sensitivity").isin(*sensitivity))
     sized = seen.select("id", terms(F.col("body")).alias("_t")).select("id", F.size("_t").alias("len"), F.filter("_t", lambda t: t.isin(*want) if want else F.lit(False)).alias("_t"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    n, avgdl = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
     tf = sized.select("id", "len", F.explode("_t").alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    one = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    # df has a row for each query word and stats one row.
-    score = tf.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy("id").agg(F.round(F.sum(one), 6).alias("score"))
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    one = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(avgdl or 1.0))))
+    # df has a row for each query word.
+    score = tf.join(F.broadcast(df), "term").groupBy("id").agg(F.round(F.sum(one), 6).alias("score"))
     return ranked(score.where("score is not null"), "score", limit, False)
 
 
