@@ -15,6 +15,8 @@ from dossier.session import materialise, prepare, read_table, table_path
 
 #: A document whose best language gets less than this of its positions' probability is rejected.
 LEAST_SCORE = 0.4
+#: Ids of documents that go which may be broadcast (8 bytes each).
+BROADCAST_IDS = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +37,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     prepare(spark)
     found = materialise(near_duplicates(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")), "near")
-    stays = found.where("stays").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = docs.join(stays.select("doc_id"), "doc_id", "left_semi")
-    if not stays.where("n > 1").isEmpty():
+    goes = found.where("not stays").select("doc_id").distinct()
+    # Documents are shuffled only if more of them go than may be broadcast.
+    kept = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(goes) if goes.count() <= BROADCAST_IDS else goes, "doc_id", "left_anti")
+    if not found.where("stays").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(*docs.columns)
 
