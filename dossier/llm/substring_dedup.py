@@ -124,6 +124,8 @@ class _Repeated:
 def _candidates(width: int, bits: int, shards: int, repeated):
     """Windows estimated repeated, dealt into shards by their anchor, equal ones of a flush as one.
 
+    Equal windows have equal anchors, and neighbours mostly the same, so a document meets few shards.
+
     Of windows that a flush holds more than once, one goes to its shard with the count 2; all their
     places are known to be repeated and go to the shard of their document.
     """
