@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.session import discard, materialise
 
-#: Surviving (length, prefix hash) keys that may be broadcast: 24 bytes each, so 24 MB at most.
+#: Surviving (length, prefix hash) keys, or groups of copies, that may be broadcast: about 100 bytes each, 100 MB at most.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -57,6 +57,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("_size"))
         .where("_size > 1")
     )
+    # Written first, so that the join deals its sides anew and a hot key can be divided among tasks.
+    groups = materialise(groups, "exact-groups")
+    if groups.count() <= BROADCAST_KEYS:
+        groups = F.broadcast(groups)
     out = rows.withColumn("_key", key).join(groups, "_key", "left")
     lone = F.col("_size").isNull()
     return out.select(
