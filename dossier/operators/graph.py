@@ -63,9 +63,7 @@ def paths(edge: DataFrame, start: DataFrame, depth: int, columns: dict[str, str]
         out.append(now)
         step = now.join(e, F.element_at("path", -1) == F.col("_s")).where(~F.array_contains("path", F.col("_t")))
         now = step.select(F.array_append("path", F.col("_t")).alias("path"), *[F.array_append(n, F.col(f"_{n}")).alias(n) for n in columns])
-    if not out:
-        return now
-    total = out[0]
+    total = out[0] if out else now
     for x in out[1:]:
         total = total.union(x)
     return total.withColumn("hops", F.size("path") - 1)
@@ -92,8 +90,6 @@ def find_paths(entity: DataFrame, edge: DataFrame, source: str, target: str, max
     ends = lambda q: entity.where(F.col("label").contains(q)).orderBy("id").limit(cap).select("id")
     goal = materialise(ends(target), "goal")
     found = paths(edge, ends(source), max_hops, {"types": "edge_type", "confidences": "confidence"}, reachable_to(edge, goal, max_hops))
-    if "hops" not in found.columns:
-        return found, False
     hit = found.join(goal.select(F.col("id").alias("_g")), F.element_at("path", -1) == F.col("_g"), "left_semi")
     score = F.round(F.aggregate("confidences", F.lit(1.0), lambda a, x: a * x), 9)
     best = hit.select("path", "types", "hops", score.alias("score")).orderBy(F.desc("score"), "path", "types").limit(limit + 1)
@@ -178,8 +174,6 @@ def infer_control(edge: DataFrame, threshold: float = CONTROL, depth: int = OWN_
     held = own.where("share_pct is not null and source_id <> target_id").groupBy("source_id", "target_id").agg((F.max("share_pct") / 100).alias("share"))
     held = materialise(held, "own")
     found = paths(held, held.select(F.col("source_id").alias("id")), depth, {"shares": "share"})
-    if "hops" not in found.columns:
-        found = found.withColumn("hops", F.size("path") - 1)
     rows = found.select(F.get("path", F.lit(0)).alias("source_id"), F.element_at("path", -1).alias("target_id"), F.aggregate("shares", F.lit(1.0), lambda a, x: a * x).alias("p"), "hops", "path")
     sums = rows.groupBy("source_id", "target_id").agg(F.round(F.sum("p"), 9).alias("stake"), F.max("hops").alias("hops"), F.min_by("path", F.struct(-F.col("hops"), F.col("path"))).alias("chain"))
     out = sums.join(held, ["source_id", "target_id"], "left_anti").where(F.col("stake") >= threshold)

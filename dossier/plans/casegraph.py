@@ -43,8 +43,8 @@ EDGE = f"""
         union all select concat('n', cast(n_nationkey as varchar(20))), concat('r', cast(n_regionkey as varchar(20))), 'LOCATED_AT', {_EDGE}, cast(n_nationkey as bigint) from nation
         union all select concat('s', cast(s_suppkey div 2 as varchar(20))), concat('s', cast(s_suppkey as varchar(20))), 'OWNS', cast(null as double), cast(null as varchar(3)),
             cast(30 + s_suppkey % 70 as double), s_suppkey + 2 from supplier where s_suppkey > 0
-        union all select concat('s', cast(s_suppkey as varchar(20))), concat('s', cast((11 * s_suppkey + 7) % 100 as varchar(20))), 'PAID_TO', cast(1000 + s_suppkey as double),
-            case s_suppkey % 3 when 0 then 'USD' when 1 then 'EUR' else 'CAD' end, cast(null as double), s_suppkey + 3 from supplier where s_suppkey < 100
+        union all select concat('s', cast(s_suppkey as varchar(20))), concat('s', cast((11 * s_suppkey + 7) % n_suppliers as varchar(20))), 'PAID_TO', cast(1000 + s_suppkey as double),
+            case s_suppkey % 3 when 0 then 'USD' when 1 then 'EUR' else 'CAD' end, cast(null as double), s_suppkey + 3 from (select s_suppkey, count(*) over () as n_suppliers from supplier) p
         union all select concat('k', cast(a.doc_id as varchar(20))), concat('k', cast(b.doc_id as varchar(20))), 'CONTRADICTS', {_EDGE}, a.doc_id
             from labels a join labels b on b.doc_id = a.doc_id + 1 where a.quality <> b.quality) t"""
 
