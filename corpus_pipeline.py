@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from dossier.llm.curriculum import mix, training_order
 from dossier.llm.decontaminate import decontaminate
 from dossier.llm.gru_langid import UNKNOWN, learn, predict
+from dossier.llm.near_copies import near_copies
 from dossier.llm.queries import tokenizer_path
-from dossier.llm.simhash import near_duplicates
 from dossier.llm.token_files import read_token_files, write_token_files
 from dossier.session import materialise, prepare, read_table, table_path
 
@@ -31,12 +31,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+    """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more): the one with the smallest doc_id.
 
     A document without doc_id can't be the one that stays and goes; of rows that share one, one stays.
     """
     prepare(spark)
-    found = materialise(near_duplicates(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")), "near")
+    found = materialise(near_copies(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")), "near")
     goes = found.where("not stays").select("doc_id").distinct()
     # Documents are shuffled only if more of them go than may be broadcast.
     kept = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(goes) if goes.count() <= BROADCAST_IDS else goes, "doc_id", "left_anti")
