@@ -51,9 +51,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order; the last of a source may be cut."""
+    """Documents as often as the mix takes them, in training order; each is whole."""
     prepare(spark)
-    return training_order(docs, mix(docs))
+    return training_order(docs, mix(docs), whole=True)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,17 +130,20 @@ def mix(
     return out
 
 
-def training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """docs in training order: one row for each time the mix reads a document, sorted by position.
 
     A copy that the mix ends inside (at most one for each source) has the words it takes, joined by
-    spaces; all others have their text unchanged. Rows of docs that share an id share their places,
+    spaces; all others have their text unchanged. If whole, that copy is read unchanged or not at all,
+    whichever brings its source nearer to the target. Rows of docs that share an id share their places,
     so give ids that are unique.
     """
     spark = docs.sparkSession
     place = mixed.where(F.size("places") > 0).select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.explode("places").alias("_place"))
+    if whole:
+        place = place.where(2 * F.col("_place.words") >= F.col("_size"))
     joined = docs.join(place, F.col(f"`{id_col}`") == F.col("_id"))
     cut = F.array_join(F.slice(words_of(F.col(f"`{text_col}`")), F.lit(1), F.col("_place.words").cast("int")), " ")
     text = F.when(F.col("_place.words") < F.col("_size"), cut).otherwise(F.col(text_col))
-    out = joined.withColumn(text_col, text)
+    out = joined if whole else joined.withColumn(text_col, text)
     return out.repartitionByRange(partitions(spark), "_place.position", "_id", "_place.copy").sortWithinPartitions("_place.position", "_id", "_place.copy").select(*[F.col(f"`{c}`") for c in docs.columns])
