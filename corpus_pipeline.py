@@ -15,8 +15,8 @@ from dossier.session import materialise, prepare, read_table, table_path
 
 #: A document whose best language gets less than this of its positions' probability is rejected.
 LEAST_SCORE = 0.4
-#: Ids of documents that go which may be broadcast (8 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Rows that go whose keys may be broadcast (24 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +33,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more): the one with the smallest doc_id.
 
-    A document without doc_id can't be the one that stays and goes; of rows that share one, one stays.
+    Rows are told apart by doc_id and a 128-bit hash of the text, so null and repeated ids lose no other
+    text; of rows with one id and one text one stays. A null id comes after all others.
     """
     prepare(spark)
-    found = materialise(near_copies(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")), "near")
-    goes = found.where("not stays").select("doc_id").distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = {"_i": F.col("doc_id"), "_x": F.xxhash64(text), "_y": F.xxhash64(F.lit(1), text)}
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), *[c.alias(k) for k, c in key.items()]).alias("row"), "text")
+    found = materialise(near_copies(rows, id_col="row").select("row", F.col("row").eqNullSafe(F.col("component_id")).alias("stays")), "near")
+    goes = found.where("not stays").select(*[F.col(f"row.{k}").alias(f"{k}2") for k in key]).distinct()
+    keyed = docs.withColumns(key)
     # Documents are shuffled only if more of them go than may be broadcast.
-    kept = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(goes) if goes.count() <= BROADCAST_IDS else goes, "doc_id", "left_anti")
-    if not found.where("stays").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+    same = F.col("_i").eqNullSafe(F.col("_i2")) & (F.col("_x") == F.col("_x2")) & (F.col("_y") == F.col("_y2"))
+    kept = keyed.join(F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes, same, "left_anti")
+    if not found.where("stays").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(list(key))
     return kept.select(*docs.columns)
 
 

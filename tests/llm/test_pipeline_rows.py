@@ -23,3 +23,13 @@ def test_mixing_takes_whole_documents(spark, small):
         target = next(r.target for r in mixed if r.mix_source == s)
         last = [r.size for r in mixed if r.mix_source == s and any(p.words < r.size for p in r.places)]
         assert abs(words - target) <= max(last, default=0) / 2 + 0.5
+
+
+def test_near_dedup_drops_rows_not_ids(spark, small, monkeypatch):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "a clean text without id"), (None, "one more clean text without id"), (1, long), (5, long + " end"), (5, "quite another text under this id"), (None, long), (7, "twice the same row"), (7, "twice the same row"), (None, "twice without id"), (None, "twice without id")]
+    want = Counter([*rows[:3], rows[4], rows[6], rows[8]])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", limit)
+        assert Counter(map(tuple, corpus_pipeline.near_dedup(spark, docs, small).collect())) == want
