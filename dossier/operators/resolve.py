@@ -88,33 +88,32 @@ def cosine_pairs(entity: DataFrame, threshold: float = COSINE, exclude: tuple[st
     return a.join(b, "entity_type").where("a < b").select("a", "b", F.round(X.cosine(F.col("ea"), F.col("eb")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
-def greedy(entity: DataFrame, pairs: DataFrame, order: str = "ord", max_rounds: int = 50) -> DataFrame:
+def greedy(entity: DataFrame, pairs: DataFrame, order: str = "ord") -> DataFrame:
     """(id, canonical) as a single pass in order would give: an entity joins the best representative before it, or becomes one.
 
-    Matches are not transitive. In rounds, an undecided entity with no undecided match before it is
-    decided: it joins the matching representative of the best score, first in order, or stands for itself.
+    Matches are not transitive. In rounds, an undecided entity is no representative as soon as one
+    before it that it matches is one, whichever it will join; it is one when all of these are known not
+    to be. Every round decides the first that is open, so rounds go on until none is. Then each entity
+    joins the matching representative of the best score, first in order, or stands for itself.
     """
     score = next(c for c in pairs.columns if c not in ("a", "b"))
     at = entity.select("id", F.col(order).alias("o"))
     p = pairs.select("a", "b", F.col(score).alias("s")).union(pairs.select("b", "a", F.col(score)))
     p = p.join(at.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(at.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b").where("ob < oa")
     p = materialise(p, "greedy-pairs")
-    state = materialise(at.select("id", F.lit(None).cast("string").alias("canonical"), F.lit(False).alias("done")), "greedy")
-    for _ in range(max_rounds):
-        known = state.select(F.col("id").alias("b"), F.col("canonical").alias("cb"), F.col("done").alias("db"))
-        best = F.max(F.when(F.col("db") & (F.col("cb") == F.col("b")), F.struct("s", (-F.col("ob")).alias("o"), "b")))
-        view = p.join(known, "b").groupBy(F.col("a").alias("id")).agg(F.bool_or(~F.col("db")).alias("wait"), best.alias("best"))
-        new = state.join(view, "id", "left").select(
-            "id",
-            F.when(F.col("done"), F.col("canonical")).when(F.coalesce("wait", F.lit(False)), F.lit(None)).otherwise(F.coalesce("best.b", "id")).alias("canonical"),
-            (F.col("done") | ~F.coalesce("wait", F.lit(False))).alias("done"),
-        )
-        after = materialise(new, "greedy")
+    later = p.select(F.col("a").alias("id")).distinct()
+    state = at.select("id").join(later.withColumn("later", F.lit(True)), "id", "left").select("id", F.when(F.col("later"), F.lit(None)).otherwise(True).cast("boolean").alias("stands"))
+    state = materialise(state, "greedy")
+    while not state.where("stands is null").isEmpty():
+        known = state.select(F.col("id").alias("b"), F.col("stands").alias("first"))
+        view = p.join(known, "b").groupBy(F.col("a").alias("id")).agg(F.bool_or(F.coalesce("first", F.lit(False))).alias("joins"), F.bool_or(F.col("first").isNull()).alias("wait"))
+        decided = F.when(F.col("joins"), False).when(~F.col("wait"), True)
+        after = materialise(state.join(view, "id", "left").select("id", F.coalesce("stands", decided).alias("stands")), "greedy")
         discard(state)
         state = after
-        if state.where("not done").isEmpty():
-            return state.select("id", "canonical")
-    raise RuntimeError("the order of matches is longer than the rounds allow")
+    heads = state.where("stands").select(F.col("id").alias("b"))
+    best = p.join(heads, "b").groupBy(F.col("a").alias("id")).agg(F.max(F.struct("s", (-F.col("ob")).alias("o"), "b")).alias("best"))
+    return state.join(best, "id", "left").select("id", F.coalesce("best.b", "id").alias("canonical"))
 
 
 def multifield(entity: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

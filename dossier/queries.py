@@ -468,6 +468,7 @@ def _(g):
 
 query("er_splink")(lambda g: Z.fellegi_sunter(_people(g)))
 query("er_greedy", "select vec_id id, vec_id canonical from embeddings where vec_id = 0")(lambda g: Z.greedy(g.values([("0", 0)], "id string, ord long"), g.values([], "a string, b string, s double")).select(F.col("id").cast("long").alias("id"), F.col("canonical").cast("long").alias("canonical")))
+query("er_greedy_vectors")(lambda g: (lambda v: Z.greedy(v, Z.cosine_pairs(v, 0.3)))(_vecs(g)))
 query("snk_report")(lambda g: g.values([(T.report({"entities": g("entity").count()}, G.gaps(G.communities(_ss(g)), _ss(g)), G.bridges(_ss(g)), G.surprising(G.betweenness(_ss(g)), G.degrees(G.simple(_ss(g))))),)], "json string"))
 query("snk_skeleton")(lambda g: g.values([(T.skeleton_json(G.skeleton(_ss(g), 20), g("entity"), G.simple(_ss(g)).count()),)], "json string"))
 query("r_embed", "select id, length(body)::double d from chunk", "document", "chunk")(lambda g: S.embed(g("chunk"), lambda texts: [[float(len(t))] for t in texts]).select("id", F.get("embedding", F.lit(0)).alias("d")))
