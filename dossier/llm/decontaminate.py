@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.bitmap import marked
 from dossier.session import materialise
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Word characters are digits, a-z (after lower-casing A-Z) and everything beyond ASCII.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows that may be broadcast (about 150 bytes each, 150 MB at most); beyond it Spark shuffles.
-BROADCAST_WINDOWS = 1_000_000
-#: Distinct opening hashes that may travel in the plan as a hash set (400 KB); beyond it none is used.
-OPENINGS = 50_000
+#: Distinct opening hashes in one hash set, which is broadcast with the plan (50 MB at most in memory). More of them are
+#: dealt into several sets of this size, with a pass over the documents for each.
+OPENINGS = 1_000_000
 OPENING = 3
-#: Contaminated texts (12 bytes each) that may be broadcast to drop documents.
-BROADCAST_TEXTS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -32,13 +30,17 @@ def _opening(start: Column, n: int) -> Column:
     return F.xxhash64(*[F.get("_w", start + k) for k in range(min(n, OPENING))])
 
 
-def _window(n: int, openings: list[int] | None):
+def _among(value: Column, openings: DataFrame) -> Column:
+    """Whether value is in the one long column of openings, a hash set in the plan; it goes from Spark to Spark."""
+    values = openings.agg(F.collect_set(openings.columns[0]))._jdf.first().getSeq(0)
+    return type(value)(value._jc.isInCollection(values))
+
+
+def _window(n: int, openings: DataFrame):
     """The n words from a position, or null if they overrun the text or open as no window does."""
 
     def window(_, i):
-        inside = i + n <= F.size("_w")
-        if openings is not None:
-            inside = inside & _opening(i, n).isin(openings)
+        inside = (i + n <= F.size("_w")) & _among(_opening(i, n), openings)
         return F.when(inside, F.struct(i.alias("pos"), F.lit(n).alias("n"), _gram(i, n).alias("gram")))
 
     return window
@@ -63,32 +65,31 @@ def find_contamination(
 ) -> DataFrame:
     """One row per row of docs: id, n_words, n_hit, n_items, items (sorted ids), hits (pos, n), contaminated.
 
-    Windows of the items form a hash set that is broadcast when it is small enough, which is checked.
-    A document's positions pass a hash set of the windows' first words, and the words of those that
-    pass are compared with the windows' own: a join on the words themselves, so hash collisions
-    cannot count. Nothing of a document is shuffled but its matches and one row of counts.
+    The first words of the items' windows form a hash set that is broadcast; its size is bounded, and
+    a benchmark with more windows is dealt into several sets, each with its own pass. A document's
+    positions pass the set, and the words of those that pass are compared with the windows' own: a
+    join on the words themselves, so hash collisions cannot count. Nothing of a document is shuffled
+    but its matches and one row of counts.
     Null and empty texts have no words; items without words have no windows; a null item id is left
-    out of items. Repeated rows are judged each on its own.
+    out of items. Repeated rows are judged each on its own, null ids too. Texts of any length are read
+    whole. Extra columns are ignored. Empty tables: no documents give no rows, no items no hits.
     """
-    windows = _item_windows(items, width, item_col, item_text_col).cache()
-    try:
-        lengths = {r[0]: r[1] for r in windows.groupBy("_n").agg(F.count(F.lit(1))).collect()}  # at most width rows
-        openings: dict[int, list[int]] = {}
-        if sum(lengths.values()) <= OPENINGS:
-            for n, values in windows.groupBy("_n").agg(F.collect_set("_open")).collect():
-                openings[n] = values
-    finally:
-        windows.unpersist()
+    windows = materialise(_item_windows(items, width, item_col, item_text_col), "windows")
+    lengths = {r[0]: r[1] for r in windows.groupBy("_n").agg(F.countDistinct("_open")).collect()}  # at most width rows
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.monotonically_increasing_id().alias("_row"), words(F.col(f"`{text_col}`")).alias("_w"))
-    empty = F.array().cast("array<struct<pos:int,n:int,gram:string>>")
-    found = []
-    for n in sorted(lengths):
-        found.append(F.filter(F.transform("_w", _window(n, openings.get(n))), lambda x: x.isNotNull()))
-    counts = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("gram")))
-    spots = base.select("_id", "_row", F.size("_w").cast("long").alias("_words"), F.inline(F.concat(counts, *(found or [empty]))))
+    kind = "array<struct<pos:int,n:int,gram:string>>"
+    # The row of counts meets no window (n = 0) and has a word of its own, so these rows don't meet in a task.
+    counts = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.col("_row").cast("string").alias("gram")))
+    sets = {n: -(-k // OPENINGS) for n, k in lengths.items()}
+    spots = None
+    for turn in range(max([1, *sets.values()])):
+        found = [counts.cast(kind)] if turn == 0 else []
+        for n in sorted(k for k, many in sets.items() if turn < many):
+            own = windows.where((F.col("_n") == n) & (F.pmod("_open", F.lit(sets[n])) == turn)).select("_open").distinct()
+            found.append(F.filter(F.transform("_w", _window(n, own)), lambda x: x.isNotNull()))
+        part = base.select("_id", "_row", F.size("_w").cast("long").alias("_words"), F.inline(F.concat(*found)))
+        spots = part if spots is None else spots.union(part)
     keys = windows.select("_item", F.col("_n").alias("_wn"), F.col("_g").alias("_wg"))
-    if sum(lengths.values()) <= BROADCAST_WINDOWS:
-        keys = F.broadcast(keys)
     matched = spots.join(keys, (F.col("gram") == F.col("_wg")) & (F.col("n") == F.col("_wn")), "left").where("pos < 0 or _wn is not null")
     hit = F.when(F.col("pos") >= 0, F.struct("pos", "n"))
     grouped = matched.groupBy("_row").agg(
@@ -109,9 +110,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
     """docs without contaminated documents, or (remove='spans') without the words that were hit.
 
     What is hit depends on the text alone, so findings go back to documents by two hashes of it, 96
-    bits in all; documents are shuffled only if more texts are contaminated than may be broadcast.
-    A removed word takes the separators after it along. Null texts stay as they are. Columns are
-    those of docs, extra ones included.
+    bits in all. A bitmap of the hashes parts the documents that surely stay as they are; only the
+    others are shuffled. A removed word takes the separators after it along. Null texts stay as they
+    are, repeated rows are judged each. Columns are those of docs, extra ones included.
     """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -120,16 +121,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
     found = find_contamination(plain.select(F.struct(*keys).alias("key"), F.col(text).alias("text")), items, width, "key")
     found = found.where("contaminated").groupBy("key").agg(F.first("hits").alias("hits"))
     found = materialise(found.select(F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"), "hits"), "contaminated")
-    few = found.count() <= BROADCAST_TEXTS
-    keyed = plain.select("*", *keys)
+    keyed = marked(plain.select("*", *keys), F.col("k1"), found.select("k1"), "doubt")
+    sure, doubt = keyed.where("not doubt").select(*plain.columns), keyed.where("doubt")
     if remove == "documents":
-        bad = found.select("k1", "k2")
-        kept = keyed.join(F.broadcast(bad) if few else bad, ["k1", "k2"], "left_anti")
+        kept = doubt.join(found.select("k1", "k2"), ["k1", "k2"], "left_anti").select(*plain.columns)
     else:
-        kept = keyed.join(found, ["k1", "k2"], "left")
+        kept = doubt.join(found, ["k1", "k2"], "left")
         separator = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
         pieces = F.split(F.col(text), f"(?<={separator})(?=[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])")
         lead = F.col(text).rlike("^" + separator).cast("int")
         left = F.filter(pieces, lambda _, i: ~F.exists("hits", lambda x: (i - lead >= x["pos"]) & (i - lead < x["pos"] + x["n"])))
         kept = kept.withColumn(text, F.when(F.col("hits").isNotNull(), F.array_join(left, "")).otherwise(F.col(text)))
-    return kept.select(*[F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)])
+    return sure.union(kept.select(*plain.columns)).toDF(*names)

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.llm.memory import lean
 from dossier.llm.words import slices, utf8
 
 #: Bytes of a window; a text is cut into windows, all of them read, each from a state of zero.
@@ -163,25 +164,33 @@ def held_out(ident: Column, folds: int, fold: int) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2) -> Network:
     """A network from a bounded sample of the labelled documents outside the fold.
 
-    Up to TRAIN_DOCS documents, shared evenly among the languages and drawn by a hash of the id; of
-    each up to TRAIN_WINDOWS windows, at places anywhere in the text, drawn by a hash too. The
-    counts of the languages are all that is gathered besides.
+    TRAIN_DOCS documents at most, shared evenly among the languages (all of a language with fewer),
+    drawn by a hash of id and text; of each up to TRAIN_WINDOWS windows, at places anywhere in the
+    text, drawn by a hash too. A row that is there several times is drawn once. Of more
+    languages than TRAIN_DOCS those with most documents are learned. Nothing else is gathered.
     """
     lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
     known = docs.where(lang.isNotNull() & text.isNotNull() & ~held_out(F.col(f"`{id_col}`"), folds, fold))
-    counts = {r[0]: r[1] for r in known.groupBy(lang.alias("lang")).agg(F.count(F.lit(1))).collect()}
+    # The draw is by id and text: rows that share an id are drawn apart. It has 63 bits, so no count is too large for a share.
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col(f"`{id_col}`").cast("string"), text), 1)
+    seen = known.select(lang.cast("string").alias("l"), draw.alias("d"))
+    # As each language needs a document, there are TRAIN_DOCS of them at most: what is gathered has a fixed size.
+    top = seen.groupBy("l").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "l").limit(TRAIN_DOCS).collect()
+    counts = {r[0]: r[1] for r in top}
     langs = sorted(counts)
     if not langs:
         return Network([], _init(1, np.random.default_rng(7)))
-    want = max(50, TRAIN_DOCS // len(langs))
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(f"`{id_col}`").cast("string")), F.lit(1_000_000))
-    bound = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1_000_000, want * 1_000_000 // counts[k])))])
-    picked = known.where(draw < F.element_at(bound, lang))
-    place = [F.pmod(F.xxhash64(F.lit(i), F.col(f"`{id_col}`").cast("string")), F.greatest(F.lit(1), F.length(text) - WINDOW + 1)) + 1 for i in range(TRAIN_WINDOWS)]
+    want = max(1, TRAIN_DOCS // len(langs))
+    # Twice the share is let through, and of these the least draws count, so all languages reach their number.
+    bound = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1 << 63, (2 * want + 20) * (1 << 63) // counts[k]) - 1))])
+    picked = known.withColumn("_draw", draw).where(F.col("_draw") <= F.coalesce(F.element_at(bound, lang.cast("string")), F.lit(-1).cast("long")))
+    place = [F.pmod(F.xxhash64(F.lit(i), "_draw"), F.greatest(F.lit(1), F.length(text) - WINDOW + 1)) + 1 for i in range(TRAIN_WINDOWS)]
     rows = picked.select(
-        F.col(f"`{id_col}`").cast("string").alias("i"), lang.alias("l"),
+        F.col("_draw").alias("d"), lang.cast("string").alias("l"),
         F.array_distinct(F.array(*[F.substring(text, p.cast("int"), F.lit(WINDOW)) for p in place])).alias("w"),
-    ).orderBy("i", "l").collect()
+    ).distinct()
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("d", "w"))
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= want).orderBy("d", "l").collect()
     samples = [(t.encode()[:WINDOW], langs.index(r["l"])) for r in rows for t in sorted(r["w"]) if t]
     windows = np.full((len(samples), WINDOW), 32, np.uint8)
     mask = np.zeros((len(samples), WINDOW), bool)
@@ -224,11 +233,17 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), text.alias("text_in"), *[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)])
     kinds = [f"c{k} {docs.schema[n].dataType.simpleString()}" for k, n in enumerate(names)]
-    out = rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    out = rows.mapInArrow(lean("language", run), ", ".join([*kinds, "lang_pred string", "score double"]))
     return out.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)], "lang_pred", "score")
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2) -> DataFrame:
-    """One row per row of docs: id, held_out, lang_pred, score. Extra columns are ignored."""
+    """One row per row of docs: id, held_out, lang_pred, score.
+
+    Every byte of every text is read. Null texts and texts without a letter are `und` with score 0;
+    null languages teach nothing; a null id is in no fold. Of equal probabilities the language first
+    in order wins. Repeated rows are predicted each; extra columns are ignored; an empty table gives
+    an empty result.
+    """
     net = learn(docs, id_col, text_col, lang_col, folds, fold)
     return predict(docs, net, id_col, text_col).select(id_col, held_out(F.col(f"`{id_col}`"), folds, fold).alias("held_out"), "lang_pred", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.curriculum import mix
+from dossier.llm.curriculum import by_position, mix
 from dossier.llm.decontaminate import find_contamination
 from dossier.llm.exact_dedup import exact_dedup
 from dossier.llm.gru_langid import language_id
@@ -59,7 +59,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = by_position(mix(read_table(spark, sf_dir, "documents")))
+    place = lambda k: F.round(F.try_element_at("places", F.lit(k))["position"], 9)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("places").cast("long").alias("copies"), place(1).alias("first_position"), place(-1).alias("last_position"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,13 +138,21 @@ SQL = {
         t as (
             select source, n, case when k0 is null or k < k0 then (3 * n)::double
                 else (select g.l from f g where g.k = f.k0) * wt / (select g.v from f g where g.k = f.k0)::double end target from f),
+        r as (select source, (row_number() over (order by source nulls last) - 1) nth, count(*) over () many from s),
+        e as (select source, case when many > 1 then 2.0::double * nth / (many - 1) - 1.0 else 0.0 end bend from r),
         p as (
-            select doc_id, size, n, target, least(3 * n, floor(target + 0.5)::bigint) words,
+            select doc_id, size, n, target, least(3 * n, floor(target + 0.5)::bigint) words, 1.0 - 0.5 * bend w0, 1.0 + 0.5 * bend w1,
                    coalesce(sum(size) over (partition by d.source order by draw, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint start
-            from d join t on d.source is not distinct from t.source)
-        select doc_id, size, n source_size, target,
-               (case when n = 0 then 0 else words // n * size + greatest(0, least(size, words % n - start)) end)::bigint taken
-        from p""",
+            from d join t on d.source is not distinct from t.source join e on d.source is not distinct from e.source),
+        q as (
+            select *, case when n = 0 then 0 else words // n end passes, case when n = 0 then 0 else greatest(0, least(size, words % n - start)) end more from p),
+        g as (select *, case when size = 0 then 0 else passes + (more > 0)::int end copies from q),
+        h as (
+            select *, (0 * n + start)::double / words * (w0 + w1) / 2 a, ((copies - 1) * n + start)::double / words * (w0 + w1) / 2 b from g)
+        select doc_id, size, n source_size, target, (passes * size + more)::bigint taken, copies::bigint copies,
+               case when copies > 0 then round(2 * a / (w0 + sqrt(w0 * w0 + 4 * ((w1 - w0) / 2) * a)), 9) end first_position,
+               case when copies > 0 then round(2 * b / (w0 + sqrt(w0 * w0 + 4 * ((w1 - w0) / 2) * b)), 9) end last_position
+        from h""",
 }
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -137,11 +138,17 @@ def decode_from(block: bytes, table: Table, mark: int, opened: tuple | None = No
     return out
 
 
+def decode_parts(block: bytes, table: Table) -> Iterator[np.ndarray]:
+    """The ids of a block, from checkpoint to checkpoint; after the last they are held against their checksum."""
+    opened, crc = _open(block), 0
+    for mark in range(opened[3]):
+        ids = decode_from(block, table, mark, opened)
+        crc = zlib.crc32(np.ascontiguousarray(ids, "<u4"), crc)
+        yield ids
+    if crc != opened[5]:
+        raise ValueError("a block does not decode to what was encoded")
+
+
 def decode(block: bytes, table: Table) -> np.ndarray:
     """All ids of a block, checked against their checksum."""
-    opened = _open(block)
-    parts = [decode_from(block, table, m, opened) for m in range(opened[3])]
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != opened[5]:
-        raise ValueError("a block does not decode to what was encoded")
-    return ids
+    return np.concatenate([np.zeros(0, np.uint32), *decode_parts(block, table)])

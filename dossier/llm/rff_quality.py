@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.gru_langid import held_out
+from dossier.llm.memory import lean
 from dossier.llm.words import slices, spans, utf8, word_hashes
 from dossier.session import materialise
 
@@ -194,7 +195,7 @@ def fit(stats: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> M
     if not seen[3] or seen[1] == seen[2]:
         model.levels = np.array([0.5 if seen[0] is None else float(seen[0])])
         return model
-    sums = rows.where("part > 0").select("stats", "label").mapInArrow(_normal(model), "row long, salt long, sums array<double>")
+    sums = rows.where("part > 0").select("stats", "label").mapInArrow(lean("quality", _normal(model)), "row long, salt long, sums array<double>")
     sums = sums.groupBy("row", "salt").applyInArrow(_summed, "row long, sums array<double>").groupBy("row").applyInArrow(_summed, "row long, sums array<double>")
     m = np.array([r[1] for r in sorted(sums.collect())])
     if not len(m):
@@ -227,7 +228,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    stats = materialise(docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text")).mapInArrow(_stats, f"_id {kind}, stats array<double>"), "stats")
+    stats = materialise(docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text")).mapInArrow(lean("quality", _stats), f"_id {kind}, stats array<double>"), "stats")
     model = fit(stats, labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("label")), folds, fold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,5 +237,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                 s = np.clip(model.score(_matrix(batch.column(1))), 0, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["_id", "score", "predicted"])
 
-    out = stats.mapInArrow(run, f"_id {kind}, score double, predicted int")
+    out = stats.mapInArrow(lean("quality", run), f"_id {kind}, score double, predicted int")
     return out.select(F.col("_id").alias(id_col), held_out(F.col("_id"), folds, fold).alias("held_out"), "score", "predicted")

@@ -12,8 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.memory import lean
+from dossier.llm.near_copies import near_copies
 from dossier.plans.components import connected_components
-from dossier.session import materialise
+from dossier.session import discard, materialise
 
 DISTANCE = 2
 #: Blocks of 16 bits; at distance 2 at least two of four agree, so pairs of blocks are the keys.
@@ -62,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], ["_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(run, f"_id {kind}, fp long")
+    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(lean("simhash", run), f"_id {kind}, fp long")
 
 
 def _block_mask(kept: tuple[int, ...]) -> int:
@@ -105,19 +107,28 @@ def links(prints: DataFrame) -> DataFrame:
     return direct.union(centres).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """One row per row of docs: id, fingerprint (16 hex digits), component_id, group_size.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
+    """One row per row of docs: id and component_id, the smallest id reachable over links.
 
-    component_id is the smallest id reachable over links of at most two differing bits. Work on
-    links is done once for each different fingerprint, so a group of copies of any size is one node.
-    Null and empty texts have no words and the fingerprint zero, linked like any other; a null id is
-    never the smallest unless all are null. Repeated rows are rows. Extra columns are ignored.
+    Without a similarity, links are pairs of fingerprints at most two bits apart, and there are two
+    more columns, fingerprint (16 hex digits) and group_size. With one, links are pairs of texts whose
+    sets of shingles have at least that Jaccard similarity: those that the fingerprints show are
+    proven on the sets, and a prefix join finds the others (64 bits can't: at a similarity of 0.8 two
+    fingerprints differ in about ten bits, where pigeonhole blocks of a useful size rarely agree).
+
+    Work on links is done once for each different fingerprint or set, so a group of copies of any size
+    is one node. Null and empty texts have no words and the fingerprint zero, linked like any other
+    (by similarity: to each other); a null id is never the smallest unless all are null. Repeated rows
+    are rows. Texts of any length are read whole. Extra columns are ignored.
     """
+    if similarity is not None:
+        return near_copies(docs, links, width, similarity, id_col, text_col)
     rows = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
     prints = materialise(rows.groupBy("fp").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("n")), "prints")
     comp = connected_components(links(prints.select("fp")), "a", "b")
     rooted = prints.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("root"))
     rooted = materialise(rooted, "roots")
+    discard(prints)
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("group_size"))
     named = rooted.select("fp", "root").join(lows, "root").select("fp", "component_id", "group_size")
     return rows.join(named, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")

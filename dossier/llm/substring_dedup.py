@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.memory import lean
 from dossier.llm.words import mix64, rolling, slices, sliding, spans, utf8, word_hashes
 from dossier.session import materialise, partitions
 
@@ -284,7 +285,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     # Chosen anchors: 2 of each (width - g + 2) words, of about six bytes each.
     expected = size / 6 * 2 / ((width + 1) // 2 + 1)
     bits = max(16, math.ceil(math.log2(max(2.0, CELLS * expected))))
-    found = base.select("_text").mapInArrow(_sketch(bits, width), "page long, once binary, more binary")
+    found = base.select("_text").mapInArrow(lean("repeats", _sketch(bits, width)), "page long, once binary, more binary")
     merged = materialise(found.groupBy("page").applyInArrow(_merge, "page long, cells binary").where("length(cells) > 0"), "sketch")
     if (merged.agg(F.sum(F.length("cells") + 8)).first()[0] or 0) <= broadcast_bytes and (DEPTH << bits) // 8 <= broadcast_bytes:
         shared = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in merged.collect()])
@@ -293,12 +294,12 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
         asked, test = _asked_by_join(base, merged, bits, width), None
     shards = 8 * max(partitions(spark), math.ceil(size / 6 * 20 / (32 << 20)))
     kinds = "shard long, a binary, b binary, n binary, doc binary, pos binary, keys binary"
-    windows = asked.mapInArrow(_candidates(width, bits, shards, test), kinds).repartition(shards // 8, "shard")
-    places = windows.mapInArrow(_exact, "k1 long, k2 long, pos binary")
+    windows = asked.mapInArrow(lean("repeats", _candidates(width, bits, shards, test)), kinds).repartition(shards // 8, "shard")
+    places = windows.mapInArrow(lean("repeats", _exact), "k1 long, k2 long, pos binary")
     flags = places.groupBy("k1", "k2").agg(F.collect_list("pos").alias("pos"))
     kind = docs.schema[id_col].dataType.simpleString()
     joined = base.join(flags, ["k1", "k2"], "left").select("_id", "_text", "pos")
-    return joined.mapInArrow(_remove(width), f"_id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("_id", id_col)
+    return joined.mapInArrow(lean("repeats", _remove(width)), f"_id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("_id", id_col)
 
 
 class _Lazy:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.memory import lean
 from dossier.llm.tokens import count_tokens, tokenizer
 from dossier.llm.words import slices
 
@@ -96,5 +97,5 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("_text"))
-    out = rows.mapInArrow(run, f"_id {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(lean("tokens", run), f"_id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

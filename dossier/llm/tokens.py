@@ -8,6 +8,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from dossier.llm import memory as _memory
 from dossier.llm.words import mix64, spans, utf8, word_hashes
 
 #: Pieces a worker remembers; beyond it the memory starts afresh.
@@ -17,6 +18,8 @@ _SHIFT = np.uint64(64 - 22)
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _open: dict[str, object] = {}
 _memories: dict[tuple, object] = {}
+_memory.cache(_memories.clear)
+_memory.cache(_open.clear)
 
 
 def tokenizer(path: str):
@@ -114,7 +117,7 @@ class _Memory:
         self.life += 1
         self.key, self.again, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.known = 0
-        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.store, self.used = np.zeros(4096, np.uint32), 0
 
     def _probe(self, h: np.ndarray, again: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +148,8 @@ class _Memory:
     def _learn(self, pieces: list[str], h: np.ndarray, again: np.ndarray) -> None:
         at = self.known
         if at + len(pieces) > len(self.start):
-            grow = np.zeros(max(len(self.start), len(pieces)), np.int64)
-            self.start, self.length = np.append(self.start, grow), np.append(self.length, grow)
+            grow = max(len(self.start) // 2, len(pieces))
+            self.start, self.length = np.append(self.start, np.zeros(grow, np.int64)), np.append(self.length, np.zeros(grow, np.int32))
         # Pieces with the separator's digit are encoded apart.
         order = np.argsort(np.fromiter(("7" in p for p in pieces), bool, len(pieces)), kind="stable") if self.between is not None else np.arange(len(pieces))
         pieces, h, again = [pieces[k] for k in order.tolist()], h[order], again[order]
@@ -155,7 +158,7 @@ class _Memory:
             self.length[at + i : at + i + len(lengths)] = lengths
             if self.ids:
                 if self.used + len(ids) > len(self.store):
-                    self.store = np.append(self.store, np.zeros(max(len(self.store), len(ids)), np.uint32))
+                    self.store = np.append(self.store, np.zeros(max(len(self.store) // 2, len(ids)), np.uint32))
                 self.start[at + i : at + i + len(lengths)] = self.used + np.cumsum(lengths) - lengths
                 self.store[self.used : self.used + len(ids)] = ids
                 self.used += len(ids)
@@ -222,6 +225,8 @@ def _encoded(column: pa.Array, path: str, spaced: bool, ids: bool):
     if memory is None:
         memory = _memories[path, ids] = _Memory(tokenizer(path), ids)
     data, at = utf8(column)
+    if not len(data):
+        return memory, np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     raw = _LOWER[data].tobytes()
     plain = not any(x.lower() in raw for x in memory.special)  # texts with an added token keep whole words and case
     if plain and memory.caseless:

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from dossier.llm import near_copies
+from dossier.llm import bitmap, near_copies, simhash
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -53,18 +55,41 @@ def rows(spark, small):
     return out + [(90_001, None), (90_002, ""), (90_003, " \t"), (90_004, "one"), (90_005, "ONE"), (90_006, "two words")]
 
 
-@pytest.mark.parametrize("hubs", [2, 0])
-def test_near_copies(spark, rows, hubs, monkeypatch):
-    monkeypatch.setattr(near_copies, "HUBS", hubs)
-    if not hubs:
-        monkeypatch.setattr(near_copies, "BROADCAST_KEYS", 0)
-        monkeypatch.setattr(near_copies, "SAMPLE", 100)
+@pytest.mark.parametrize("rounds", [4, 0])
+def test_near_copies(spark, rows, rounds, monkeypatch):
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    if not rounds:  # an order that tells nothing, and all pairs of each bucket
+        monkeypatch.setattr(near_copies, "_order", lambda texts, width: (16, np.zeros(1 << 16, np.uint8)))
     want = groups(rows)
     assert len(set(want.values())) < len(rows) - 80
-    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumns({c: F.lit(1) for c in ("_id", "_text", "k", "sid", "row", "i", "x", "n")})
+    got = simhash.near_duplicates(df, width=5, similarity=0.8).collect()
     assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
 
 
+def test_a_full_bitmap_loses_nothing(spark):
+    df, keys = spark.range(0, 3000), spark.range(0, 3000, 7)
+    for most in (1 << 15, 1 << 26):
+        got = {r.id for r in bitmap.maybe_in(df, F.col("id"), keys, most).collect()}
+        assert set(range(0, 3000, 7)) <= got and len(got) < 900
+    assert bitmap.maybe_in(df, F.col("id"), keys.limit(0)).count() == 0
+    got = bitmap.marked(df.withColumn("k", F.expr("nullif(id, 3)")), F.col("k"), keys, "m").where("m").collect()
+    assert {r.id for r in got} >= {3, *range(0, 3000, 7)}
+
+
+def test_histograms_never_part_similar_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 40, 700, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[: -(-9 * len(a) // 10)], rng.integers(0, 1 << 63, n // 10).astype(np.uint64) * np.uint64(2)]))
+        both = len(np.intersect1d(a, b))
+        assert near_copies._may_share(near_copies._histogram(a), near_copies._histogram(b), both)
+        if n >= 40:
+            other = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            assert not near_copies._may_share(near_copies._histogram(a), near_copies._histogram(other), int(0.89 * n))
+    assert near_copies._histogram(np.arange(100, dtype=np.uint64)) == b""
+
+
 def test_near_dedup_drops_near_copies(spark, rows, small):
     import corpus_pipeline
 
@@ -73,4 +98,4 @@ def test_near_dedup_drops_near_copies(spark, rows, small):
 
 
 def test_no_rows(spark):
-    assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), width=5, similarity=0.8).count() == 0

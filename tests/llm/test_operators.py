@@ -1,5 +1,7 @@
 """The training-data operators against brute force, and their corner cases."""
 
+import itertools
+import re
 from collections import Counter
 
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from dossier.llm import curriculum, decontaminate, exact_dedup, gru_langid, license_scan, rans, rff_quality, simhash, substring_dedup, token_counts, token_files, tokens, words
+from dossier.llm import bitmap, curriculum, decontaminate, exact_dedup, gru_langid, license_scan, rans, rff_quality, simhash, substring_dedup, token_counts, token_files, tokens, words
 from dossier.llm.queries import tokenizer_path
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -68,13 +70,18 @@ def test_decontamination(spark, docs, rows):
     assert spans[80001] == "xx yy " and spans[80003] == "" and spans[80002] == "short item" and spans[90001] is None and len(spans) == len(got)
 
 
-def test_decontamination_without_a_hash_set_or_a_broadcast(spark, docs, monkeypatch):
-    bench = spark.createDataFrame([(1, "short item here"), (2, "a b c a b c a b c a b c")], "item_id long, text string")
-    want = {r.doc_id: (r.n_hit, r.items) for r in decontaminate.find_contamination(docs, bench).collect()}
-    monkeypatch.setattr(decontaminate, "OPENINGS", 0)
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
-    assert {r.doc_id: (r.n_hit, r.items) for r in decontaminate.find_contamination(docs, bench).collect()} == want
-    assert want[90005] == (120, ["2"])
+def test_decontamination_by_several_hash_sets(spark, docs, rows, monkeypatch):
+    df = docs.union(docs.where("doc_id > 90004").limit(3))
+    bench = spark.createDataFrame([(1, "short item here"), (2, "a b c a b c a b c a b c"), (3, dict(rows)[rows[0][0]]), (4, "x x"), (5, "é")], "item_id long, text string")
+    find = lambda: sorted((r.doc_id, r.n_words, r.n_hit, r.items) for r in decontaminate.find_contamination(df, bench).collect())
+    want = find()
+    monkeypatch.setattr(decontaminate, "OPENINGS", 7)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert find() == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (90005, 120, 120, ["2"]) in want and len(want) == len(rows) + 3
 
 
 def test_simhash(docs, rows, monkeypatch):
@@ -229,43 +236,86 @@ def test_token_files(spark, docs, rows, tmp_path, monkeypatch):
         start += len(ids)
 
 
-def test_licences():
-    s = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
-    assert s.scan("x\nreleased UNDER the mit license\ny")[1:3] == (["MIT"], "MIT")
-    assert s.scan("All rights reserved.")[3] == 1.0
-    assert s.scan(None) == (0, [], None, 0.0) and s.scan("All") == (0, [], None, 0.0)
+def licences_by_force(text, templates, scanner):
+    """As the scanner, by comparing every window with every template."""
+    cut = lambda x: re.findall("[a-z0-9]+", (x or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    pairs = list(itertools.pairwise(cut(text)))
+    best, names, covered = (0.0, 0, None), set(), set()
+    for name, texts in templates.items():
+        for t in texts:
+            own = Counter(itertools.pairwise(cut(t)))
+            m = sum(own.values())
+            for n in {min(n, len(pairs)) for n in scanner._lengths(m, license_scan.STEP)} if m and pairs else ():
+                for i in range(len(pairs) - n + 1):
+                    dice = 2 * sum((own & Counter(pairs[i : i + n])).values()) / (m + n)
+                    if dice >= scanner.threshold - 1e-12:
+                        names.add(name)
+                        covered |= set(range(2 * i, 2 * (i + n) + 1))
+                        best = min(best, (-dice, -m, name), key=lambda x: (x[0], x[1], x[2] or ""))
+    stretches = sum(k - 1 not in covered for k in covered)
+    return stretches, sorted(names), best[2], round(-best[0], 6) + 0.0
+
+
+def test_licences_by_force(spark, rows):
+    short = {k: [t for t in v if len(t) < 200] for k, v in license_scan.licence_templates().items()}
+    notice = short["GPL-3.0"][0]
+    extra = [
+        (1, "see x\nreleased UNDER the mit\n * license\ny"), (2, "All" + " " * 2000 + "rights reserved."), (3, "All"), (4, notice + " and " + notice), (5, notice.replace("General", "Very General")),
+        (6, "Licensed under the Apache Licence Version 2.0 only"), (7, "all rights all rights reserved reserved " * 4), (8, "Copyright 2020 Acme. All rights reserved. Licensed under CC BY-NC 4.0."), (9, "# " + notice.replace(" ", "\n# ")),
+    ]
+    data = [(i, t) for i, t in rows if len(t or "") < 1500][:120] + extra
+    for threshold in (0.8, 0.5, 1.0):
+        scanner = license_scan.Scanner(short, threshold)
+        want = {i: licences_by_force(t, short, scanner) for i, t in data}
+        df = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_id", "_text", "n_matches", "licences")})
+        got = {r.doc_id: (r.n_matches, r.licences, r.best_licence, r.best_dice) for r in license_scan.scan_licences(df, threshold, short).collect()}
+        assert got == want
+    assert want[2][0] == 1 and want[9][3] == 1.0
 
-    def dice(a, b):
-        a, b = (Counter(zip(w, w[1:], strict=False)) for w in (license_scan._WORD.findall(x.lower()) for x in (a, b)))
-        return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
 
-    unit = "Licensed under the Apache Licence Version 2.0 only"
-    want = max(dice(unit, t) for ts in license_scan.TEMPLATES.values() for t in ts)
-    got = license_scan.Scanner(license_scan.TEMPLATES, 0.5).best(unit)
-    assert got[0] == pytest.approx(want)
+def test_full_licences_are_found():
+    templates = license_scan.licence_templates()
+    scanner = license_scan.Scanner(templates, 0.8)
+    filler = [f"word{k}" for k in range(700)]
+    for path in ("MIT", "ISC", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "Zlib"):
+        text = templates[path][-1]
+        hidden = " ".join(filler + text.upper().split() + filler)  # one line among other words
+        changed = text.split()
+        changed[5:5] = ["Copyright", "2021", "Acme"]
+        column = pa.array([text, hidden, "\n".join(f" * {x}" for x in text.split("\n")), " ".join(changed), None, text + "\n\nlast words\n" + text])
+        found = scanner.scan(column)
+        assert [path in f[1] for f in found] == [True, True, True, True, False, True]
+        assert found[0][3] == 1.0 and found[1][3] == 1.0 and found[1][2] == path
+    assert scanner.scan(pa.array([" ".join(filler)])) == [(0, [], None, 0.0)] and scanner.scan(pa.array([], pa.string())) == []
 
 
 def test_exact_dedup(spark, rows, monkeypatch):
     more = [*rows, (95001, rows[0][1]), (95001, rows[0][1]), (None, rows[0][1]), (95002, "same start " * 30 + "1"), (95003, "same start " * 30 + "2")]
-    df = spark.createDataFrame(more, "doc_id long, text string")
+    df = spark.createDataFrame(more, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_id", "_len", "_n", "_key", "_row", "_again", "kept", "_at", "_p")})
     groups = {}
     for i, t in more:
         groups.setdefault(t or "", []).append(i)
-    for limit in (1_000_000, 0):
-        monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", limit)
+    want = Counter((i, max((x for x in groups[t or ""] if x is not None), default=None), len(groups[t or ""])) for i, t in more)
+    full = bitmap.marked
+    for mark in (full, lambda df, key, keys, flag: df.withColumn(flag, F.lit(True))):  # a bitmap that lets all rows through
+        monkeypatch.setattr(exact_dedup, "marked", mark)
         got = exact_dedup.exact_dedup(df).collect()
         assert len(got) == len(more)
-        want = Counter((i, max((x for x in groups[t or ""] if x is not None), default=None), len(groups[t or ""])) for i, t in more)
         assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == want
         assert sum(r.kept for r in got) == len(groups)
 
 
-def test_water_filling():
-    assert curriculum.water_fill([100, 100], [1, 3]) == [50.0, 150.0]
-    assert curriculum.water_fill([10, 1000], [3, 1]) == [30.0, 980.0]
-    assert curriculum.water_fill([0, 0], [1, 2]) == [0.0, 0.0]
-    t = curriculum.water_fill([1, 5, 900, 40], [3, 3, 1, 2])
+def test_water_filling(spark):
+    def fill(sizes, weights):
+        plan = spark.createDataFrame([(i, n, w) for i, (n, w) in enumerate(zip(sizes, weights, strict=True))], "i int, _total long, _weight long")
+        return [r._target for r in curriculum.water_fill(plan).orderBy("i").collect()]
+
+    assert fill([100, 100], [1, 3]) == [50.0, 150.0]
+    assert fill([10, 1000], [3, 1]) == [30.0, 980.0]
+    assert fill([0, 0], [1, 2]) == [0.0, 0.0]
+    t = fill([1, 5, 900, 40], [3, 3, 1, 2])
     assert sum(t) == pytest.approx(946) and t[0] == 3 and t[1] == 15
+    assert fill([5], [2]) == [5.0] and fill([], []) == []
 
 
 def test_mix(spark, rows):
@@ -283,13 +333,29 @@ def test_mix(spark, rows):
     assert sorted(map(str, curriculum.mix(df.repartition(3)).collect())) == sorted(map(str, got))
     # The share of a source's words read by time p is the integral of its weight, at every place.
     for k, s in enumerate(sorted(x for x in target if x is not None)):
-        w0, w1 = curriculum.ramp(k, len(target))
+        w0, w1 = 1.5 - k / (len(target) - 1), 0.5 + k / (len(target) - 1)
         before = 0
         for p, w in sorted((p.position, p.words) for r in got if r.mix_source == s for p in r.places):
             assert before / taken[s] == pytest.approx((w0 * p + (w1 - w0) * p * p / 2) / ((w0 + w1) / 2), abs=1e-9)
             before += w
-    out = curriculum.training_order(df, curriculum.mix(df))
-    assert out.columns == df.columns and out.select(F.sum(F.size(curriculum.words_of(F.col("text"))))).first()[0] == sum(taken.values())
+    first = [r.places[0].position if r.places else 2 for r in curriculum.by_position(curriculum.mix(df)).coalesce(1).collect()]
+    assert first == sorted(first)
+    # Whole documents: each source's words are off its target by half of one document at most.
+    texts, words, most = {i: t for i, t, _ in data}, Counter(), Counter()
+    out = curriculum.training_order(df.withColumns({c: F.lit(1) for c in ("_id", "_size", "_place", "d0", "row", "m0")}))
+    assert out.columns[:4] == df.columns
+    for r in out.collect():
+        assert r.text == texts[r.doc_id]
+        n = len((r.text or "").encode().split())
+        words[r.source] += n
+        most[r.source] = max(most[r.source], n)
+    assert all(abs(words[s] - target[s]) <= most[s] / 2 + 0.5 for s in target)
+    # Rows that share an id, or all they hold, are read as often as they are taken.
+    again = spark.createDataFrame([(None, "a b c", "s")] * 5 + [(1, "x y", "s")] * 2 + [(1, "z", "t")], "doc_id long, text string, source string")
+    mixed = curriculum.mix(again, whole=True).collect()
+    assert Counter(r.source for r in curriculum.training_order(again).collect()) == +Counter({s: sum(len(r.places) for r in mixed if r.mix_source == s) for s in "st"})
+
+
 
 
 def test_isotonic():
@@ -371,7 +437,7 @@ def test_pipeline_stages(spark, small):
     a = P.language(spark, docs.union(odd), small).cache()
     assert a.columns == cols and {90001, 90002}.isdisjoint(r.doc_id for r in a.collect()) and a.count() >= docs.count() * 0.99
     b = P.near_dedup(spark, a, small).cache()
-    near = simhash.near_duplicates(a).collect()
+    near = simhash.near_duplicates(a, width=5, similarity=0.8).collect()
     assert sorted(r.doc_id for r in b.collect()) == sorted({r.component_id for r in near})
     c = P.decontamination(spark, b, small).cache()
     bad = {r.doc_id for r in decontaminate.find_contamination(b, spark.read.parquet(f"{small}/benchmark.parquet")).where("contaminated").collect()}
