@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.curriculum import mix, training_order
+from dossier.llm.bitmap import marked
+from dossier.llm.curriculum import training_order
 from dossier.llm.decontaminate import decontaminate
 from dossier.llm.gru_langid import UNKNOWN, learn, predict
-from dossier.llm.near_copies import near_copies
 from dossier.llm.queries import tokenizer_path
+from dossier.llm.simhash import near_duplicates
 from dossier.llm.token_files import read_token_files, write_token_files
 from dossier.session import materialise, prepare, read_table, table_path
 
 #: A document whose best language gets less than this of its positions' probability is rejected.
 LEAST_SCORE = 0.4
-#: Rows that go whose keys may be broadcast (24 bytes each).
-BROADCAST_ROWS = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,39 +34,63 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more): the one with the smallest doc_id.
 
     Rows are told apart by doc_id and a 128-bit hash of the text, so null and repeated ids lose no other
-    text; of rows with one id and one text one stays. A null id comes after all others.
+    text; of rows with one id and one text one stays. A null id comes after all others. Null and empty
+    texts are copies of each other; an empty table stays empty; columns are those of docs.
     """
     prepare(spark)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = {"_i": F.col("doc_id"), "_x": F.xxhash64(text), "_y": F.xxhash64(F.lit(1), text)}
-    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), *[c.alias(k) for k, c in key.items()]).alias("row"), "text")
-    found = materialise(near_copies(rows, id_col="row").select("row", F.col("row").eqNullSafe(F.col("component_id")).alias("stays")), "near")
-    goes = found.where("not stays").select(*[F.col(f"row.{k}").alias(f"{k}2") for k in key]).distinct()
-    keyed = docs.withColumns(key)
-    # Documents are shuffled only if more of them go than may be broadcast.
-    same = F.col("_i").eqNullSafe(F.col("_i2")) & (F.col("_x") == F.col("_x2")) & (F.col("_y") == F.col("_y2"))
-    kept = keyed.join(F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes, same, "left_anti")
-    if not found.where("stays").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(list(key))
-    return kept.select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"d{i}" for i in range(len(names))])
+    ident, text = (F.col(f"d{names.index(n)}") for n in ("doc_id", "text"))
+    full = F.coalesce(text.cast("string"), F.lit(""))
+    key = {"i": ident, "x": F.xxhash64(full), "y": F.xxhash64(F.lit(1), full)}
+    rows = plain.select(F.struct(ident.isNull().alias("none"), *[c.alias(k) for k, c in key.items()]).alias("row"), text.alias("text"))
+    found = near_duplicates(rows, "row", "text", width=5, similarity=0.8)
+    # Keys of rows that go, and of rows that are there several times, of which one stays.
+    odd = found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("c")).withColumn("stays", F.col("row").eqNullSafe(F.col("c")))
+    odd = materialise(odd.where("n > 1 or not stays").select(*[F.col(f"row.{k}").alias(f"{k}2") for k in key], "stays"), "near-odd")
+    # A bitmap of these keys parts the rows that surely stay; only the others are shuffled.
+    keyed = marked(plain.withColumns(key), F.col("x"), odd.select("x2"), "doubt")
+    same = F.col("i").eqNullSafe(F.col("i2")) & (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))
+    judged = keyed.where("doubt").join(odd, same, "left")
+    kept = keyed.where("not doubt").select(*plain.columns).union(judged.where("stays is null").select(*plain.columns))
+    if not odd.where("stays").isEmpty():
+        kept = kept.union(judged.where("stays").dropDuplicates(list(key)).select(*plain.columns))
+    return kept.toDF(*names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item.
+
+    Texts without words and null texts stay, as do rows with a null id; repeated rows are judged each.
+    An empty table stays empty; columns are those of docs.
+    """
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order; each is whole."""
+    """Documents as often as the mix takes them, in training order; each is whole.
+
+    Null and empty texts are taken 0 times; null is a source of its own. Repeated rows and rows without
+    an id are rows like others. Columns are those of docs; an empty table stays empty.
+    """
     prepare(spark)
-    return training_order(docs, mix(docs), whole=True)
+    return training_order(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents, and what reading them back gives for each."""
+    """Token files of all documents, and what reading them back gives for each.
+
+    The files keep the training order in which the stage before wrote its rows: docs is read from its
+    Parquet files, whose numbers and rows tell it. Rows that come from no file go by doc_id.
+    A null text has its end id only; rows are told apart by their start, so repeated ones stay.
+    """
     prepare(spark)
     out = table_path(spark, "tokens")
-    write_token_files(docs, out, tokenizer_path("word_bpe_49k.json"))
+    try:
+        stored = bool(docs.select("_metadata.row_index").columns)
+    except AnalysisException:
+        stored = False
+    write_token_files(docs, out, tokenizer_path("word_bpe_49k.json"), as_stored=stored)
     return read_token_files(spark, out).withColumnRenamed("doc", "doc_id")
 
 
