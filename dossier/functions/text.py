@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Designators of legal form that end an organisation's name.
-LEGAL_FORMS = (
-    "llc llp lllp lp pllc pc pa inc incorporated corp corporation co company ltd limited plc lc "
-    "gmbh mbh ag kg kgaa ohg ug sa sas sarl sca spa srl snc nv bv cv ab as asa oy oyj "
-    "pty pte bhd sdn sl slu aps doo ojsc oao zao ooo"
-).split()
+LEGAL_FORMS = [
+    "llc", "llp", "lllp", "lp", "pllc", "pc", "pa", "inc", "incorporated", "corp", "corporation", "co", "company", "ltd",
+    "limited", "plc", "lc", "gmbh", "mbh", "ag", "kg", "kgaa", "ohg", "ug", "sa", "sas", "sarl", "sca",
+    "spa", "srl", "snc", "nv", "bv", "cv", "ab", "as", "asa", "oy", "oyj", "pty", "pte", "bhd",
+    "sdn", "sl", "slu", "aps", "doo", "ojsc", "oao", "zao", "ooo",
+]
+# Endings of several words.
 LEGAL_PHRASES = ("and sons", "and son", "and co", "and company")
 # Abbreviations of address words.
 ADDRESS_WORDS = {
@@ -22,6 +24,7 @@ ADDRESS_WORDS = {
 }
 # Ledger statuses.
 STATUSES = ("VERIFIED", "CORROBORATED", "CAPTURED", "INFERRED", "REFUTED", "DRAFT-ONLY", "GAP", "UNSUPPORTED", "DOWNGRADED", "DISPUTED")
+# Entity types that take a side, which never merge by likeness.
 STANCE_TYPES = ("policy_position", "claim", "stance", "position")
 ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
@@ -103,6 +106,35 @@ def windows(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     return F.when(F.trim(text) != "", cut).otherwise(F.array().cast("array<string>"))
 
 
+def cluster_key(kind: Column, label: Column) -> Column:
+    """Type and comparison key of a name; null if the name is blank."""
+    return F.concat(kind, F.lit("|"), norm_name(label))
+
+
+def year(c: Column) -> Column:
+    """The first number of four digits that stands alone, or ''."""
+    return F.regexp_extract(c, r"\b(\d{4})\b", 1)
+
+
+def first_rule(c: Column, rules: list[tuple[str, str]], default: str) -> Column:
+    """The name of the first rule (pattern, name) whose pattern the text holds."""
+    return F.coalesce(*[F.when(c.rlike(pattern), name) for pattern, name in rules], F.lit(default))
+
+
+def all_rules(c: Column, rules: list[tuple[str, str]]) -> Column:
+    """The names of all rules whose pattern the text holds, in the order of the rules."""
+    return F.array_compact(F.array(*[F.when(c.rlike(pattern), name) for pattern, name in rules])) if rules else F.array().cast("array<string>")
+
+
+#: Characters kept of evidence, by who writes it.
+EVIDENCE_CAP, LOADER_CAP = 500, 480
+
+
+def capped(c: Column, most: int = EVIDENCE_CAP) -> Column:
+    """Evidence, cut to the cap that graph rows have."""
+    return F.substring(c, 1, most)
+
+
 DATE = r"\d{4}-\d{2}-\d{2}|(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2},? \d{4}"
 MONEY = r"\$[\d,]+(?:\.\d{2})?"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions import text as X
+from dossier.session import materialise, partitions
 
 TOKEN = r"[a-z0-9][a-z0-9.]*(?:-[a-z0-9.]+)+"
 COLUMNS = ("ledger_id", "finding", "origin", "status", "source", "artifact")
@@ -118,4 +119,12 @@ def selector(raw: Column, fields: tuple[str, ...] = ("email", "username", "ip_ad
 
 
 def numbered(frame: DataFrame, *order: str) -> DataFrame:
-    return frame.withColumn("ord", F.row_number().over(Window.orderBy(*order)))
+    """frame with ord, counting from 1 in an order: range partitions are numbered each, after the rows of those before."""
+    spark = frame.sparkSession
+    dealt = materialise(frame.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    part, n, before = F.shiftright("_m", 33), 0, []
+    for p, c in sorted((r[0], r[1]) for r in dealt.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect()):
+        before.append((p, n))
+        n += c
+    first = spark.createDataFrame(before, "_p long, _first long")  # one row for each partition
+    return dealt.withColumn("_p", part).join(F.broadcast(first), "_p").withColumn("ord", F.col("_first") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_p", "_first")

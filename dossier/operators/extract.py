@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import text as X
 from dossier.operators.merge import first_seen
+from dossier.sources.ontology import canonical_type
 
 WINDOW = 240
 #: How sure each way of extraction is.
@@ -40,15 +41,15 @@ def _all(pattern: str, kind: str, sure: str, n: int):
     return F.transform(F.regexp_extract_all("text", F.lit(f"({pattern})")), record)
 
 
-def provided(document: DataFrame, provider: Callable[[str], list[tuple[str, str]]], sure: str = "name", source: str = "nlp", most: int = 100_000) -> DataFrame:
-    """Entities by a provider text -> [(label, type)], made once in each task; labels of two characters at least, one of each kind."""
+def provided(document: DataFrame, provider: Callable[[str], list[tuple[str, str]]], sure: str = "name", source: str = "nlp") -> DataFrame:
+    """Entities by a provider text -> [(label, type)] over whole texts; labels of two characters at least, each once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for doc, text in zip(f["id"], f["text"], strict=True):
                 seen = set()
-                for label, kind in provider((text or "")[:most]):
+                for label, kind in provider(text or ""):
                     label = label.strip()
                     if len(label) >= 2 and label.lower() not in seen:
                         seen.add(label.lower())
@@ -67,34 +68,48 @@ def gazetteer(table: dict[str, str]) -> Callable[[str], list[tuple[str, str]]]:
     return lambda text: [(m, table[m]) for m in pattern.findall(text)] if pattern else []
 
 
-def relations(chunk: DataFrame, provider: Callable[[str], list[dict]], fail_after: int = 3) -> DataFrame:
+def relations(chunk: DataFrame, provider: Callable[[str], list[dict]]) -> DataFrame:
     """Edges by a provider body -> [{source, target, type, evidence}]; malformed ones are left out.
 
-    After so many failures in a row a task stops asking; errors are a column, not a lost row.
+    Every chunk is asked for; where the provider fails, the error is a row of its own.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        failed = 0
         for f in frames:
             rows = []
             for cid, body in zip(f["id"], f["body"], strict=True):
-                if failed >= fail_after:
-                    rows.append((cid, None, None, None, None, None, "provider given up"))
-                    continue
                 try:
-                    found, failed = provider(body), 0
+                    found = provider(body)
                 except Exception as e:  # noqa: BLE001
-                    failed += 1
                     rows.append((cid, None, None, None, None, None, str(e)[:200]))
                     continue
                 for x in found:
                     if isinstance(x, dict) and all(str(x.get(k) or "").strip() for k in ("source", "target", "type")):
-                        rows.append((cid, x["source"], x["target"], x["type"], str(x.get("evidence") or "")[:500], CONFIDENCE["model"], None))
+                        rows.append((cid, x["source"], x["target"], x["type"], str(x.get("evidence") or "")[: X.EVIDENCE_CAP], CONFIDENCE["model"], None))
             yield pd.DataFrame(rows, columns=["chunk_id", "source", "target", "edge_type", "evidence", "confidence", "error"])
 
     return chunk.select("id", "body").mapInPandas(run, "chunk_id string, source string, target string, edge_type string, evidence string, confidence double, error string")
 
 
+def with_fallback(remote: Callable, local: Callable) -> Callable:
+    """A provider that asks remote and, where that fails, local."""
+
+    def ask(text: str):
+        try:
+            return remote(text)
+        except Exception:  # noqa: BLE001
+            return local(text)
+
+    return ask
+
+
+def records(found: DataFrame, now: int, url: str = "source_url") -> DataFrame:
+    """Entity records of (label, entity_type, source_url): the id that label, type and source give, one stamp for created and updated."""
+    kind = canonical_type(F.col("entity_type"))
+    base = found.withColumns({"id": X.entity_id(F.col("label"), kind, F.col(url)), "entity_type": kind, "created_at": F.lit(now).cast("long"), "updated_at": F.lit(now).cast("long")})
+    return base.withColumn("confidence", F.coalesce("confidence", F.lit(0.5)) if "confidence" in found.columns else F.lit(0.5))
+
+
 def pair_candidates(entity: DataFrame, window: int = WINDOW) -> DataFrame:
     """Ordered pairs of different labels of a document at most window characters apart; entity: doc_id, label, pos.
 

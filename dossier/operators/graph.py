@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,8 +17,6 @@ from dossier.session import discard, materialise, partitions
 
 CONTROL, OWN_DEPTH, MONEY_DEPTH = 0.25, 6, 8
 MIN_COMMUNITY, MAX_CROSS = 5, 3
-#: Rows of paths that one search may hold; beyond it the search reports that it was cut.
-PATH_ROWS = 5_000_000
 
 
 def simple(edge: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def paths(edge: DataFrame, start: DataFrame, depth: int, columns: dict[str, str]
 
     columns maps a name to the edge column to be gathered along the path. One join for each hop, over
     edges pruned to columns; reach, if given, holds the ids from which a goal can be reached at all.
-    A path holds no id twice. More rows than PATH_ROWS are an error, never a silent cut.
+    A path holds no id twice. Paths of any number are rows of a table; none are cut.
     """
     e = edge.select(F.col("source_id").alias("_s"), F.col("target_id").alias("_t"), *[F.col(c).alias(f"_{n}") for n, c in columns.items()])
     if reach is not None:
@@ -51,14 +51,10 @@ def paths(edge: DataFrame, start: DataFrame, depth: int, columns: dict[str, str]
     first = start.select(F.col("id").alias("_s")).distinct().join(e, "_s").where("_s <> _t")
     now = first.select(F.array("_s", "_t").alias("path"), *[F.array(f"_{n}").alias(n) for n in columns])
     out, made = [], []
-    for hop in range(depth):
+    for _ in range(depth):
         now = materialise(now, "paths")
         made.append(now)
-        n = now.count()
-        if n > PATH_ROWS:
-            discard(*made)
-            raise RuntimeError(f"{n} paths of {hop + 1} edges; take a smaller depth or start")
-        if not n:
+        if now.isEmpty():
             break
         out.append(now)
         step = now.join(e, F.element_at("path", -1) == F.col("_s")).where(~F.array_contains("path", F.col("_t")))
@@ -224,51 +220,95 @@ def bridges_of(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(out), columns=["u", "v"])
 
 
-def louvain_of(pdf: pd.DataFrame, seed: int = 42) -> pd.DataFrame:
-    """(id, community): moves of nodes that raise modularity, then of whole communities, until none does."""
+#: Rounds of moves in a level of the community search; most levels settle long before.
+LOUVAIN_ROUNDS = 64
+
+
+def _turn(node: str, k: int) -> bool:
+    """Whether a node may move in a round: half of them, so that neighbours do not swap for ever."""
+    return zlib.crc32(f"{node}:{k}".encode()) % 2 == 0
+
+
+def louvain_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(id, community) of one component by Louvain's moves in rounds; louvain_wide() is the same by joins.
+
+    In a round each node whose turn it is moves to the neighbouring community that raises modularity
+    most, its own or else the first by name if several do; all at once, in whole numbers. When no node
+    wants to move, communities become nodes, named by their first member, until none are joined.
+    """
     nodes, near = _adjacency(pdf)
-    rng = np.random.default_rng(seed)
-    links = [{v: 1.0 for v in x} for x in near]
-    inner = [0.0] * len(nodes)
-    total = sum(len(x) for x in near) / 2
-    member = list(range(len(nodes)))
+    links = {x: {nodes[j]: 1 for j in near[i]} for i, x in enumerate(nodes)}
+    degree = {x: len(links[x]) for x in nodes}
+    total, member = sum(degree.values()), {x: x for x in nodes}
     while True:
-        n = len(links)
-        comm = list(range(n))
-        degree = [sum(links[i].values()) + 2 * inner[i] for i in range(n)]
-        mass, moved_any = degree[:], False
-        for _ in range(50):
-            moved = False
-            for i in rng.permutation(n).tolist():
-                to: dict[int, float] = defaultdict(float)
-                for j, w in links[i].items():
-                    to[comm[j]] += w
-                mass[comm[i]] -= degree[i]
-                gain = lambda c: to[c] - degree[i] * mass[c] / (2 * total)  # noqa: B023, E731
-                best = max(sorted({comm[i], *to}), key=lambda c: (round(gain(c), 12), c == comm[i], -c))
-                mass[best] += degree[i]
-                if best != comm[i]:
-                    comm[i], moved, moved_any = best, True, True
-            if not moved:
+        comm = {x: x for x in links}
+        for k in range(LOUVAIN_ROUNDS):
+            mass: dict[str, int] = defaultdict(int)
+            for x, c in comm.items():
+                mass[c] += degree[x]
+            wish = {}
+            for x, c in comm.items():
+                to = {c: 0}
+                for y, w in links[x].items():
+                    to[comm[y]] = to.get(comm[y], 0) + w
+                best = min(to, key=lambda d: (-(total * to[d] - degree[x] * (mass[d] - (degree[x] if d == c else 0))), d != c, d))  # noqa: B023
+                if best != c:
+                    wish[x] = best
+            if not wish:
                 break
-        if not moved_any:
+            comm |= {x: c for x, c in wish.items() if _turn(x, k)}
+        name: dict[str, str] = {}
+        for x, c in comm.items():
+            name[c] = min(x, name.get(c, x))
+        if len(name) == len(links):
             break
-        ids = {c: k for k, c in enumerate(sorted(set(comm)))}
-        comm = [ids[c] for c in comm]
-        member = [comm[m] for m in member]
-        new_inner, new_links = [0.0] * len(ids), [defaultdict(float) for _ in ids]
-        for i in range(n):
-            new_inner[comm[i]] += inner[i]
-            for j, w in links[i].items():
-                if comm[i] == comm[j]:
-                    new_inner[comm[i]] += w / 2
-                else:
-                    new_links[comm[i]][comm[j]] += w
-        links, inner = [dict(x) for x in new_links], new_inner
-    first: dict[int, str] = {}
-    for node, m in zip(nodes, member, strict=True):
-        first.setdefault(m, node)
-    return pd.DataFrame({"id": nodes, "community": [first[m] for m in member]}, columns=["id", "community"])
+        to_name = {x: name[c] for x, c in comm.items()}
+        member = {x: to_name[m] for x, m in member.items()}
+        new_links, new_degree = {n: {} for n in name.values()}, dict.fromkeys(name.values(), 0)
+        for x, row in links.items():
+            a = to_name[x]
+            new_degree[a] += degree[x]
+            for y, w in row.items():
+                if (b := to_name[y]) != a:
+                    new_links[a][b] = new_links[a].get(b, 0) + w
+        links, degree = new_links, new_degree
+    return pd.DataFrame({"id": list(member), "community": list(member.values())}, columns=["id", "community"])
+
+
+def louvain_wide(tagged: DataFrame) -> DataFrame:
+    """(id, community) of components (u, v, component) of any size, as louvain_of() gives them, by joins."""
+    links = both_ways(tagged).join(tagged.select("u", "component").union(tagged.select("v", "component")).distinct(), "u").select("component", "u", "v", F.lit(1).cast("long").alias("w"))
+    links = materialise(links, "wide-links")
+    total = links.groupBy("component").agg(F.sum("w").alias("total"))
+    node = materialise(links.groupBy("component", "u").agg(F.sum("w").alias("degree")).join(total, "component").select("u", "degree", "total"), "wide-nodes")
+    member = node.select(F.col("u").alias("id"), F.col("u").alias("m"))
+    links = links.select("u", "v", "w")
+    wide = "decimal(38,0)"
+    while True:
+        now = node.withColumn("c", F.col("u"))
+        for k in range(LOUVAIN_ROUNDS):
+            now = materialise(now, "wide-round")
+            to = links.join(now.select(F.col("u").alias("v"), "c"), "v").select("u", "c", "w").union(now.select("u", "c", F.lit(0).cast("long")))
+            mass = now.groupBy("c").agg(F.sum("degree").alias("mass"))
+            own = now.select("u", "degree", "total", F.col("c").alias("own"))
+            each = to.groupBy("u", "c").agg(F.sum("w").alias("w")).join(mass, "c").join(own, "u")
+            rest = F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("degree")).otherwise(0)
+            gain = F.col("total").cast("decimal(18,0)") * F.col("w").cast("decimal(18,0)") - F.col("degree").cast("decimal(18,0)") * rest.cast("decimal(18,0)")
+            best = each.groupBy("u").agg(F.min(F.struct((-gain).cast(wide).alias("loss"), (F.col("c") != F.col("own")).alias("other"), "c")).alias("best"))
+            after = now.join(best.select("u", F.col("best.c").alias("b")), "u").withColumn("wish", F.col("b") != F.col("c"))
+            if after.where("wish").isEmpty():
+                break
+            turn = F.crc32(F.encode(F.concat("u", F.lit(f":{k}")), "UTF-8")) % 2 == 0
+            now = after.select("u", "degree", "total", F.when(F.col("wish") & turn, F.col("b")).otherwise(F.col("c")).alias("c"))
+        now = materialise(now, "wide-level")
+        name = materialise(now.groupBy("c").agg(F.min("u").alias("name")), "wide-names")
+        if name.count() == now.count():
+            return member.select("id", F.col("m").alias("community"))
+        named = now.join(name, "c").select("u", "name", "degree", "total")
+        member = materialise(member.join(named.select(F.col("u").alias("m"), "name"), "m").select("id", F.col("name").alias("m")), "wide-members")
+        a, b = named.select("u", F.col("name").alias("nu")), named.select(F.col("u").alias("v"), F.col("name").alias("nv"))
+        links = materialise(links.join(a, "u").join(b, "v").where("nu <> nv").groupBy(F.col("nu").alias("u"), F.col("nv").alias("v")).agg(F.sum("w").alias("w")), "wide-links")
+        node = materialise(named.groupBy(F.col("name").alias("u")).agg(F.sum("degree").alias("degree"), F.first("total").alias("total")), "wide-nodes")
 
 
 def _by_component(pairs: DataFrame):
@@ -276,56 +316,121 @@ def _by_component(pairs: DataFrame):
     return pairs.join(comp, F.col("u") == F.col("node")).select("u", "v", "component")
 
 
+def _parted(pairs: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """(u, v, component) of components that one task may take on, and of larger ones."""
+    tagged = materialise(_by_component(pairs), label)
+    sizes = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return tagged.join(sizes.where(F.col("n") <= COMPONENT_EDGES), "component", "left_semi"), tagged.join(sizes.where(F.col("n") > COMPONENT_EDGES), "component", "left_semi")
+
+
+def forests_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Two forests of edges, the second of those the first leaves: an edge is a bridge of the whole if and only if it is one of them."""
+    out, rest = [], sorted(zip(pdf["u"], pdf["v"], strict=True))
+    for _ in range(2):
+        root: dict[str, str] = {}
+
+        def find(x: str) -> str:
+            while root.setdefault(x, x) != x:  # noqa: B023
+                root[x] = root[root[x]]  # noqa: B023
+                x = root[x]  # noqa: B023
+            return x
+
+        left = []
+        for u, v in rest:
+            a, b = find(u), find(v)
+            if a == b:
+                left.append((u, v))
+            else:
+                root[a] = b
+                out.append((u, v))
+        rest = left
+    return pd.DataFrame(out, columns=["u", "v"])
+
+
 def bridges(edge: DataFrame) -> DataFrame:
-    """(u, v) of all bridges; each component is one task's, so one of over COMPONENT_EDGES edges is an error."""
-    tagged = materialise(_by_component(simple(edge)), "bridges")
-    if not tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMPONENT_EDGES).isEmpty():
-        raise RuntimeError(f"a component has more than {COMPONENT_EDGES} edges")
-    return tagged.groupBy("component").applyInPandas(lambda pdf: bridges_of(pdf), "u string, v string")
+    """(u, v) of all bridges.
+
+    A component that one task may take on is one task's. A larger one is first thinned: its edges are
+    dealt at random into lots of that size, of each two forests stay, which keeps every bridge and makes
+    none; again until the lots lose no more than a tenth. What is left, at most two edges for each
+    node, is one task's.
+    """
+    small, large = _parted(simple(edge), "bridges")
+    n, turn = large.count(), 0
+    while n:
+        lots = max(1, -(-n // COMPONENT_EDGES))
+        thin = large.withColumn("lot", F.pmod(F.xxhash64("u", "v", F.lit(turn)), F.lit(lots))).groupBy("component", "lot").applyInPandas(lambda key, pdf: forests_of(pdf).assign(component=key[0]), "u string, v string, component string")
+        large = materialise(thin, "bridges")
+        before, n, turn = n, large.count(), turn + 1
+        if lots == 1 or n > 0.9 * before:
+            break
+    return small.union(large.select(*small.columns)).groupBy("component").applyInPandas(lambda pdf: bridges_of(pdf), "u string, v string")
 
 
 def communities(edge: DataFrame) -> DataFrame:
-    """(id, community) by Louvain inside each component; a component of over COMPONENT_EDGES edges by label propagation."""
-    tagged = materialise(_by_component(simple(edge)), "louvain")
-    sizes = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    small = tagged.join(sizes.where(F.col("n") <= COMPONENT_EDGES), "component", "left_semi")
-    large = tagged.join(sizes.where(F.col("n") > COMPONENT_EDGES), "component", "left_semi")
+    """(id, community) by Louvain inside each component: those that a task may take on in one, larger ones by joins, with the same result."""
+    small, large = _parted(simple(edge), "louvain")
     out = small.groupBy("component").applyInPandas(lambda pdf: louvain_of(pdf), "id string, community string")
-    return out if large.isEmpty() else out.union(label_propagation(large.select("u", "v")))
-
-
-def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """Each node takes the label most of its neighbours have, the smallest of several; by joins alone."""
-    both = materialise(both_ways(pairs), "lp-edges")
-    now = materialise(both.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id")), "lp")
-    for _ in range(rounds):
-        votes = both.join(now.withColumnRenamed("id", "v"), "v").groupBy("u", "community").agg(F.count(F.lit(1)).alias("n"))
-        new = votes.groupBy(F.col("u").alias("id")).agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("community"))
-        after = materialise(new, "lp")
-        changed = not after.join(now.withColumnRenamed("community", "_c"), "id").where("community <> _c").isEmpty()
-        discard(now)
-        now = after
-        if not changed:
-            break
-    return now
+    return out if large.isEmpty() else out.union(louvain_wide(large))
 
 
-def betweenness(edge: DataFrame, pivots: int = 500, seed: int = 42, edges: bool = False) -> DataFrame:
+def _betweenness_wide(pairs: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, b), (u, v, b)), sums over the starts (id) by joins: Brandes (2001) for all starts at once, level by level."""
+    near = materialise(both_ways(pairs), "wide-near")
+    level = materialise(starts.select(F.col("id").alias("s"), F.col("id").alias("x"), F.lit(1.0).alias("ways")), "wide-level")
+    levels, seen = [level], level.select("s", "x")
+    while True:
+        step = level.join(near, F.col("x") == F.col("u")).groupBy("s", F.col("v").alias("x")).agg(F.sum("ways").alias("ways")).join(seen, ["s", "x"], "left_anti")
+        level = materialise(step, "wide-level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+        # What a level reaches lies in it, the one before or the next.
+        seen = level.select("s", "x").union(levels[-2].select("s", "x"))
+    share, nodes, on = None, [], []
+    for far, close in zip(levels[:0:-1], levels[-2::-1], strict=True):
+        each = far.withColumn("share", F.lit(0.0)) if share is None else far.join(share, ["s", "x"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+        each = materialise(each, "wide-share")
+        nodes.append(each.select(F.col("x").alias("id"), F.col("share").alias("b")))
+        back = each.join(near, F.col("x") == F.col("u")).select("s", F.col("x").alias("y"), "share", F.col("ways").alias("wy"), F.col("v").alias("x")).join(close, ["s", "x"])
+        back = materialise(back.select("s", "x", "y", (F.col("ways") / F.col("wy") * (1 + F.col("share"))).alias("c")), "wide-back")
+        on.append(back.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), F.col("c").alias("b")))
+        share = back.groupBy("s", "x").agg(F.sum("c").alias("share"))
+    union = lambda parts, ddl: reduce(DataFrame.union, parts) if parts else pairs.sparkSession.createDataFrame([], ddl)
+    return union(nodes, "id string, b double").groupBy("id").agg(F.sum("b").alias("b")), union(on, "u string, v string, b double").groupBy("u", "v").agg(F.sum("b").alias("b"))
+
+
+def betweenness(edge: DataFrame, pivots: int = 500, edges: bool = False) -> DataFrame:
     """(id, betweenness), normalised, from up to so many pivots; all nodes if there are no more. edges: (u, v, betweenness).
 
-    Pivots are dealt over the executors; each runs Brandes' algorithm (2001) on the broadcast adjacency,
-    whose size is checked: more than COMPONENT_EDGES edges are an error.
+    Pivots are drawn by a hash. Up to COMPONENT_EDGES edges are broadcast, and each task runs Brandes'
+    algorithm (2001) for its pivots; a larger graph is searched from all pivots at once by joins, with
+    the same result.
     """
-    pairs = simple(edge)
+    pairs = materialise(simple(edge), "betweenness")
     spark = edge.sparkSession
-    n_edges = pairs.limit(COMPONENT_EDGES + 1).count()
-    if n_edges > COMPONENT_EDGES:
-        raise RuntimeError(f"more than {COMPONENT_EDGES} edges; take a component or a skeleton first")
-    nodes, near = _adjacency(pairs.toPandas()) if n_edges else ([], [])
-    n = len(nodes)
-    picked = sorted(np.random.default_rng(seed).choice(n, pivots, replace=False).tolist()) if n > pivots else list(range(n))
-    shared = spark.sparkContext.broadcast(near)
+    every = materialise(degrees(pairs).select("id"), "nodes")
+    n = every.count()
+    starts = every.orderBy(F.xxhash64("id"), "id").limit(pivots)
+    scale = (n / max(1, min(n, pivots))) / max(1, (n * (n - 1)) if edges else (n - 1) * (n - 2))
+    if pairs.count() > COMPONENT_EDGES:
+        by_node, by_edge = _betweenness_wide(pairs, materialise(starts, "pivots"))
+    else:
+        nodes, near = _adjacency(pairs.toPandas())
+        at = {x: i for i, x in enumerate(nodes)}
+        shared = spark.sparkContext.broadcast(near)
+        start = spark.createDataFrame([(at[r["id"]],) for r in starts.collect()], "s long").repartition(max(1, min(partitions(spark), n)))
+        sums = start.mapInPandas(_brandes(shared, edges), "i long, j long, b double").groupBy("i", "j").agg(F.sum("b").alias("b"))
+        names = spark.createDataFrame([(i, x) for i, x in enumerate(nodes)], "k long, id string")
+        by_node = names.join(sums, F.col("k") == F.col("i")).select("id", "b")
+        a, b = names.select(F.col("k").alias("i"), F.col("id").alias("u")), names.select(F.col("k").alias("j"), F.col("id").alias("v"))
+        by_edge = sums.join(a, "i").join(b, "j").select("u", "v", "b") if edges else None
+    if edges:
+        return by_edge.select("u", "v", F.round(F.col("b") * scale, 9).alias("betweenness"))
+    return every.join(by_node, "id", "left").select("id", F.round(F.coalesce("b", F.lit(0.0)) * scale, 9).alias("betweenness"))
+
 
+def _brandes(shared, edges: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         adj = shared.value
         for frame in frames:
@@ -357,14 +462,7 @@ def betweenness(edge: DataFrame, pivots: int = 500, seed: int = 42, edges: bool
                 at = np.flatnonzero(total)
                 yield pd.DataFrame({"i": at, "j": at, "b": total[at]})
 
-    start = spark.createDataFrame([(int(x),) for x in picked], "s long").repartition(max(1, min(partitions(spark), len(picked))))
-    sums = start.mapInPandas(run, "i long, j long, b double").groupBy("i", "j").agg(F.sum("b").alias("b"))
-    names = spark.createDataFrame([(i, x) for i, x in enumerate(nodes)], "k long, id string")
-    scale = (n / max(1, len(picked))) / max(1, (n * (n - 1)) if edges else (n - 1) * (n - 2))
-    if edges:
-        a, b = names.select(F.col("k").alias("i"), F.col("id").alias("u")), names.select(F.col("k").alias("j"), F.col("id").alias("v"))
-        return sums.join(a, "i").join(b, "j").select("u", "v", F.round(F.col("b") * scale, 9).alias("betweenness"))
-    return names.join(sums, F.col("k") == F.col("i"), "left").select("id", F.round(F.coalesce("b", F.lit(0.0)) * scale, 9).alias("betweenness"))
+    return run
 
 
 def surprising(ranks: DataFrame, degree: DataFrame, top: int = 20) -> DataFrame:
@@ -373,6 +471,23 @@ def surprising(ranks: DataFrame, degree: DataFrame, top: int = 20) -> DataFrame:
     return best.join(degree, "id", "left").select("id", "betweenness", F.coalesce("degree", F.lit(0)).alias("degree"), ((F.col("betweenness") > 0.05) & (F.coalesce("degree", F.lit(0)) < 10)).alias("surprising"))
 
 
+def cross_edges(community: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, cross): edges between two communities, a < b; the smaller sides are joined first."""
+    u, v = (community.select(F.col("id").alias(x), F.col("community").alias(f"c{x}")) for x in "uv")
+    return pairs.join(u, "u").join(v, "v").where("cu <> cv").groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).agg(F.count(F.lit(1)).alias("cross"))
+
+
+def top_members(community: DataFrame, pairs: DataFrame, most: int = 3) -> DataFrame:
+    """(community, id, degree, nth) of each community's most connected members; ties go by id."""
+    order = Window.partitionBy("community").orderBy(F.desc("degree"), "id")
+    return community.join(degrees(pairs), "id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("community", "id", "degree", "nth")
+
+
+def by_severity(gap: DataFrame) -> DataFrame:
+    """Gaps without an edge first, then by the number of edges."""
+    return gap.orderBy(F.col("severity") != "HIGH", "cross_edges", "a", "b")
+
+
 def gaps(community: DataFrame, edge: DataFrame, least: int = MIN_COMMUNITY, most: int = MAX_CROSS) -> DataFrame:
     """Pairs of communities of at least so many nodes with few edges between: severity, cross edges, sizes, top members.
 
@@ -381,10 +496,8 @@ def gaps(community: DataFrame, edge: DataFrame, least: int = MIN_COMMUNITY, most
     """
     pairs = simple(edge)
     sizes = materialise(community.groupBy("community").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least), "sizes")
-    a, b = (community.select(F.col("id").alias(x), F.col("community").alias(f"c{x}")) for x in "uv")
-    cross = pairs.join(a, "u").join(b, "v").where("cu <> cv").groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).agg(F.count(F.lit(1)).alias("cross"))
-    rank = Window.partitionBy("community").orderBy(F.desc("degree"), "id")
-    top = community.join(degrees(pairs), "id").withColumn("_n", F.row_number().over(rank)).where("_n <= 3").groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "id"))), lambda x: x["id"]), ", ").alias("top"))
+    cross = cross_edges(community, pairs)
+    top = top_members(community, pairs).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "id"))), lambda x: x["id"]), ", ").alias("top"))
     s1, s2 = sizes.select(F.col("community").alias("a"), F.col("size").alias("size_a")), sizes.select(F.col("community").alias("b"), F.col("size").alias("size_b"))
     out = s1.join(s2, F.col("a") < F.col("b")).join(cross, ["a", "b"], "left").withColumn("cross_edges", F.coalesce("cross", F.lit(0)))
     out = out.where(F.col("cross_edges") <= most).join(top.select(F.col("community").alias("a"), F.col("top").alias("top_a")), "a", "left").join(top.select(F.col("community").alias("b"), F.col("top").alias("top_b")), "b", "left")
@@ -463,17 +576,24 @@ def homology(edge: DataFrame, most: int = 500, least: float = 0.5, top: int = 10
 
     def cofacets(k: int) -> set[tuple[int, int]]:
         _, i, j = order[k]
-        out = set()
-        for m in range(n):
-            if m not in (i, j):
-                far = max(k, int(rank[i, m]), int(rank[j, m]))
-                out.add((far, m if far == k else j if far == rank[i, m] else i))
-        return out
+        far = np.maximum(np.maximum(rank[i], rank[j]), k)
+        third = np.where(far == k, np.arange(n), np.where(far == rank[i], j, i))
+        return {(int(f), int(m)) for x, (f, m) in enumerate(zip(far, third, strict=True)) if x not in (i, j)}
 
     for k in sorted(closing, reverse=True):
+        _, i, j = order[k]
+        # A triangle whose longest edge this is: only this edge can own it, and the loop lives no time.
+        below = (rank[i] < k) & (rank[j] < k)
+        below[[i, j]] = False
+        if below.any():
+            owner[k, int(np.flatnonzero(below)[0])] = k
+            continue
         col = cofacets(k)
         while col and (low := min(col)) in owner:
-            col ^= kept[owner[low]]
+            other = owner[low]
+            if other not in kept:
+                kept[other] = cofacets(other)
+            col ^= kept[other]
         if col:
             low = min(col)
             owner[low], kept[k] = k, col

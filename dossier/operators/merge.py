@@ -10,6 +10,18 @@ ADDITIVE = ("amount", "amount_total", "contribution_count")
 DATA = (*ADDITIVE, "dates", "currency", "share_pct")
 
 
+def edge_key(edge: DataFrame) -> DataFrame:
+    """edge with key, which says when two edges are one."""
+    return edge.withColumn("key", F.concat_ws("|", *KEY))
+
+
+def data_props(edge: DataFrame) -> DataFrame:
+    """edge with data, a map of what may conflict: the names and values of its data columns that aren't null."""
+    there = [c for c in DATA if c in edge.columns]
+    both = F.array(*[F.struct(F.lit(c).alias("key"), F.to_json(F.struct(c)).alias("value")) for c in there])
+    return edge.withColumn("data", F.map_from_entries(F.filter(both, lambda x: x["value"] != "{}")))
+
+
 def repoint(edge: DataFrame, id_map: DataFrame) -> DataFrame:
     """Both ends replaced by their canonical ids (id_map: id, canonical; itself if absent); loops fall away."""
     a, b = id_map.select(F.col("id").alias("source_id"), F.col("canonical").alias("ca")), id_map.select(F.col("id").alias("target_id"), F.col("canonical").alias("cb"))

@@ -17,6 +17,61 @@ FUZZY = 0.92
 COSINE = 0.92
 
 
+def structured(frame: DataFrame, marks: tuple[str, ...] = ("structured",)) -> DataFrame:
+    """Rows that a structured source wrote, by its mark and not by what their provenance says."""
+    return frame.where(F.col("extraction_source").isin(*marks))
+
+
+def has_fields(frame: DataFrame, fields: tuple[str, ...] = ("reg_id", "address", "jurisdiction")) -> Column:
+    """Whether any of the fields that are there holds more than separators and format characters."""
+    out = F.lit(False)
+    for c in (c for c in fields if c in frame.columns):
+        out = out | F.coalesce(X.strip_unicode(F.col(c)) != "", F.lit(False))
+    return out
+
+
+def name_pairs(entity: DataFrame) -> DataFrame:
+    """(a, b) of a type whose labels have the same comparison key; blank keys pair with nothing."""
+    keyed = entity.select("id", X.cluster_key(F.col("entity_type"), F.col("label")).alias("k")).where("k is not null")
+    return keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), "k").where("a < b").select("a", "b")
+
+
+def cluster_tier(clusters: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A tier from any (id, cluster): the first of a cluster, in the entities' order, is what the others join; ids without one stay."""
+
+    def tier(entity: DataFrame) -> DataFrame:
+        known = entity.select("id", "ord").join(clusters.select("id", "cluster").distinct(), "id", "left")
+        head = known.where("cluster is not null").groupBy("cluster").agg(F.min_by("id", "ord").alias("head"))
+        return known.join(head, "cluster", "left").groupBy("id").agg(F.min_by(F.coalesce("head", "id"), F.coalesce("head", "id")).alias("canonical"))
+
+    return tier
+
+
+#: Scores so far below the threshold that someone has to decide.
+ADJUDICATE = 0.05
+
+
+def adjudicate(pairs: DataFrame, threshold: float, decide: Callable[[DataFrame], DataFrame] | None = None, band: float = ADJUDICATE) -> tuple[DataFrame, DataFrame]:
+    """(pairs that match, pairs left for review): at the threshold they match, in the band below it decide(pairs) says which.
+
+    decide returns those of its pairs that are one; without it the whole band is for review. What is
+    below the band is neither.
+    """
+    score = next(c for c in pairs.columns if c not in ("a", "b"))
+    sure = pairs.where(F.col(score) >= threshold)
+    doubt = pairs.where((F.col(score) < threshold) & (F.col(score) >= threshold - band))
+    if decide is None:
+        return sure, doubt
+    one = decide(doubt).select("a", "b")
+    return sure.union(doubt.join(one, ["a", "b"], "left_semi").select(*pairs.columns)), doubt.join(one, ["a", "b"], "left_anti").select(*pairs.columns)
+
+
+def create(ids: DataFrame, entity: DataFrame, make: Callable[[Column], Column]) -> DataFrame:
+    """ids (id, canonical) with what nothing matched, its own canonical, named anew by make(id)."""
+    alone = ids.where("id = canonical").join(ids.where("id <> canonical").select(F.col("canonical").alias("id")), "id", "left_anti").select("id", F.lit(True).alias("_new"))
+    return ids.join(alone, "id", "left").select("id", F.when(F.col("_new"), make(F.col("id"))).otherwise(F.col("canonical")).alias("canonical"))
+
+
 def by_key(entity: DataFrame, key: Column, order: str = "ord") -> DataFrame:
     """All of a type with one key go to the first of them; a null key joins nothing.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions import text as X
+from dossier.functions.stem import stem, stemmed
 
 K1, B = 1.2, 0.75
 RRF_K, CANDIDATES, LIMIT = 60, 50, 12
+FIELDS = ("body", "title")
 PUBLIC = ("public",)
 # Words that carry no meaning in English.
 STOP = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
@@ -23,24 +26,37 @@ def terms(body):
     return F.filter(F.split(X.fold(body), r"[^a-z0-9]+"), lambda t: (t != "") & ~t.isin(*STOP))
 
 
-def postings(chunk: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf, len) and one row of corpus totals (n, avgdl)."""
-    toks = chunk.select("id", terms(F.col(body)).alias("_t"))
-    sized = toks.select("id", "_t", F.size("_t").alias("len"))
-    index = sized.select("id", "len", F.explode("_t").alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    return index, sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+def _words(chunk: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(id, len, _t): the index words of all fields of a chunk, as one text."""
+    there = [c for c in fields if c in chunk.columns]
+    return chunk.select("id", terms(F.concat_ws(" ", *there)).alias("_t")).select("id", F.size("_t").alias("len"), "_t")
 
 
-def bm25(chunk: DataFrame, query: str, sensitivity: tuple[str, ...] = PUBLIC, limit: int = LIMIT) -> DataFrame:
+def postings(chunk: DataFrame, fields: tuple[str, ...] = FIELDS, stems: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(term, id, tf, len) and one row of corpus totals (n, avgdl). Each different word is stemmed once."""
+    sized = _words(chunk, fields)
+    each = sized.select("id", "len", F.explode("_t").alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    if stems:
+        known = each.select("term").distinct().select("term", stemmed(F.col("term")).alias("stem"))
+        each = each.join(known, "term").groupBy(F.col("stem").alias("term"), "id", "len").agg(F.sum("tf").alias("tf"))
+    return each, sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+
+
+def bm25(chunk: DataFrame, query: str, sensitivity: tuple[str, ...] = PUBLIC, limit: int = LIMIT, fields: tuple[str, ...] = FIELDS, stems: bool = True) -> DataFrame:
     """(id, score, rank) of the chunks that hold a query word, best first; only those one may see.
 
-    The filter stands before ranking, since none is pushed through it. Only the query's terms are exploded.
+    The filter stands before ranking, since none is pushed through it. Words count in body and title,
+    by their stems. Only words that begin like a query's stem are exploded and stemmed: a stem differs
+    from its word in the last letters alone.
     """
-    want = sorted(set(query_terms(query)))
-    seen = chunk.where(F.col("sensitivity").isin(*sensitivity))
-    sized = seen.select("id", terms(F.col("body")).alias("_t")).select("id", F.size("_t").alias("len"), F.filter("_t", lambda t: t.isin(*want) if want else F.lit(False)).alias("_t"))
+    want = sorted({stem(t) if stems else t for t in query_terms(query)})
+    heads = sorted({t[: max(1, len(t) - 3)] if stems else t for t in want})
+    asked = lambda t: reduce(lambda a, h: a | t.startswith(h), heads, F.lit(False))
+    sized = _words(chunk.where(F.col("sensitivity").isin(*sensitivity)), fields).select("id", "len", F.filter("_t", asked).alias("_t"))
     n, avgdl = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
-    tf = sized.select("id", "len", F.explode("_t").alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    each = sized.select("id", "len", F.explode("_t").alias("word"))
+    each = each.select("id", "len", (stemmed(F.col("word")) if stems else F.col("word")).alias("term"))
+    tf = each.where(F.col("term").isin(*want) if want else F.lit(False)).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     one = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(avgdl or 1.0))))
@@ -68,7 +84,7 @@ def vector(items: DataFrame, query: list[float], limit: int = LIMIT) -> DataFram
 
 
 def embed(items: DataFrame, provider: Callable[[list[str]], list[list[float] | None]], text: str = "body", batch: int = 50) -> DataFrame:
-    """items with a vector of each text by provider(list of texts) -> list of vectors; a batch that fails gives nulls."""
+    """items with a vector of each text by provider(list of texts) -> list of vectors; a batch that fails gives nulls, which stats() counts as not embedded."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -103,3 +119,18 @@ def hybrid(chunk: DataFrame, query: str, vec: list[float] | None, sensitivity: t
 def hydrate(found: DataFrame, chunk: DataFrame, score: str = "score") -> DataFrame:
     """Rows of chunks for a ranked list, in its order; the list is as short as its limit."""
     return F.broadcast(found).join(chunk, "id").orderBy("rank", "id")
+
+
+def search(chunk: DataFrame, query: str, mode: str = "hybrid", vec: list[float] | None = None, sensitivity: tuple[str, ...] = PUBLIC, limit: int = LIMIT) -> DataFrame:
+    """Rows of chunks, best first, by words (fts), by vector (semantic, score is the distance) or by both (hybrid)."""
+    if mode == "fts":
+        found = bm25(chunk, query, sensitivity, limit)
+    elif mode == "semantic":
+        if vec is None:
+            raise ValueError("a semantic search needs a vector")
+        found = vector(chunk.where(F.col("sensitivity").isin(*sensitivity)), vec, limit).withColumnRenamed("distance", "score")
+    elif mode == "hybrid":
+        found = hybrid(chunk, query, vec, sensitivity, limit)
+    else:
+        raise ValueError(f"no such mode: {mode}")
+    return hydrate(found.select("id", "score", "rank"), chunk)

@@ -5,12 +5,52 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.operators.ground import provenance_gate
 
 
+#: The columns of the tables at rest, in order, and what stands for a missing value.
+SCHEMAS = {
+    "chunk": "id string, doc_id string, source_uri string, title string, body string, chunk_index int, sensitivity string, embedding array<float>, entity_ids array<string>, created_at long",
+    "document": "id string, path string, url string, title string, sensitivity string, sha256 string, created_at long",
+    "entity": "id string, entity_type string, label string, description string, confidence double, provenance string, extraction_source string, source_url string, quality_flag string, trust_penalty double, created_at long, updated_at long",
+    "edge": "source_id string, target_id string, edge_type string, confidence double, evidence string, provenance string, extraction_source string, source_url string, amount double, currency string, share_pct double, valid_at_ms long, created_at long, expired_at long",
+    "mention": "entity_id string, doc_id string, mention_count long",
+}
+DEFAULTS = {"sensitivity": "public", "confidence": 0.5, "provenance": "unknown", "quality_flag": "unreviewed", "trust_penalty": 0.0, "chunk_index": 0, "mention_count": 1}
+
+
+def conform(frame: DataFrame, table: str) -> DataFrame:
+    """frame with the columns of a table at rest, in its order and types; missing columns and values get the defaults.
+
+    Columns that the table does not know are an error, so a misspelt one is not lost.
+    """
+    fields = T.StructType.fromDDL(SCHEMAS[table]).fields
+    odd = set(frame.columns) - {f.name for f in fields}
+    if odd:
+        raise ValueError(f"{table} has no columns {sorted(odd)}")
+
+    def value(f: T.StructField) -> Column:
+        c = F.col(f.name) if f.name in frame.columns else F.lit(None)
+        return (F.coalesce(c.cast(f.dataType), F.lit(DEFAULTS[f.name]).cast(f.dataType)) if f.name in DEFAULTS else c.cast(f.dataType)).alias(f.name)
+
+    return frame.select(*[value(f) for f in fields])
+
+
+def create_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Makes the tables that are not there yet, empty; those that are stay as they are. The names of the new ones."""
+    sc, made = spark.sparkContext, []
+    for name, ddl in SCHEMAS.items():
+        p = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if not p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p):
+            spark.createDataFrame([], ddl).write.parquet(f"{folder}/{name}")
+            made.append(name)
+    return made
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """new's rows replace old's of the same key; columns are matched by name."""
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)

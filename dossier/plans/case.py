@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -28,13 +29,14 @@ class Resolved:
     quarantined: dict[str, DataFrame]
 
 
-def ground_and_resolve(chunk: DataFrame, entity: DataFrame, edge: DataFrame, least: int = 1, fuzzy: float = Z.FUZZY, cosine: float = Z.COSINE, cosine_policy: str = "auto", structured: tuple[str, ...] = ("structured",)) -> Resolved:
+def ground_and_resolve(chunk: DataFrame, entity: DataFrame, edge: DataFrame, least: int = 1, fuzzy: float = Z.FUZZY, cosine: float = Z.COSINE, cosine_policy: str = "auto", structured: tuple[str, ...] = ("structured",), decide: Callable[[DataFrame], DataFrame] | None = None, probabilistic: bool = False, more: tuple[Callable[[DataFrame], DataFrame], ...] = ()) -> Resolved:
     """Entities and edges that the chunks support, or that structured sources tie to such, resolved and merged.
 
     Tiers: rows with a register number, address or jurisdiction resolve by these alone; the others by
     exact name, then, in a batch without structured rows, by spelling, then by vectors if there are
     any (cosine_policy 'auto' merges, 'review' doesn't), then, in a batch with structured rows, by name
-    key. Entities linked by ALIAS_OF are one. entity: id, entity_type, label, extraction_source, ord
+    key; then by probabilities if asked, and by what tiers there are more. decide(pairs) says which of the
+    spellings just below the threshold are one. Entities linked by ALIAS_OF are one. entity: id, entity_type, label, extraction_source, ord
     and optional embedding, reg_id, address, jurisdiction; edge: source_id, target_id, edge_type, ord.
     """
     found = materialise(R.mentions(entity, chunk), "mentions")
@@ -45,18 +47,21 @@ def ground_and_resolve(chunk: DataFrame, entity: DataFrame, edge: DataFrame, lea
     quarantined = {"entity": entity.join(kept.select("id"), "id", "left_anti"), "edge": edge.join(edges.select("ord"), "ord", "left_anti")}
 
     have = [c for c in MULTIFIELD if c in kept.columns]
-    multi = F.lit(False)
-    for c in have:
-        multi = multi | F.coalesce(X.strip_unicode(F.col(c)) != "", F.lit(False))
+    multi = Z.has_fields(kept)
     by_fields, by_names = kept.where(multi), kept.where(~multi)
     batch = not kept.where(F.col("extraction_source").isin(*structured)).isEmpty()
     steps = [Z.exact]
-    if not batch:
+    if not batch and decide is None:
         steps.append(lambda e: Z.greedy(e, Z.fuzzy_pairs(e, fuzzy)))
+    elif not batch:
+        steps.append(lambda e: Z.greedy(e, Z.adjudicate(Z.fuzzy_pairs(e, fuzzy - Z.ADJUDICATE), fuzzy, decide)[0]))
     if "embedding" in kept.columns and cosine_policy == "auto":
         steps.append(lambda e: Z.greedy(e, Z.cosine_pairs(e, cosine)))
     if batch:
         steps.append(Z.by_name)
+    if probabilistic:
+        steps.append(Z.fellegi_sunter)
+    steps += more
     ids = Z.tiers(by_names, *steps)
     review = None
     if have and not by_fields.isEmpty():

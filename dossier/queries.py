@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,11 +19,13 @@ from dossier.operators import quality as Q
 from dossier.operators import resolve as Z
 from dossier.operators import search as S
 from dossier.operators import store as T
+from dossier.operators import audit as A
+from dossier.operators import view as W
 from dossier.plans import case
 from dossier.plans.casegraph import frame, oracle
 from dossier.session import materialise, prepare, read_table, table_path
-from dossier.sources import files, ftm, gold, tabular
-from dossier.sources.ontology import EDGES, TYPES, Vocabulary, canonical_edge, canonical_type, options, rejected_types
+from dossier.sources import files, ftm, gold, processors, tabular
+from dossier.sources.ontology import EDGES, TYPES, Vocabulary, canonical_edge, canonical_type, rejected_types, sides
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -153,10 +156,12 @@ query("src_ftm_in", "select source_id, target_id, edge_type, share_pct::varchar
 query("snk_stats", "select sensitivity, count(*) total, count(*) filter (chunk_index % 2 = 0) embedded, count(*) filter (chunk_index % 2 = 1) unembedded from chunk group by 1", "document", "chunk")(
     lambda g: T.stats(g("chunk").withColumn("embedding", F.when(F.col("chunk_index") % 2 == 0, F.array(F.lit(1.0)))))
 )
-query("snk_viz", "select case when n_name like '%1' then 'one' when n_regionkey < 2 then 'low' else 'rest' end domain, count(*) n from nation group by 1")(
-    lambda g: g.read("nation").select(F.when(F.col("n_name").rlike("1$"), "one").when(F.col("n_regionkey") < 2, "low").otherwise("rest").alias("domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+_DOMAINS, _STORIES = [("^Supplier", "supplier"), ("^Customer", "customer")], [("1$", "one"), ("00", "zeros")]
+query("snk_viz", """, t as (select case when label like 'Supplier%' then 'supplier' when label like 'Customer%' then 'customer' else 'other' end d, entity_type, label from entity)
+    select 'domain' what, d as name, count(*) n from t group by d union all select 'type', entity_type, count(*) from t group by entity_type union all select 'story', 'one', count(*) from t where label like '%1' having count(*) > 0 union all select 'story', 'zeros', count(*) from t where label like '%00%' having count(*) > 0
+    union all select 'edges', edge_type, count(*) from edge where source_id in (select id from entity) and target_id in (select id from entity) group by edge_type""", "entity", "edge")(
+    lambda g: (lambda v: v["tallies"].union(v["edges"].groupBy(F.lit("edges").alias("what"), F.col("edge_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))))(W.view(g("entity"), g("edge"), _DOMAINS, _STORIES))
 )
-
 # --- scalar functions ------------------------------------------------------------------------
 
 query("f_chunk", "select id, chunk_index, md5(body) h from chunk", "document", "chunk")(lambda g: g("chunk").select("id", "chunk_index", F.md5("body").alias("h")))
@@ -208,9 +213,9 @@ query("f_status", f"select v.id::bigint id, case v.id when 1 then 'VERIFIED' whe
 query("agg_status", f"select case v.id when 1 then 'VERIFIED' when 2 then 'UNSUPPORTED' when 3 then 'DOWNGRADED' when 4 then 'INFERRED' when 6 then 'CAPTURED' else '' end status, count(*) n from {values(STATES, 'id, s')} group by 1")(lambda g: V.status_counts(g.values(STATES, "id long, status string")))
 REPORT = "# x\n| ID | Finding | Origin | Status | Source | Artifact |\n|---|---|---|---|---|---|\n| L1 | a | b | VERIFIED | u | ab-1 |\n| short | row |\n| L2 | c | d | GAP | v | none |\n\n| L3 | x | y | GAP | z | after |\n"
 query("f_md_table", "select 'r' doc, * from (values ('L1', 'a', 'VERIFIED', 'ab-1'), ('L2', 'c', 'GAP', 'none')) v(ledger_id, finding, status, artifact)")(lambda g: V.ledger(g.values([("r", REPORT)], "doc string, text string")).select("doc", "ledger_id", "finding", "status", "artifact"))
-query("f_year", "select o_orderkey, year(o_orderdate)::varchar y from orders")(lambda g: g.read("orders").select("o_orderkey", F.regexp_extract(F.concat(F.lit("filed in "), F.date_format("o_orderdate", "yyyy-MM")), r"\b(\d{4})\b", 1).alias("y")))
-query("f_domain", "select p_partkey, case when p_type like '%BRASS%' then 'brass' when p_size > 25 then 'big' else 'other' end d from part")(lambda g: g.read("part").select("p_partkey", F.when(F.col("p_type").rlike("BRASS"), "brass").when(F.col("p_size") > 25, "big").otherwise("other").alias("d")))
-query("f_story", "select p_partkey, concat_ws(',', case when p_size > 25 then 'big' end, case when p_size % 2 = 0 then 'even' end) d from part")(lambda g: g.read("part").select("p_partkey", F.array_join(F.array_compact(F.array(F.when(F.col("p_size") > 25, "big"), F.when(F.col("p_size") % 2 == 0, "even"))), ",").alias("d")))
+query("f_year", "select o_orderkey, year(o_orderdate)::varchar y from orders")(lambda g: g.read("orders").select("o_orderkey", X.year(F.concat(F.lit("filed in "), F.date_format("o_orderdate", "yyyy-MM"))).alias("y")))
+query("f_domain", "select p_partkey, case when p_type like '%BRASS%' then 'brass' when p_size > 25 then 'big' else 'other' end d from part")(lambda g: g.read("part").select("p_partkey", X.first_rule(F.concat_ws(" ", "p_type", F.col("p_size").cast("string")), [("BRASS", "brass"), (" (2[6-9]|[3-9][0-9])$", "big")], "other").alias("d")))
+query("f_story", "select p_partkey, concat_ws(',', case when p_size > 25 then 'big' end, case when p_size % 2 = 0 then 'even' end) d from part")(lambda g: g.read("part").select("p_partkey", F.array_join(X.all_rules(F.col("p_size").cast("string"), [("^(2[6-9]|[3-9][0-9])$", "big"), ("[02468]$", "even")]), ",").alias("d")))
 query("f_alias_norm", "select * from (values ('company', 'organization'), ('Person', 'person'), ('filing', 'document')) v(raw, kind)")(lambda g: g.values([("company",), ("Person",), ("filing",)], "raw string").select("raw", canonical_type(F.col("raw")).alias("kind")))
 query("f_edge_alias", "select * from (values ('works_for', 'EMPLOYED_BY'), ('OWNS', 'OWNS'), ('DIRECTOR_OF', 'BOARD_MEMBER_OF')) v(raw, kind)")(lambda g: g.values([("works_for",), ("OWNS",), ("DIRECTOR_OF",)], "raw string").select("raw", canonical_edge(F.col("raw")).alias("kind")))
 query("f_hash", "select doc_id, sha256(text) h from documents")(lambda g: g.read("documents").select("doc_id", F.sha2("text", 256).alias("h")))
@@ -218,15 +223,28 @@ query("f_snippet", "select doc_id, md5(case when length(text) > 200 then substr(
 query("f_claims", "select id, line_no, md5(line) h from (select id, unnest(string_split(text, chr(10))) line, unnest(range(1, len(string_split(text, chr(10))) + 1))::int line_no from document) where regexp_matches(line, 'License') and not regexp_matches(line, 'MIT')", "document")(
     lambda g: V.claims(g("document"), "License", "MIT").select("id", "line_no", F.md5("line").alias("h"))
 )
-query("f_split_options", "select * from (values ('person/organization', 'person,organization'), ('any', '*'), ('', '*')) v(raw, o)")(lambda g: g.values([(r, ",".join(options(r))) for r in ("person/organization", "any", "")], "raw string, o string"))
-query("f_cluster_key", "select id, entity_type || '|' || lower(replace(label, '#', ' ')) k from entity where entity_type = 'organization'", "entity")(lambda g: g("entity").where("entity_type = 'organization'").select("id", F.concat_ws("|", "entity_type", X.norm_name(F.col("label"))).alias("k")))
-query("f_edge_key", "select source_id || '|' || target_id || '|' || edge_type k, count(*) n from edge group by 1", "edge")(lambda g: g("edge").groupBy(F.concat_ws("|", *M.KEY).alias("k")).agg(F.count(F.lit(1)).alias("n")))
-query("f_data_props", "select source_id, target_id, edge_type, amount, currency, share_pct from edge where amount is not null or share_pct is not null", "edge")(lambda g: g("edge").select(*M.KEY, F.struct(*[c for c in M.DATA if c in g("edge").columns]).alias("d")).select(*M.KEY, "d.*").where("amount is not null or share_pct is not null"))
-query("p_structured", "select id from entity where extraction_source = 'structured'", "entity")(lambda g: g("entity").where(F.col("extraction_source") == "structured").select("id"))
-query("p_multifield", "select s_suppkey from supplier where s_suppkey % 2 = 0")(lambda g: g.read("supplier").where(F.coalesce(F.nullif(X.strip_unicode(F.when(F.col("s_suppkey") % 2 == 0, "7").otherwise("​ ")), F.lit(""))).isNotNull()).select("s_suppkey"))
-query("f_record", "select source_id, target_id, round(share_pct / 100, 4) pct from edge where edge_type = 'OWNS'", "edge")(lambda g: g("edge").where("edge_type = 'OWNS'").select("source_id", "target_id", F.round(F.col("share_pct") / 100, 4).alias("pct")))
-query("f_prompt", "select * from (values (1)) v(n)")(lambda g: g.values([(1 if "OWNS: person/organization -> asset/organization" in Vocabulary.shipped().prompt() else 0,)], "n int"))
-
+query("f_split_options", "select * from (values ('person/organization', 'person,organization'), ('any', '*'), ('', '*'), (' Person /  ', 'person'), ('person/any', '*')) v(raw, o)")(lambda g: g.values([("person/organization",), ("any",), ("",), (" Person /  ",), ("person/any",)], "raw string").select("raw", F.array_join(sides(F.col("raw")), ",").alias("o")))
+query("f_cluster_key", "select id, entity_type || '|' || lower(replace(label, '#', ' ')) k from entity where entity_type = 'organization'", "entity")(lambda g: g("entity").where("entity_type = 'organization'").select("id", X.cluster_key(F.col("entity_type"), F.col("label")).alias("k")))
+query("f_edge_key", "select source_id || '|' || target_id || '|' || edge_type k, count(*) n from edge group by 1", "edge")(lambda g: M.edge_key(g("edge")).groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")))
+query("f_data_props", """select source_id, target_id, edge_type, 'amount' prop, '{"amount":' || amount || '}' v from edge where amount is not null union all select source_id, target_id, edge_type, 'currency', '{"currency":"' || currency || '"}' from edge where currency is not null
+    union all select source_id, target_id, edge_type, 'share_pct', '{"share_pct":' || share_pct || '}' from edge where share_pct is not null""", "edge")(lambda g: M.data_props(g("edge")).select(*M.KEY, F.explode("data").alias("prop", "v")))
+query("p_structured", "select id from entity where extraction_source = 'structured'", "entity")(lambda g: Z.structured(g("entity")).select("id"))
+query("p_multifield", "select s_suppkey from supplier where s_suppkey % 2 = 0")(lambda g: (lambda f: f.where(Z.has_fields(f)).select("s_suppkey"))(g.read("supplier").withColumns({"reg_id": F.when(F.col("s_suppkey") % 4 == 0, "7").otherwise("\u200b "), "address": F.when(F.col("s_suppkey") % 4 == 2, "1 A St")})))
+ONTO = """
+## Entity types
+| Type | Meaning |
+|-|-|
+| `person` | a human being |
+| `firm` | a company |
+
+## Edge types
+| Type | From -> To | Meaning |
+|-|-|-|
+| KNOWS | person -> any | acquaintance |
+| **RUNS** | person / firm -> firm | control |
+| LOST | nowhere | no arrow |
+"""
+query("f_prompt", "select * from (values (1, '- person: a human being'), (2, '- firm: a company'), (3, '- KNOWS: person -> any. acquaintance'), (4, '- RUNS: person / firm -> firm. control')) v(n, line)")(lambda g: g.values(list(enumerate(Vocabulary.parse(ONTO).prompt().split("\n"), 1)), "n int, line string"))
 # --- joins, grounding, gates -----------------------------------------------------------------
 
 LABELS = [("e1", "the"), ("e2", "of the"), ("e3", "Apache License"), ("e4", "x"), ("e5", "All rights reserved"), ("e6", "ungh"), ("e7", "CC BY-NC 4.0")]
@@ -291,8 +309,8 @@ query("w_ord", "select o_orderkey, row_number() over (partition by o_custkey ord
 _SIMPLE = "p as (select distinct least(source_id, target_id) u, greatest(source_id, target_id) v from edge where source_id <> target_id), b as (select u, v from p union all select v, u from p)"
 query("ga_project", f", {_SIMPLE} select u, v from p", "edge")(lambda g: G.simple(g("edge")))
 query("agg_degree", f", {_SIMPLE} select u id, count(*) degree from b group by 1", "edge")(lambda g: G.degrees(G.simple(g("edge"))))
-query("agg_parallel", "select source_id, target_id, currency, sum(amount_e4)::bigint a from (select source_id, 's' || (substr(target_id, 2)::bigint // 10) target_id, currency, amount_e4 from funded) group by all", "funded")(
-    lambda g: g("funded").groupBy("source_id", F.concat(F.lit("s"), F.floor(F.substring("target_id", 2, 9).cast("long") / 10).cast("string")).alias("target_id"), "currency").agg(F.sum("amount_e4").alias("a"))
+query("agg_parallel", "select source_id, target_id, currency, sum(amount_e4)::bigint / 10000.0e0 amount from (select source_id, 's' || (substr(target_id, 2)::bigint // 10) target_id, currency, amount_e4 from funded where amount_e4 > 0) group by all", "funded")(
+    lambda g: G.money_graph(g("funded").withColumns({"target_id": F.concat(F.lit("s"), F.floor(F.substring("target_id", 2, 9).cast("long") / 10).cast("string")), "amount": F.col("amount_e4") / 10000.0})).select("source_id", "target_id", "currency", "amount")
 )
 query("edge_funded", "select * from funded", "funded")(lambda g: g("funded"))
 query("agg_health", f"""select round((select count(distinct entity_type) from entity where entity_type in ({', '.join(repr(t) for t in TYPES)})) / {len(TYPES)}.0e0, 6) icr, round((select max(n) / sum(n)::double from (select count(*) n from entity group by entity_type)), 6) ci,
@@ -307,13 +325,15 @@ query("ev_triples", "select 0.5e0 as \"precision\", 0.5e0 recall, 0.5e0 f1, 3::b
 # --- search ----------------------------------------------------------------------------------
 
 WORDS = "license version reserved"
-_TOK = "[t for t in regexp_split_to_array(translate(lower(body), '" + X.ACCENTS + "', '" + X.PLAIN + "'), '[^a-z0-9]+') if t <> '' and not list_contains([" + ", ".join(repr(w) for w in S.STOP) + "], t)]"
+_TOK = "[t for t in regexp_split_to_array(translate(lower(concat_ws(' ', body, title)), '" + X.ACCENTS + "', '" + X.PLAIN + "'), '[^a-z0-9]+') if t <> '' and not list_contains([" + ", ".join(repr(w) for w in S.STOP) + "], t)]"
+# The words that have the stems of WORDS, spelt out.
+_STEM = "case when regexp_full_match(w, 'licens(e|es|ed|ing|er|ers)?') then 'licens' when regexp_full_match(w, 'versions?') then 'version' when regexp_full_match(w, 'reserv(e|es|ed|ing|ation|ations)?') then 'reserv' end"
 _BM = f""", tk as (select id, {_TOK} t from chunk where sensitivity = 'public'), st as (select count(*) n, avg(len(t)) a from tk),
-    tf as (select id, len(t) l, term, count(*) tf from (select id, t, unnest(t) term from tk) where term in ('license', 'version', 'reserved') group by all), df as (select term, count(*) df from tf group by 1),
+    tf as (select id, len(t) l, {_STEM} term, count(*) tf from (select id, t, unnest(t) w from tk) where term is not null group by all), df as (select term, count(*) df from tf group by 1),
     sc as (select id, round(sum(ln((n - df + 0.5e0) / (df + 0.5e0) + 1) * tf * 2.2e0 / (tf + 1.2e0 * (1 - 0.75e0 + 0.75e0 * l / a))), 6) score from tf join df using (term), st group by id)"""
 query("r_bm25", _BM + " select id, score, row_number() over (order by score desc, id)::int rank from sc order by score desc, id limit 12", "document", "chunk")(lambda g: S.bm25(g("chunk"), WORDS))
 query("w_bm25_rank", _BM + " select id, row_number() over (order by score desc, id)::int rank from sc order by score desc, id limit 50", "document", "chunk")(lambda g: S.bm25(g("chunk"), WORDS, limit=50).select("id", "rank"))
-query("r_fts_index", f", tk as (select id, {_TOK} t from chunk) select term, id, len(t)::int len, count(*) tf from (select id, t, unnest(t) term from tk) group by all", "document", "chunk")(lambda g: S.postings(g("chunk"))[0].select("term", "id", "len", "tf"))
+query("r_fts_index", f", tk as (select id, {_TOK} t from chunk) select term, id, len(t)::int len, count(*) tf from (select id, t, unnest(t) term from tk) group by all", "document", "chunk")(lambda g: S.postings(g("chunk"), stems=False)[0].select("term", "id", "len", "tf"))
 _items = lambda g: g.read("embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
 _vec = lambda g: [float(x) for x in g.read("embeddings").where("vec_id = 7").first()["embedding"]]
 _VD = "vd as (select b.vec_id::varchar id, round(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) distance from embeddings a, embeddings b where a.vec_id = 7)"
@@ -323,9 +343,16 @@ query("r_hnsw", f"with {_VD} select id from vd order by distance, id limit 10")(
 _LISTS = "a as (select o_orderkey::varchar id, row_number() over (order by o_totalprice desc, o_orderkey)::int ra from orders qualify ra <= 50), b as (select o_orderkey::varchar id, row_number() over (order by o_custkey, o_orderkey)::int rb from orders qualify rb <= 50)"
 _top = lambda g, *o: (lambda w: g.read("orders").orderBy(*o).limit(50).withColumn("rank", F.row_number().over(w)).select(F.col("o_orderkey").cast("string").alias("id"), "rank"))(Window.orderBy(*o))
 _RRF = f"with {_LISTS}, s as (select id, ra, rb, round(coalesce(1 / (60.0e0 + ra), 0) + coalesce(1 / (60.0e0 + rb), 0), 9) score from a full join b using (id)) select id, score, row_number() over (order by score desc, id)::int rank from s order by score desc, id limit 12"
-for _n in ("j_rrf", "r_hybrid"):
-    query(_n, _RRF)(lambda g: S.fuse(_top(g, F.desc("o_totalprice"), "o_orderkey"), _top(g, "o_custkey", "o_orderkey")).select("id", "score", "rank"))
-query("r_modes", _BM + ", r as (select id, score, row_number() over (order by score desc, id)::int rank from sc order by score desc, id limit 12) select id, score, rank, doc, chunk_index from r join chunk using (id)", "document", "chunk")(lambda g: S.hydrate(S.bm25(g("chunk"), WORDS), g("chunk")).select("id", "score", "rank", "doc", "chunk_index"))
+query("j_rrf", _RRF)(lambda g: S.fuse(_top(g, F.desc("o_totalprice"), "o_orderkey"), _top(g, "o_custkey", "o_orderkey")).select("id", "score", "rank"))
+#: Chunks with the vector of their document, where it has one.
+_told = lambda g: g("chunk").join(g.read("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+_BOTH = _BM + """, vd as (select c.id, round(1 - list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) distance from chunk c join embeddings e on e.vec_id = c.doc_id, embeddings q where q.vec_id = 7 and c.sensitivity = 'public'),
+    kl as (select id, score, row_number() over (order by score desc, id)::int ra from sc qualify ra <= 50), vl as (select id, distance, row_number() over (order by distance, id)::int rb from vd qualify rb <= 50),
+    hy as (select id, round(coalesce(1 / (60.0e0 + ra), 0) + coalesce(1 / (60.0e0 + rb), 0), 9) score from kl full join vl using (id)), hl as (select id, score, row_number() over (order by score desc, id)::int rank from hy qualify rank <= 12)"""
+query("r_hybrid", _BOTH + " select id, score, rank from hl", "document", "chunk")(lambda g: S.hybrid(_told(g), WORDS, _vec(g)).select("id", "score", "rank"))
+query("r_modes", _BOTH + ", found as (select 'fts' as mode, id, score, ra rank from kl where ra <= 12 union all select 'semantic', id, distance, rb from vl where rb <= 12 union all select 'hybrid', id, score, rank from hl) select mode, id, score, rank, doc, chunk_index from found join chunk using (id)", "document", "chunk")(
+    lambda g: reduce(DataFrame.union, [S.search(_told(g), WORDS, m, _vec(g)).select(F.lit(m).alias("mode"), "id", "score", "rank", "doc", "chunk_index") for m in ("fts", "semantic", "hybrid")])
+)
 
 # --- extraction ------------------------------------------------------------------------------
 
@@ -333,7 +360,14 @@ query("x_phase2")(lambda g: E.provided(g("document"), E.gazetteer({"MIT License"
 query("x_pairwise", "with e as (select conv_id doc_id, role || turn as label, turn * 100 pos from conversations) select a.doc_id, a.label a, b.label b, min(abs(a.pos - b.pos)) distance from e a join e b on a.doc_id = b.doc_id and a.label <> b.label and abs(a.pos - b.pos) <= 240 group by all")(
     lambda g: E.pair_candidates(g.read("conversations").select(F.col("conv_id").alias("doc_id"), F.concat("role", F.col("turn").cast("string")).alias("label"), (F.col("turn") * 100).alias("pos")))
 )
-query("x_make", "select id, label, entity_type, 0.9e0 confidence, created_at, created_at updated_at from entity", "entity")(lambda g: g("entity").withColumns({"confidence": F.lit(0.9), "updated_at": F.col("created_at")}).select("id", "label", "entity_type", "confidence", "created_at", "updated_at"))
+query("x_make", "select substr(sha256(entity_type || ':' || lower(trim(label)) || ':' || source_url), 1, 16) id, label, entity_type, 0.5e0 confidence, 1700000000::bigint created_at, 1700000000::bigint updated_at from entity where entity_type in ('person', 'organization', 'location', 'asset', 'claim')", "entity")(
+    lambda g: E.records(g("entity").where("entity_type <> 'concept'").select("label", "entity_type", "source_url"), 1700000000).select("id", "label", "entity_type", "confidence", "created_at", "updated_at")
+)
+query("x_remote", "select 'doc-' || doc_id doc_id, 'MIT License' as label from documents where regexp_matches(text, '(^|[^A-Za-z0-9_])MIT License($|[^A-Za-z0-9_])')")(lambda g: E.provided(g("document"), E.with_fallback(_unreachable, E.gazetteer({"MIT License": "document"}))).select("doc_id", "label"))
+def _unreachable(text: str):
+    raise ConnectionError("no such host")
+
+
 WANTED = [(1, "nation 3"), (1, "Supplier#000000001"), (1, " "), (1, "zzz")]
 query("f_find_entity", "select 1::bigint doc_id, 'Supplier#000000001' as label, 's1' id")(lambda g: E.find_entity(g.values(WANTED, "doc_id long, label string"), g("entity").where("id like 's%'").select(F.lit(1).cast("long").alias("doc_id"), "id", "label", F.substring("id", 2, 9).cast("long").alias("ord"))))
 
@@ -357,13 +391,11 @@ _DEC = _CAND + """, d as (select a, b, case when ra = rb and aa = ab and not coa
 query("f_decide", _DEC + " select a, b, decision, reason from d")(lambda g: Z.multifield(_firms(g))[1])
 query("j_block_reg", _CAND + " select a, b from c where ra = rb")(lambda g: Z.multifield(_firms(g))[2].where("reg_id_a = reg_id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
 query("j_block_nameaddr", _CAND + " select a, b from c where na = nb and aa = ab")(lambda g: Z.multifield(_firms(g))[2].where("name_a = name_b and address_a = address_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-query("j_block_norm", "select a.c_custkey a, b.c_custkey b from customer a join customer b on a.c_custkey < b.c_custkey and a.c_custkey % 41 = b.c_custkey % 41")(
-    lambda g: (lambda f: f.select(F.col("c").alias("a"), "k").join(f.select(F.col("c").alias("b"), "k"), "k").where("a < b").select("a", "b"))(g.read("customer").select(F.col("c_custkey").alias("c"), X.norm_name(F.concat(F.lit("Firm "), (F.col("c_custkey") % 41).cast("string"), F.lit(" GmbH"))).alias("k")))
-)
+query("j_block_norm", "select 'c' || a.c_custkey a, 'c' || b.c_custkey b from customer a join customer b on 'c' || a.c_custkey < 'c' || b.c_custkey and a.c_custkey % 41 = b.c_custkey % 41")(lambda g: Z.name_pairs(_firms(g)))
 query("er_multifield", "with recursive" + _DEC[4:] + ", l as (select a x, b y from d where decision = 'merge' union all select b, a from d where decision = 'merge'), r as (select id, id c from f union select r.id, l.y from r join l on l.x = r.c) select id, min(c) canonical from r group by 1")(lambda g: Z.multifield(_firms(g))[0])
-_ALIAS = lambda g: g.values([("s1", "s2", "ALIAS_OF"), ("s2", "s3", "ALIAS_OF"), ("s5", "n1", "ALIAS_OF")], "source_id string, target_id string, edge_type string")
-query("er_alias", "select id, case when id in ('s1', 's2', 's3') then 's3' else id end canonical from entity", "entity")(lambda g: Z.alias(g("entity"), _ALIAS(g)))
-
+_ALIAS = lambda g: (lambda k: g.read("supplier").where(k % 5 < 2).select(F.concat(F.lit("s"), k.cast("string")).alias("source_id"), F.concat(F.lit("s"), (k + 1).cast("string")).alias("target_id"), F.lit("ALIAS_OF").alias("edge_type")).union(
+    g.read("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.lit("s4"), F.lit("ALIAS_OF"))))(F.col("s_suppkey"))
+query("er_alias", "select id, case when id like 's%' and substr(id, 2)::bigint % 5 < 3 then max(id) over (partition by id like 's%' and substr(id, 2)::bigint % 5 < 3, case when id like 's%' then substr(id, 2)::bigint // 5 end) else id end canonical from entity", "entity")(lambda g: Z.alias(g("entity"), _ALIAS(g)))
 # --- graph -----------------------------------------------------------------------------------
 
 _own = lambda g: g("edge").where("edge_type = 'OWNS'")
@@ -381,6 +413,7 @@ _OWNED = ", o as (select source_id s, target_id t, max(share_pct) / 100 sh from
 _CTRL = _OWNED + ", q as (select p[1] source_id, p[-1] target_id, round(sum(x), 9) stake, max(len(p) - 1)::int hops from w group by all) select source_id, target_id, round(least(stake, 1), 4) effective_pct, hops from q anti join o on s = source_id and t = target_id where stake >= 0.25e0"
 for _n in ("ga_control", "agg_own"):
     query(_n, _CTRL, "edge")(lambda g: G.infer_control(_own(g))[0].select("source_id", "target_id", "effective_pct", "hops"))
+query("f_record", _CTRL.replace("select source_id, target_id, round(least(stake, 1), 4) effective_pct, hops from q", "select source_id, target_id, round(least(stake, 1), 4) effective_pct, printf('%.1f%%', least(stake, 1) * 100) pct from q"), "edge")(lambda g: G.infer_control(_own(g))[0].select("source_id", "target_id", "effective_pct", F.regexp_extract("evidence", "= (.*)$", 1).alias("pct")))
 query("ga_from_graph", _CTRL.replace("edge_type = 'OWNS' and", "edge_type = 'OWNS' and provenance is distinct from 'inferred' and"), "edge")(lambda g: G.infer_control(C.ownership_edges(g("edge")).withColumn("edge_type", F.lit("OWNS")))[0].select("source_id", "target_id", "effective_pct", "hops"))
 _STEP = ", w as (select [source_id, target_id] p, [edge_type] ty, e.confidence x from edge e where source_id = 's1' union all select list_append(p, target_id), list_append(ty, edge_type), x * e.confidence from w join edge e on p[-1] = source_id where not list_contains(p, target_id) and len(p) < 5)"
 query("j_pathstep", _STEP + " select array_to_string(p, '>') path, len(p)::int - 1 hops from w where p[1] <> p[2]", "edge")(lambda g: G.paths(g("edge"), g.values([("s1",)], "id string"), 4, {"types": "edge_type"}).select(F.array_join("path", ">").alias("path"), "hops"))
@@ -388,31 +421,34 @@ _FIND = ", src as (select id from entity where contains(label, 'Supplier#0000000
 _FIND += " select array_to_string(p, '>') path, array_to_string(ty, '>') types, round(x, 9) score from w where p[-1] in (select id from dst) order by score desc, p, ty limit 25"
 for _n in ("ga_path", "s_paths"):
     query(_n, _FIND, "entity", "edge")(lambda g: G.find_paths(g("entity"), g("edge"), "Supplier#000000001", "Supplier#00000001")[0].select(F.array_join("path", ">").alias("path"), F.array_join("types", ">").alias("types"), "score"))
-query("ga_bridges", f", s as (select * from edge where edge_type in ('CONTRADICTS', 'OWNS')), p as (select row_number() over () n, u, v from (select distinct least(source_id, target_id) u, greatest(source_id, target_id) v from s where source_id <> target_id)), "
+query("ga_bridges", ", p as (select row_number() over () n, u, v from (select distinct least(source_id, target_id) u, greatest(source_id, target_id) v from edge where source_id <> target_id)), "
     "b as (select n, u, v from p union all select n, v, u from p), r as (select n, u here, v goal from p union select r.n, b.v, r.goal from r join b on b.u = r.here and b.n <> r.n) select u, v from p where n not in (select n from r where here = goal)", "edge")(
-    lambda g: G.bridges(g("edge").where("edge_type in ('CONTRADICTS', 'OWNS')"))
+    lambda g: G.bridges(g("edge"))
 )
-_ss = lambda g: g("edge").where("edge_type in ('PAID_TO', 'OWNS')")
-query("ga_louvain")(lambda g: G.communities(_ss(g)))
-query("ga_betweenness")(lambda g: G.betweenness(_ss(g)))
-query("s_topk_betw")(lambda g: G.surprising(G.betweenness(_ss(g)), G.degrees(G.simple(_ss(g)))))
-query("ga_gaps")(lambda g: G.gaps(G.communities(_ss(g)), _ss(g)))
-query("ga_edge_betw")(lambda g: G.betweenness(_ss(g), edges=True))
-query("ga_skeleton")(lambda g: G.skeleton(_ss(g), 50))
-query("ga_homology")(lambda g: g.values([(float(a), float(b)) for a, b in G.homology(_ss(g), 60)["h1"]], "birth double, death double"))
-query("agg_modularity")(lambda g: g.values([(G.modularity(G.communities(_ss(g)), _ss(g)),)], "modularity double"))
+query("ga_louvain")(lambda g: G.communities(g("edge")))
+query("ga_betweenness")(lambda g: G.betweenness(g("edge")))
+query("s_topk_betw")(lambda g: G.surprising(G.betweenness(g("edge")), G.degrees(G.simple(g("edge")))))
+query("ga_gaps")(lambda g: G.gaps(G.communities(g("edge")), g("edge")))
+query("ga_edge_betw")(lambda g: G.betweenness(g("edge"), edges=True))
+query("ga_skeleton")(lambda g: G.skeleton(g("edge"), 50))
+query("ga_homology")(lambda g: g.values([(float(a), float(b)) for a, b in G.homology(g("edge"))["h1"]], "birth double, death double"))
+query("agg_modularity")(lambda g: g.values([(G.modularity(G.communities(g("edge")), g("edge")),)], "modularity double"))
 query("ga_maxflow")(lambda g: g.values([(G.max_flow(g("edge").where("edge_type = 'PAID_TO' and currency = 'USD'"), "s0", "s7")["flow"],)], "flow double"))
-query("agg_cross", f", {_SIMPLE} select least(u[1:1], v[1:1]) a, greatest(u[1:1], v[1:1]) b, count(*) n from p where u[1:1] <> v[1:1] group by all", "edge")(
-    lambda g: (lambda k: G.simple(g("edge")).select(k("u").alias("a"), k("v").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))(lambda c: F.substring(c, 1, 1))
-)
-query("s_topk_comm", f", {_SIMPLE}, d as (select u id, count(*) degree, u[1:1] community from b group by 1) select community, id, degree from d qualify row_number() over (partition by community order by degree desc, id) <= 3", "edge")(
-    lambda g: (lambda W: G.degrees(G.simple(g("edge"))).withColumn("community", F.substring("id", 1, 1)).withColumn("n", F.row_number().over(W.partitionBy("community").orderBy(F.desc("degree"), "id"))).where("n <= 3").select("community", "id", "degree"))(Window)
-)
-query("ga_timeline", "select o_orderkey id, year(o_orderdate)::int y from orders where o_orderdate is not null")(lambda g: g.read("orders").where("o_orderdate is not null").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("y")).orderBy("y", "id"))
-query("l_caps", "select id, substr(label || repeat('.', 600), 1, 500) t from entity where entity_type = 'location'", "entity")(lambda g: g("entity").where("entity_type = 'location'").select("id", F.substring(F.concat("label", F.repeat(F.lit("."), F.lit(600))), 1, 500).alias("t")))
-query("l_trunc", "select id, true truncated from entity order by id limit 5", "entity")(lambda g: (lambda d: d.limit(5).withColumn("truncated", F.lit(d.limit(6).count() > 5)))(g("entity").select("id").orderBy("id")))
+#: Communities by nation: customers and suppliers with theirs, nations with their region's.
+_COM = "com as (select 'c' || c_custkey id, 'n' || c_nationkey community from customer union all select 's' || s_suppkey, 'n' || s_nationkey from supplier union all select 'n' || n_nationkey, 'r' || n_regionkey from nation)"
+_com = lambda g: reduce(DataFrame.union, [g.read(t).select(F.concat(F.lit(a), F.col(k).cast("string")).alias("id"), F.concat(F.lit(b), F.col(c).cast("string")).alias("community")) for t, a, k, b, c in (("customer", "c", "c_custkey", "n", "c_nationkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey"))])
+_CROSS = f", {_SIMPLE}, {_COM}, cr as (select least(a.community, b.community) a, greatest(a.community, b.community) b, count(*) crossed from p join com a on u = a.id join com b on v = b.id where a.community <> b.community group by 1, 2)"
+_GAP = _CROSS + ", sz as (select community, count(*) size from com group by 1 having count(*) >= 5), gp as (select x.community a, y.community b, x.size size_a, y.size size_b, coalesce(crossed, 0)::bigint cross_edges, case when crossed is null then 'HIGH' else 'MEDIUM' end severity from sz x join sz y on x.community < y.community left join cr on cr.a = x.community and cr.b = y.community where coalesce(crossed, 0) <= 3)"
+query("agg_cross", _CROSS + " select a, b, crossed \"cross\" from cr", "edge")(lambda g: G.cross_edges(_com(g), G.simple(g("edge"))))
+query("s_topk_comm", f", {_SIMPLE}, {_COM}, d as (select u id, count(*) degree from b group by 1) select community, id, degree, row_number() over (partition by community order by degree desc, id)::int nth from d join com using (id) qualify nth <= 3", "edge")(lambda g: G.top_members(_com(g), G.simple(g("edge"))))
+query("j_gap", _GAP + " select a, b, size_a, size_b, cross_edges, severity from gp", "edge")(lambda g: G.gaps(_com(g), g("edge")).select("a", "b", "size_a", "size_b", "cross_edges", "severity"))
+query("s_gap", _GAP + " select a, b, severity, cross_edges from gp order by severity <> 'HIGH', cross_edges, a, b limit 15", "edge")(lambda g: G.by_severity(G.gaps(_com(g), g("edge"))).limit(15).select("a", "b", "severity", "cross_edges"))
+
+query("ga_timeline", "select id, label, regexp_extract(label, '\\b(\\d{4})\\b', 1)::int as \"year\" from entity where regexp_matches(label, '\\b\\d{4}\\b')", "entity")(lambda g: W.timeline(W.tagged(g("entity"), _DOMAINS, _STORIES)))
+query("l_caps", "select id, substr(label || repeat('.', 600), 1, 500) t from entity where entity_type = 'location'", "entity")(lambda g: g("entity").where("entity_type = 'location'").select("id", X.capped(F.concat("label", F.repeat(F.lit("."), F.lit(600)))).alias("t")))
+query("l_trunc", "select id, true truncated from entity order by id limit 5", "entity")(lambda g: W.limited(g("entity").select("id").orderBy("id"), 5))
 query("f_render_path", "select 'A --[OWNS]--> B (0.50)' as text")(lambda g: G.render_path(g.values([(["a", "b"], ["OWNS"], 0.5)], "path array<string>, types array<string>, score double"), g.values([("a", "A"), ("b", "B")], "id string, label string")))
-query("ga_briefing")(lambda g: g.values([(T.briefing(C.new_since(g("entity"), 0), C.contradictions(g("edge"), g("entity"), 5), G.gaps(G.communities(_ss(g)), _ss(g)), C.unlinked(g("entity"), g("edge"), g("mention"))),)], "markdown string"))
+query("ga_briefing")(lambda g: g.values([(T.briefing(C.new_since(g("entity"), 0), C.contradictions(g("edge"), g("entity"), 5), G.gaps(G.communities(g("edge")), g("edge")), C.unlinked(g("entity"), g("edge"), g("mention"))),)], "markdown string"))
 
 # --- whole runs and readers ------------------------------------------------------------------
 
@@ -425,6 +461,13 @@ edges:
 """
 
 
+def _loads(text: str) -> bool:
+    try:
+        return bool(tabular.Spec.load(text))
+    except ValueError:
+        return False
+
+
 def _table(g):
     k = F.col("s_suppkey")
     rows = g.read("supplier").select(
@@ -450,36 +493,39 @@ def _(g):
 
 
 def _records(g):
-    """Labels that documents hold, some of them spelt twice, and a ledger of edges between them."""
-    names = [("e1", "organization", "Apache License", "nlp"), ("e2", "organization", "APACHE  license", "nlp"), ("e3", "document", "All rights reserved", "nlp"), ("e4", "organization", "Apache License Inc.", "structured"), ("e5", "person", "Nobody Such", "nlp"), ("e6", "document", "MIT License", "nlp")]
-    ent = g.values([(*n, f"doc-{i}", 0.5, "x", 0, i) for i, n in enumerate(names)], "id string, entity_type string, label string, extraction_source string, source_url string, confidence double, provenance string, created_at long, ord long")
-    rows = [("e1", "e3", "A", 1.0), ("e2", "e3", "A", 2.0), ("e4", "e1", "A", 4.0), ("e5", "e1", "A", 8.0), ("e3", "e6", "B", 16.0)]
-    edge = g.values([(*r, "USD", None, "structured" if r[0] == "e4" else "nlp", "doc-1", "x", i) for i, r in enumerate(rows)], "source_id string, target_id string, edge_type string, amount double, currency string, share_pct double, extraction_source string, source_url string, provenance string, ord long")
-    return ent, edge
-
-
-@query("e2e_rebuild", "select 3::bigint entities, (select count(*) from documents) documents, 1::bigint resolved", "document")
+    """Suppliers and their owners as raw records: every second one is owned under a second spelling; a chunk tells of each edge."""
+    own = _own(g).select("source_id", F.when(F.substring("target_id", 2, 9).cast("long") % 2 == 0, F.concat(F.lit("v"), "target_id")).otherwise(F.col("target_id")).alias("target_id"), "edge_type", "share_pct", "ord")
+    firm = g("entity").where("id like 's%'").select("id", "entity_type", "label", "extraction_source", F.lit("doc-1").alias("source_url"), "confidence", "provenance", "created_at", F.substring("id", 2, 9).cast("long").alias("ord"))
+    again = firm.where("ord % 2 = 0").withColumns({"id": F.concat(F.lit("v"), "id"), "label": F.concat(F.upper("label"), F.lit(" GmbH")), "ord": F.col("ord") + 1_000_000_000})
+    ent = firm.union(again)
+    named = lambda k: ent.select(F.col("id").alias(f"{k}_id"), F.col("label").alias(k))
+    told = own.join(named("source"), "source_id").join(named("target"), "target_id").select(F.concat(F.lit("t"), F.col("ord").cast("string")).alias("id"), F.concat("source", F.lit(" owns "), "target", F.lit(", says the register.")).alias("body"))
+    edge = own.withColumns({"extraction_source": F.lit("structured"), "source_url": F.lit("doc-1"), "provenance": F.lit("register")})
+    return told, ent, edge
+
+
+@query("e2e_rebuild", "select (select count(*) from supplier) entities, (select count(*) - 1 from supplier) edges, (select count(*) from documents) documents, (select count(*) from supplier where s_suppkey % 2 = 0 and s_suppkey > 0) mentions")
 def _(g):
-    ent, edge = _records(g)
-    tables, counts = case.rebuild(g("chunk"), ent, edge, g("document").select("id", "path"), g("mention").limit(0))
-    same = tables["entity"].where("id in ('e1', 'e3', 'e6')").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("entities", "documents").join(same.select(F.when(F.col("n") == 3, 1).otherwise(0).cast("long").alias("resolved")))
+    told, ent, edge = _records(g)
+    mention = ent.where("id like 'v%' and id <> 'vs0'").select(F.col("id").alias("entity_id"), F.lit("doc-1").alias("doc_id"), F.lit(1).cast("long").alias("mention_count"))
+    return case.rebuild(told, ent, edge, g("document").select("id", "path"), mention)[1].select("entities", "edges", "documents", "mentions")
 
 
 query("er_splink")(lambda g: Z.fellegi_sunter(_people(g)))
-query("er_greedy", "select vec_id id, vec_id canonical from embeddings where vec_id = 0")(lambda g: Z.greedy(g.values([("0", 0)], "id string, ord long"), g.values([], "a string, b string, s double")).select(F.col("id").cast("long").alias("id"), F.col("canonical").cast("long").alias("canonical")))
-query("er_greedy_vectors")(lambda g: (lambda v: Z.greedy(v, Z.cosine_pairs(v, 0.3)))(_vecs(g)))
-query("snk_report")(lambda g: g.values([(T.report({"entities": g("entity").count()}, G.gaps(G.communities(_ss(g)), _ss(g)), G.bridges(_ss(g)), G.surprising(G.betweenness(_ss(g)), G.degrees(G.simple(_ss(g))))),)], "json string"))
-query("snk_skeleton")(lambda g: g.values([(T.skeleton_json(G.skeleton(_ss(g), 20), g("entity"), G.simple(_ss(g)).count()),)], "json string"))
+query("er_greedy", """with recursive pr as (select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) s from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) >= 0.3e0),
+    nb as (select vec_id k, coalesce(list(a) filter (a is not null), []) l from embeddings left join pr on b = vec_id group by 1), r as (select (-1)::bigint k, []::bigint[] reps union all select nb.k, case when len(list_intersect(reps, l)) = 0 then list_append(reps, nb.k) else reps end from r join nb on nb.k = r.k + 1),
+    rep as (select unnest(reps) h from (select reps from r order by k desc limit 1)), best as (select b, arg_max(a, (s, -a)) h from pr join rep on rep.h = a where b not in (select h from rep) group by b)
+    select vec_id id, coalesce(best.h, vec_id) canonical from embeddings left join best on b = vec_id""")(lambda g: (lambda v: Z.greedy(v, Z.cosine_pairs(v, 0.3)))(_vecs(g)))
+
+query("snk_report")(lambda g: g.values([(T.report({"entities": g("entity").count()}, G.gaps(G.communities(g("edge")), g("edge")), G.bridges(g("edge")), G.surprising(G.betweenness(g("edge")), G.degrees(G.simple(g("edge"))))),)], "json string"))
+query("snk_skeleton")(lambda g: g.values([(T.skeleton_json(G.skeleton(g("edge"), 20), g("entity"), G.simple(g("edge")).count()),)], "json string"))
 query("r_embed", "select id, length(body)::double d from chunk", "document", "chunk")(lambda g: S.embed(g("chunk"), lambda texts: [[float(len(t))] for t in texts]).select("id", F.get("embedding", F.lit(0)).alias("d")))
-query("j_gap", "with c as (select n_regionkey c, count(*) n from nation group by 1) select a.c a, b.c b, least(a.n, b.n)::bigint n from c a join c b on a.c < b.c where a.n >= 5 and b.n >= 5")(
-    lambda g: G.gaps(g.read("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_regionkey").alias("community")), g("edge").where("edge_type = 'OWNS'")).select("a", "b", F.least("size_a", "size_b").alias("n"))
-)
+
 query("src_findings", "select p_partkey entity_id, unnest(list_distinct([p_brand, p_type])) doc_id from part")(lambda g: files.read_findings(g.read("part").select(F.col("p_partkey").alias("id"), F.array("p_brand", "p_type").alias("provenance")))[1])
 query("src_gold", "select id, entity_type, label from (select 'n' || n_nationkey id, 'place' entity_type, n_name as label from nation union all select 'r' || r_regionkey, 'unknown', 'r' || r_regionkey from region where r_regionkey in (select n_regionkey from nation))")(
     lambda g: gold.read_gold(g.read("nation").select(F.col("n_name").alias("path"), F.format_string("---\nentities:\n- {id: n%d, type: City, canonical: '%s'}\nedges:\n- {from: n%d, type: in, to: r%d}\n---\ntext", "n_nationkey", "n_name", "n_nationkey", "n_regionkey").alias("text")), {"city": "place"})[0].select("id", "entity_type", "label")
 )
-query("src_onto", "select 20::bigint edges, 27::bigint pairs")(lambda g: Vocabulary.shipped().frame(g.spark).agg(F.count_distinct("edge_type").alias("edges"), F.count(F.lit(1)).alias("pairs")))
+query("src_onto", "select * from (values ('KNOWS', 'person', '*'), ('RUNS', 'person', 'firm'), ('RUNS', 'firm', 'firm')) v(edge_type, src, tgt)")(lambda g: Vocabulary.parse(ONTO).frame(g.spark))
 query("gt_linkage", "select 'L2' ledger_id, 'missing file' problem")(lambda g: V.linkage_gate(g.values([("L1", "ab-1", "GAP"), ("L2", "cd-2", "GAP")], "ledger_id string, artifact string, status string"), g.values([("ab-1", "", "f1", "h"), ("cd-2", "", "f2", "h")], "artifact_id string, capture_group string, local_path string, sha256 string"), g.values([("f1", "h")], "local_path string, sha256 string")).select("ledger_id", "problem"))
 query("gt_ledger", f"select v.id::bigint ledger_id from {values(STATES, 'id, s')} where v.id in (5, 7)")(lambda g: V.ledger_gate(g.values(STATES, "ledger_id long, status string")).select("ledger_id"))
 query("gt_minimise", "select 'doc-' || doc_id path from documents where contains(lower(text), 'gnu general')")(lambda g: V.minimise_gate(g("document").select(F.col("id").alias("path"), "text"), ["GNU General"]).select("path"))
@@ -492,10 +538,8 @@ query("snk_review", "select source_id, target_id, 'inferred' provenance, true ne
 COSINES = [(1, 0.93), (2, 0.9985), (3, 1.0), (4, 0.90), (5, 0.97)]
 query("f_band", f"select v.id::bigint id, case when v.id in (1, 5) then 'review' else 'exclude' end verdict from {values(COSINES, 'id, c')}")(lambda g: g.values(COSINES, "id long, c double").select("id", X.semantic_verdict(F.lit("person"), F.lit("person"), F.col("c")).alias("verdict")))
 query("x_source", "select extraction_source, count(*) cnt from entity group by 1", "entity")(lambda g: C.counted(g("entity"), "extraction_source"))
-query("s_gap", "with c as (select n_regionkey c, count(*) n from nation group by 1) select a.c a, b.c b, 'HIGH' severity from c a join c b on a.c < b.c where a.n >= 5 and b.n >= 5")(
-    lambda g: G.gaps(g.read("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_regionkey").alias("community")), g("edge").where("edge_type = 'OWNS'")).orderBy(F.col("severity") != "HIGH", "cross_edges", "a", "b").select("a", "b", "severity")
-)
-query("s_skeleton")(lambda g: G.skeleton(_ss(g), 25))
+
+query("s_skeleton")(lambda g: G.skeleton(g("edge"), 25))
 query("x_phase3")(lambda g: E.relations(g("chunk"), lambda body: [{"source": "text", "target": "license", "type": "MENTIONS", "evidence": body}] if "License" in body else []))
 query("src_manifest", "select p_partkey::varchar artifact_id, p_size http_status from part")(lambda g: (lambda path: (g.read("part").select(F.col("p_partkey").cast("string").alias("artifact_id"), F.col("p_size").alias("http_status"), F.lit("x").alias("unheard_of")).write.json(path), files.read_manifest(g.spark, path).select("artifact_id", "http_status"))[1])(table_path(g.spark, "manifest")))
 query("ev_control", "select 1.0e0 as \"precision\", 1.0e0 recall, 1.0e0 f1")(lambda g: Q.prf(G.infer_control(g.values([("P", "B", "OWNS", 100.0), ("B", "C", "OWNS", 55.0), ("D", "B", "OWNS", 30.0)], "source_id string, target_id string, edge_type string, share_pct double"))[0], g.values([("P", "C")], "source_id string, target_id string"), ["source_id", "target_id"]))
@@ -505,6 +549,73 @@ query("ev_dedup", "select 1.0e0 as \"precision\", 1.0e0 recall, 1.0e0 f1")(lambd
 query("ev_tabular", "select count(*) edges, (select count(*) from supplier where s_suppkey % 5 < 2) skipped from supplier where s_suppkey % 5 > 1")(lambda g: (lambda t: t["edges"].agg(F.count(F.lit(1)).alias("edges")).join(t["skipped"].agg(F.count(F.lit(1)).alias("skipped"))))(_table(g)))
 query("ev_ftm", "select count(*) edges from edge where edge_type = 'OWNS'", "edge")(lambda g: ftm.load(ftm.export(g("entity"), g("edge"))[0])[1].where("edge_type = 'OWNS'").agg(F.count(F.lit(1)).alias("edges")))
 query("ev_pipeline", f"select count(*) filter (not {_LEGAL}) violations, count(*) filter (e.evidence <> '') with_evidence {_ENDS}", "entity", "edge")(lambda g: (lambda x: x[1].agg(F.count(F.lit(1)).alias("violations")).join(x[0].unionByName(x[1]).where("evidence <> ''").agg(F.count(F.lit(1)).alias("with_evidence"))))(R.grade_gate(g("edge"), g("entity"), Vocabulary.shipped().frame(g.spark))))
+
+# --- floors, schemas, processors ---------------------------------------------------------------
+
+
+def _floors(g):
+    """A generated register: groups of a bare name and one with a legal form, a chain of owners, similar people, a donor under two names, an unsupported firm."""
+    forms, n, people = ["LLC", "Inc", "Corporation", "Company", "GmbH", "Ltd"], 30, 8
+    names = [(f"co{i}{v}", "organization", f"Acme {i}" + (f" {forms[i % 6]}" if v else "")) for i in range(n) for v in ("", "_v")]
+    names += [(f"p{i}", "person", f"Jordan Lee {i}") for i in range(people)] + [("donorA", "organization", "Northwind Trust"), ("donorA_v", "organization", "Northwind Trust GmbH"), ("ghost", "organization", "Zzz Phantom Holdings")]
+    label = {i: x for i, _, x in names}
+    links = [(f"co{i}", f"co{i + 1}_v", "OWNS", None) for i in range(n - 1)] + [(f"p{i}", f"co{i}", "DIRECTOR_OF", None) for i in range(people)]
+    links += [("co0", "donorA", "FUNDED_BY", 2700.0), ("co0", "donorA_v", "FUNDED_BY", 3950.0)]
+    told = g.values([(f"t{k}", f"{label[a]} and {label[b]}, per the filing.") for k, (a, b, *_) in enumerate(links)], "id string, body string")
+    ent = g.values([(i, t, x, "structured", "register", f"register#{i}", 0.9, 0, k) for k, (i, t, x) in enumerate(names)], "id string, entity_type string, label string, extraction_source string, source_url string, provenance string, confidence double, created_at long, ord long")
+    edge = g.values([(a, b, t, m, "USD" if m else None, "structured", "register", f"register#{a}", k) for k, (a, b, t, m) in enumerate([*links, ("co1", "ghost", "OWNS", None)])], "source_id string, target_id string, edge_type string, amount_total double, currency string, extraction_source string, source_url string, provenance string, ord long")
+    groups = g.values([(f"co{i}{v}", i) for i in range(n) for v in ("", "_v")] + [("donorA", n), ("donorA_v", n)], "id string, gold int")
+    r = case.ground_and_resolve(told, ent, edge)
+    return A.floors(r.entity, r.edge, groups, n - 1 + people + 1, people, 6650.0, "ghost")
+
+
+query("ev_structured", "select * from (values ('edges', 38.0e0, 38.0e0, true), ('largest component', 1.0e0, 0.9e0, true), ('merge recall', 1.0e0, 0.8e0, true), ('people', 8.0e0, 8.0e0, true), ('edges without source', 0.0e0, 0.0e0, true), ('poison', 0.0e0, 0.0e0, true), ('money', 6650.0e0, 6650.0e0, true)) v(floor, value, needed, ok)")(_floors)
+
+
+@query("ev_audit", "select * from (values ('quarantine', 'PASS', ''), ('ftm', 'PASS', ''), ('names', 'PASS', ''), ('model', 'DEGRADED', ''), ('broken', 'FAIL', 'ZeroDivisionError: division by zero'), ('verdict', 'FAIL', '')) v(name, status, detail)")
+def _(g):
+    own = _own(g)
+    ghost = g.values([("real", "organization", "Apache License"), ("ghost", "person", "Zebediah Quagmire")], "id string, entity_type string, label string")
+    checks = {
+        "quarantine": lambda: [r.id for r in R.ground_entities(ghost, R.mentions(ghost, g.values([("1", "Under the Apache License.")], "id string, body string"))).collect()] == ["real"],
+        "ftm": lambda: ftm.load(ftm.export(g("entity"), own)[0])[1].count() == own.count(),
+        "names": lambda: Z.by_name(_people(g)).agg(F.count_distinct("canonical")).first()[0] < Z.exact(_people(g)).agg(F.count_distinct("canonical")).first()[0],
+        "model": lambda: None,
+        "broken": lambda: 1 / 0,
+    }
+    rows, verdict = A.audit(checks)
+    return g.values([*rows, ("verdict", verdict, "")], "name string, status string, detail string")
+
+
+query("snk_schema_graph", "select source_id, target_id, edge_type, coalesce(confidence, 0.5) confidence, coalesce(provenance, 'unknown') provenance, valid_at_ms, amount from (select *, null::bigint valid_at_ms from edge)", "edge")(lambda g: T.conform(g("edge").drop("ord"), "edge").select("source_id", "target_id", "edge_type", "confidence", "provenance", "valid_at_ms", "amount"))
+query("snk_schema", "select * from (values ('chunk', 10), ('document', 7), ('edge', 14), ('entity', 12), ('mention', 3)) v(name, columns)")(
+    lambda g: (lambda path: (T.create_tables(g.spark, path), g.values([(n, len(g.spark.read.parquet(f"{path}/{n}").columns)) for n in sorted(T.SCHEMAS) if n not in T.create_tables(g.spark, path)], "name string, columns int"))[1])(table_path(g.spark, "schema"))
+)
+query("snk_migrate", "select * from (values (3, '1,2')) v(version, steps)")(lambda g: (lambda ran: g.values([(T.migrate(1, 3, {1: lambda: ran.append("1"), 2: lambda: ran.append("2")}), ",".join(ran))], "version int, steps string"))([]))
+query("src_route", "select * from (values ('a/own.csv', 'a/own.map.yaml')) v(path, mapping)")(lambda g: g.values(list(files.route(["a/own.csv", "a/own.map.yaml", "a/other.csv", "a/x.txt"]).items()), "path string, mapping string"))
+query("src_spec", "select * from (values ('bad', false), ('good', true)) v(name, ok)")(lambda g: g.values([("good", _loads(SPEC)), ("bad", _loads("entities:\n  - {column: owner, type: alien}\nedges: []\n"))], "name string, ok boolean"))
+query("er_cluster_tier", "select 'a' || s_suppkey id, 'a' || (s_suppkey - s_suppkey % 3) canonical from supplier union all select 'b' || s_suppkey, 'b' || s_suppkey from supplier")(
+    lambda g: Z.tiers(_people(g), Z.cluster_tier(g.read("supplier").select(F.concat(F.lit("a"), F.col("s_suppkey").cast("string")).alias("id"), F.floor(F.col("s_suppkey") / 3).cast("string").alias("cluster"))))
+)
+_BAND = "select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) cosine from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id"
+query("er_adjudicate", f"with p as ({_BAND}) select a, b, case when cosine >= 0.3e0 or (a + b) % 2 = 0 then 'match' else 'review' end verdict from p where cosine >= 0.25e0")(
+    lambda g: (lambda m, r: m.select("a", "b", F.lit("match").alias("verdict")).union(r.select("a", "b", F.lit("review"))))(*Z.adjudicate(Z.cosine_pairs(_vecs(g), 0.25), 0.3, lambda pairs: pairs.where("(a + b) % 2 = 0")))
+)
+query("er_create", "select 'a' || s_suppkey id, 'a' || s_suppkey canonical from supplier union all select 'b' || s_suppkey, case when s_suppkey % 2 = 0 then 'a' else 'new-b' end || s_suppkey from supplier")(
+    lambda g: (lambda p: Z.create(Z.exact(p), p, lambda c: F.when(c.startswith("b"), F.concat(F.lit("new-"), c)).otherwise(c)))(_people(g))
+)
+
+
+@query("src_processor", "select 'table' as name, n_nationkey::varchar || ',' || n_name line from nation union all select 'own', r_name from region")
+def _(g):
+    path = table_path(g.spark, "media")
+    g.read("nation").select("n_nationkey", "n_name").coalesce(1).write.csv(f"{path}.csv", header=True)
+    reg = processors.standard()
+    reg.register(processors.Processor("own", lambda p: p.endswith(".region"), lambda spark, p: {"entities": g.read("region").select(F.col("r_name").alias("line")), "edges": None, "text": None}), first=True)
+    rows = reg.process(g.spark, f"{path}.csv")["text"].select(F.lit(reg.choose(f"{path}.csv").name).alias("name"), F.concat_ws(",", "n_nationkey", "n_name").alias("line"))
+    return rows.union(reg.process(g.spark, "x.region")["entities"].select(F.lit(reg.choose("x.region").name), "line"))
+
+
 QUERIES_RAW = {"ga_funds": lambda g: QUERIES["ga_funds"](g.spark, g.sf_dir)}
 
 

@@ -221,8 +221,6 @@ def test_communities_and_gaps(spark):
     assert G.modularity(com, e) > 0.4
     gap = G.gaps(com, e).collect()
     assert len(gap) == 1 and gap[0].cross_edges == 1 and gap[0].severity == "MEDIUM"
-    lp = G.label_propagation(G.simple(e))
-    assert G.modularity(com, e) >= G.modularity(lp, e) - 1e-9
 
 
 def test_homology_of_a_ring(spark):
@@ -277,10 +275,10 @@ def test_ftm_round_trip(spark):
     assert {(r.edge_type, r.share_pct, r.amount, r.currency) for r in back.collect()} == {("OWNS", "55.0", None, None), ("FUNDED_BY", None, "10.0", "USD"), ("ASSOCIATED_WITH", None, None, None)}
 
 
-def test_vocabulary_from_markdown():
+def test_vocabulary_from_markdown(spark):
     md = "# x\n## Entity Types\n| Type | Description |\n|---|---|\n| Person | a human |\n## Edge Types\n| Type | From → To | Description |\n|---|---|---|\n| knows | person → any | d |\n| OCCURRED_ON | event → *(date)* | d |\n| BAD | person | d |\n"
     v = Vocabulary.parse(md)
-    assert v.types == {"person": "a human"} and v.domain_range() == [("KNOWS", "person", "*")] and len(v.warnings) == 1
+    assert v.types == {"person": "a human"} and [tuple(r) for r in v.frame(spark).collect()] == [("KNOWS", "person", "*")] and len(v.warnings) == 1
     assert Vocabulary.shipped().legal("LOCATED_AT", "event", "location") and not Vocabulary.shipped().legal("OWNS", "event", "asset")
 
 

@@ -36,7 +36,7 @@ def test_greedy_equals_a_pass(spark, kind):
 
 
 def test_registered_query_resolves_the_table(spark, small):
-    got = {str(r.id): str(r.canonical) for r in QUERIES["er_greedy_vectors"](spark, small).collect()}
+    got = {str(r.id): str(r.canonical) for r in QUERIES["er_greedy"](spark, small).collect()}
     pairs = [(str(r.a), str(r.b), r.cosine) for r in QUERIES["er_cosine"](spark, small).collect()]
     ids = [str(r.vec_id) for r in spark.read.parquet(f"{small}/embeddings.parquet").orderBy("vec_id").collect()]
     assert got == one_pass(ids, pairs)
