@@ -25,7 +25,7 @@ LEAST_BITS, MOST_BITS = 16, 27
 PAGE, FLUSH = 1 << 16, 1 << 20
 #: Rounds in which sets are compared in random parts of their buckets, of about so many sets, in one of so many large buckets
 #: each; then all pairs of a bucket that are still apart are.
-ROUNDS, PART, SOME = 3, 16, 4
+ROUNDS, PART, SOME = 2, 64, 4
 _BASE = 0xA24BAED4963EE407
 _LOWER = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), np.uint8)
 

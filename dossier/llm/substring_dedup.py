@@ -20,6 +20,8 @@ PAGE = 1 << 16
 #: The merged sketch's repeated cells may be broadcast up to so many bytes; beyond it they are joined.
 BROADCAST_BYTES = 64 << 20
 FLUSH = 1 << 20
+#: An anchor in so many places is hot: its windows are dealt by their own hashes, so no shard gets them all.
+HOT = 1 << 16
 _BASE_A, _BASE_B, _BASE_G = 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
 
 
@@ -60,19 +62,20 @@ def _cells(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _sketch(bits: int, width: int):
-    """Partition sketches: for each page of cells those seen once, and those seen more often."""
+    """Partition sketches: for each page of cells those seen once, and those seen more often with their counts."""
 
     def pages(cells: list[np.ndarray]) -> pa.RecordBatch:
         cell, n = np.unique(np.concatenate(cells), return_counts=True)
         page, start = np.unique(cell >> np.uint64(16), return_index=True)
         bound = [*start.tolist(), len(cell)]
         low = (cell & np.uint64(PAGE - 1)).astype("<u2")
-        once, more = [], []
+        once, more, times = [], [], []
         for a, b in zip(bound, bound[1:], strict=False):
             again = n[a:b] > 1
             once.append(low[a:b][~again].tobytes())
             more.append(low[a:b][again].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(page.astype(np.int64)), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["page", "once", "more"])
+            times.append(np.minimum(n[a:b][again], 65535).astype("<u2").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(page.astype(np.int64)), *[pa.array(x, pa.binary()) for x in (once, more, times)]], ["page", "once", "more", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -92,40 +95,48 @@ def _sketch(bits: int, width: int):
 
 
 def _merge(key, table):
-    """A page's cells whose counts, summed over partitions, reach two."""
-    count = np.zeros(PAGE, np.uint8)
-    for name, by in (("once", 1), ("more", 2)):
-        for cell in table.column(name):
-            at = np.frombuffer(cell.as_buffer(), "<u2")
-            count[at] = np.minimum(count[at] + by, 2)
-    return pa.table({"page": [key[0].as_py()], "cells": pa.array([np.flatnonzero(count > 1).astype("<u2").tobytes()], pa.binary())})
+    """A page's cells whose counts, summed over partitions, reach two, and those that reach HOT."""
+    count = np.zeros(PAGE, np.int64)
+    for once, more, times in zip(table.column("once"), table.column("more"), table.column("times"), strict=True):
+        count[np.frombuffer(once.as_buffer(), "<u2")] += 1
+        count[np.frombuffer(more.as_buffer(), "<u2")] += np.frombuffer(times.as_buffer(), "<u2")
+    cells = [pa.array([np.flatnonzero(count >= least).astype("<u2").tobytes()], pa.binary()) for least in (2, HOT)]
+    return pa.table({"page": [key[0].as_py()], "cells": cells[0], "hot": cells[1]})
 
 
 class _Repeated:
-    """Membership in the merged sketch, as a bitmap built once in each worker."""
-
-    def __init__(self, bits: int, pages: list[tuple[int, bytes]]):
-        self.bits, self.pages, self.map = bits, pages, None
-
-    def __getstate__(self):
-        return {"bits": self.bits, "pages": self.pages, "map": None}
-
-    def __call__(self, anchor: np.ndarray) -> np.ndarray:
-        if self.map is None:
-            self.map = np.zeros((DEPTH << self.bits) // 8 + 1, np.uint8)
-            for page, cells in self.pages:
-                at = np.frombuffer(cells, "<u2").astype(np.int64) + page * PAGE
-                np.bitwise_or.at(self.map, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        out = np.ones(len(anchor), bool)
-        for cell in _cells(anchor, self.bits):
-            out &= (self.map[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    """Membership in the merged sketch, as bitmaps (of repeated and of hot cells) built once in each worker."""
+
+    def __init__(self, bits: int, pages: list[tuple[int, bytes, bytes]]):
+        self.bits = bits
+        self.maps = [self._map(pages, k) for k in (1, 2)]
+
+    def _map(self, pages: list[tuple[int, bytes, bytes]], k: int) -> np.ndarray | None:
+        if not any(p[k] for p in pages):
+            return None
+        out = np.zeros((DEPTH << self.bits) // 8 + 1, np.uint8)
+        for p in pages:
+            at = np.frombuffer(p[k], "<u2").astype(np.int64) + p[0] * PAGE
+            np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
         return out
 
+    def __call__(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is it repeated, is it hot) of each anchor."""
+        cells, out = _cells(anchor, self.bits), []
+        for bitmap in self.maps:
+            hit = np.full(len(anchor), bitmap is not None)
+            for cell in cells if bitmap is not None else ():
+                hit &= (bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            out.append(hit)
+        return out[0], out[1]
+
 
 def _candidates(width: int, bits: int, shards: int, repeated):
     """Windows estimated repeated, dealt into shards by their anchor, equal ones of a flush as one.
 
     Equal windows have equal anchors, and neighbours mostly the same, so a document meets few shards.
+    Windows of a hot anchor are dealt by their own hash; as hot is what the merged sketch says, equal
+    windows still meet.
 
     Of windows that a flush holds more than once, one goes to its shard with the count 2; all their
     places are known to be repeated and go to the shard of their document.
@@ -169,18 +180,16 @@ def _candidates(width: int, bits: int, shards: int, repeated):
                 w, first, valid, anchor, _ = _batch(batch.column(2).slice(i, j - i), width)
                 if not valid.any():
                     continue
-                if repeated is not None:
-                    hot = repeated(anchor)
-                else:
-                    hot = _in_rows(batch.column(3).slice(i, j - i), first, anchor, bits)
-                at = np.flatnonzero(valid & hot)
+                again, hot = repeated(anchor) if repeated is not None else _in_rows(batch, i, j, first, anchor, bits)
+                at = np.flatnonzero(valid & again)
                 if not len(at):
                     continue
                 a = rolling(w, width, _BASE_A)[at]
                 b = (rolling(w, width, _BASE_B)[at] >> np.uint64(32)).astype("<u4")
                 doc = np.searchsorted(first, at, "right") - 1
                 key = np.stack([np.asarray(batch.column(k).slice(i, j - i)).astype(np.int64) for k in (0, 1)], axis=1).view(np.uint64)
-                held.append((a, b, doc + docs, (at - first[doc]).astype("<u4"), key, (mix64(anchor[at]) % np.uint64(shards)).astype(np.int64)))
+                shard = mix64(np.where(hot[at], a, anchor[at])) % np.uint64(shards)
+                held.append((a, b, doc + docs, (at - first[doc]).astype("<u4"), key, shard.astype(np.int64)))
                 docs += j - i
                 n += len(at)
                 if n > FLUSH:
@@ -192,18 +201,21 @@ def _candidates(width: int, bits: int, shards: int, repeated):
     return run
 
 
-def _in_rows(column: pa.Array, first: np.ndarray, anchor: np.ndarray, bits: int) -> np.ndarray:
-    """As _Repeated, from each text's own list of repeated cells."""
-    out = np.zeros(len(anchor), bool)
-    for i in range(len(first) - 1):
-        lo, hi = int(first[i]), min(int(first[i + 1]), len(anchor))
-        if lo < hi and column[i].is_valid:
-            cells = np.asarray(column[i].values).astype(np.uint64)
-            part = np.ones(hi - lo, bool)
-            for cell in _cells(anchor[lo:hi], bits):
-                part &= np.isin(cell, cells)
-            out[lo:hi] = part
-    return out
+def _in_rows(batch: pa.RecordBatch, i: int, j: int, first: np.ndarray, anchor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _Repeated, from each text's own lists of repeated and of hot cells."""
+    out = []
+    for column in (batch.column(3).slice(i, j - i), batch.column(4).slice(i, j - i)):
+        hit = np.zeros(len(anchor), bool)
+        for k in range(len(first) - 1):
+            lo, hi = int(first[k]), min(int(first[k + 1]), len(anchor))
+            if lo < hi and column[k].is_valid and len(column[k].values):
+                cells = np.asarray(column[k].values).astype(np.uint64)
+                part = np.ones(hi - lo, bool)
+                for cell in _cells(anchor[lo:hi], bits):
+                    part &= np.isin(cell, cells)
+                hit[lo:hi] = part
+        out.append(hit)
+    return out[0], out[1]
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +288,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     2. Windows estimated at two or more are grouped exactly, by a 96-bit hash of their words; a window
        that is common everywhere costs a row for each flush of a task, not one for each occurrence.
     3. Repeated places go back to their documents, whose words are then dropped.
-    Null and empty texts have no words. Repeated rows are each other's copies. Extra columns are ignored.
+    Null and empty texts have no words. Repeated rows are each other's copies. A text of any length is
+    one document. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
@@ -285,10 +298,10 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     # Chosen anchors: 2 of each (width - g + 2) words, of about six bytes each.
     expected = size / 6 * 2 / ((width + 1) // 2 + 1)
     bits = max(16, math.ceil(math.log2(max(2.0, CELLS * expected))))
-    found = base.select("_text").mapInArrow(lean("repeats", _sketch(bits, width)), "page long, once binary, more binary")
-    merged = materialise(found.groupBy("page").applyInArrow(_merge, "page long, cells binary").where("length(cells) > 0"), "sketch")
+    found = base.select("_text").mapInArrow(lean("repeats", _sketch(bits, width)), "page long, once binary, more binary, times binary")
+    merged = materialise(found.groupBy("page").applyInArrow(_merge, "page long, cells binary, hot binary").where("length(cells) > 0"), "sketch")
     if (merged.agg(F.sum(F.length("cells") + 8)).first()[0] or 0) <= broadcast_bytes and (DEPTH << bits) // 8 <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in merged.collect()])
+        shared = spark.sparkContext.broadcast([(r[0], bytes(r[1]), bytes(r[2])) for r in merged.collect()])
         asked, test = base.select("k1", "k2", "_text"), _Lazy(bits, shared)
     else:
         asked, test = _asked_by_join(base, merged, bits, width), None
@@ -296,7 +309,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     kinds = "shard long, a binary, b binary, n binary, doc binary, pos binary, keys binary"
     windows = asked.mapInArrow(lean("repeats", _candidates(width, bits, shards, test)), kinds).repartition(shards // 8, "shard")
     places = windows.mapInArrow(lean("repeats", _exact), "k1 long, k2 long, pos binary")
-    flags = places.groupBy("k1", "k2").agg(F.collect_list("pos").alias("pos"))
+    flags = places.groupBy("k1", "k2").agg(F.collect_set("pos").alias("pos"))
     kind = docs.schema[id_col].dataType.simpleString()
     joined = base.join(flags, ["k1", "k2"], "left").select("_id", "_text", "pos")
     return joined.mapInArrow(lean("repeats", _remove(width)), f"_id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("_id", id_col)
@@ -308,7 +321,7 @@ class _Lazy:
     def __init__(self, bits: int, shared):
         self.bits, self.shared, self.test = bits, shared, None
 
-    def __call__(self, anchor: np.ndarray) -> np.ndarray:
+    def __call__(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.test is None:
             self.test = _Repeated(self.bits, self.shared.value)
         return self.test(anchor)
@@ -319,19 +332,23 @@ def _asked_by_join(base: DataFrame, merged: DataFrame, bits: int, width: int) ->
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys, cells = [], []
             for i in range(batch.num_rows):
                 chosen = _batch(batch.column(2).slice(i, 1), width)[4]
                 if len(chosen):
-                    cells = np.unique(np.concatenate(_cells(chosen, bits))).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), batch.column(k)[i].as_py())) for k in (0, 1)] + [pa.array(cells)], ["k1", "k2", "cell"])
+                    cells.append(np.unique(np.concatenate(_cells(chosen, bits))).astype(np.int64))
+                    keys.append(np.full(len(cells[-1]), i))
+            if cells:
+                at = pa.array(np.concatenate(keys))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(cells))], ["k1", "k2", "cell"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                at = np.frombuffer(batch.column(1)[i].as_buffer(), "<u2").astype(np.int64) + batch.column(0)[i].as_py() * PAGE
-                yield pa.RecordBatch.from_arrays([pa.array(at)], ["cell"])
+                at, hot = (np.frombuffer(batch.column(k)[i].as_buffer(), "<u2").astype(np.int64) for k in (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(at + batch.column(0)[i].as_py() * PAGE), pa.array(np.isin(at, hot))], ["cell", "hot"])
 
-    entries = base.select("k1", "k2", "_text").mapInArrow(own, "k1 long, k2 long, cell long")
-    cells = merged.select("page", "cells").mapInArrow(spread, "cell long")
-    hits = entries.join(cells, "cell", "left_semi").groupBy("k1", "k2").agg(F.collect_set("cell").alias("cells"))
-    return base.join(hits, ["k1", "k2"], "left").select("k1", "k2", "_text", "cells")
+    entries = base.select("k1", "k2", "_text").mapInArrow(lean("repeats", own), "k1 long, k2 long, cell long")
+    cells = merged.select("page", "cells", "hot").mapInArrow(lean("repeats", spread), "cell long, hot boolean")
+    hits = entries.join(cells, "cell").groupBy("k1", "k2").agg(F.collect_set("cell").alias("cells"), F.collect_set(F.when(F.col("hot"), F.col("cell"))).alias("hot"))
+    return base.join(hits, ["k1", "k2"], "left").select("k1", "k2", "_text", "cells", "hot")

@@ -13,19 +13,38 @@ from dossier.llm.memory import lean
 from dossier.llm.tokens import count_tokens, tokenizer
 from dossier.llm.words import slices
 
-#: Characters of a chunk and of the overlap of two; texts of up to one chunk are encoded whole.
+#: Characters of a chunk and of the overlap of two; texts of up to one chunk go by their pieces.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Tokens after a splice that must be the same in both chunks, where the overlap holds so many.
 AGREE = 8
-_WHITE = " \t\n\r\x0b\x0c"
+_WHITE = frozenset(" \t\n\r\x0b\x0c")
+# Blocks of letters (first, last) and marks whose kinds have long been settled.
+_LETTERS = ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF), (0x410, 0x44F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~、。，！？；：（）「」『』《》")
+_DIGITS = frozenset("0123456789")
+
+
+def _letter(c: str) -> bool:
+    return any(a <= ord(c) <= b for a, b in _LETTERS)
+
+
+def certain(text: str, p: int) -> bool:
+    """Whether a pre-token starts at p whatever stands before: an ASCII space after something else, a mark (no
+    apostrophe) or a digit after a letter, a letter after a digit. Runs of letters, of digits and of marks are pre-tokens of their own."""
+    a, b = text[p - 1], text[p]
+    if b in _WHITE:
+        return not a.isspace()
+    if _letter(a):
+        return b in _MARKS or b in _DIGITS
+    return a in _DIGITS and _letter(b)
 
 
 def _splice(text: str, a: list[tuple[int, int]], a_ids: list[int], a_end: int, b: list[tuple[int, int]], b_ids: list[int], b_at: int) -> tuple[int, int] | None:
     """(token of a, token of b) at which both start anew at the same place of text, or None.
 
-    The place is an ASCII space after a character that isn't white space: byte-level pre-tokens always
-    end there, whatever came before, so both chunks' tokens from it on are the text's own until the
-    first chunk ends. It lies inside the overlap, and the tokens after it must agree in both.
+    The place is certain(): byte-level pre-tokens always start there, whatever came before, so both
+    chunks' tokens from it on are the text's own until the first chunk ends. It lies inside the
+    overlap, and the tokens after it must agree in both.
     """
     starts = {}
     for j in range(len(b)):
@@ -37,7 +56,7 @@ def _splice(text: str, a: list[tuple[int, int]], a_ids: list[int], a_end: int, b
     for i in range(i, len(a)):
         p = a[i][0]
         j = starts.get(p)
-        if j is None or p <= b_at or text[p] not in _WHITE or text[p - 1].isspace():
+        if j is None or p <= b_at or not certain(text, p):
             continue
         n = min(AGREE, len(a_ids) - i - 2)
         if n > 0 and a_ids[i : i + n] == b_ids[j : j + n]:
@@ -46,7 +65,8 @@ def _splice(text: str, a: list[tuple[int, int]], a_ids: list[int], a_end: int, b
 
 
 def count_long(text: str, tok, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a text of any length; no more than a few chunks are encoded at a time."""
+    """Tokens of a text of any length; no more than a few chunks are encoded at a time, unless a run of
+    letters, or of any one kind, is longer: then the chunk grows to its end."""
     enc = lambda lo, hi: tok.encode(text[lo:hi], add_special_tokens=False)
     total, at, size = 0, 0, chunk
     now = enc(at, at + size)
@@ -80,7 +100,9 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """One row per row of docs: id, n_bytes, n_tokens, over_limit (more than limit tokens).
 
     path is a tokenizers .json of the byte-level kind that adds no space in front. Null counts as
-    empty; empty texts have no tokens. Extra columns are ignored.
+    empty; empty texts have no tokens. Texts of over chunk bytes are encoded in overlapping chunks that
+    are spliced. Repeated rows are counted each; extra columns are ignored; an empty table gives an
+    empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

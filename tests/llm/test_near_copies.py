@@ -55,7 +55,7 @@ def rows(spark, small):
     return out + [(90_001, None), (90_002, ""), (90_003, " \t"), (90_004, "one"), (90_005, "ONE"), (90_006, "two words")]
 
 
-@pytest.mark.parametrize("rounds", [4, 0])
+@pytest.mark.parametrize("rounds", [2, 0])
 def test_near_copies(spark, rows, rounds, monkeypatch):
     monkeypatch.setattr(near_copies, "ROUNDS", rounds)
     if not rounds:  # an order that tells nothing, and all pairs of each bucket

@@ -149,7 +149,7 @@ def test_simhash_links_of_a_dense_bucket(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("width", [35, 5, 2])
-def test_substring_dedup(docs, rows, width):
+def test_substring_dedup(docs, rows, width, monkeypatch):
     seen, own = Counter(), {}
     for i, t in rows:
         own[i] = (t or "").encode().split()
@@ -161,7 +161,8 @@ def test_substring_dedup(docs, rows, width):
             if seen[b" ".join(w[k : k + width])] > 1:
                 gone[k : k + width] = True
         want[i] = (len(w), int(gone.sum()), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode())
-    for limit in (1 << 26, 0):
+    for limit, hot in ((1 << 26, 1 << 16), (0, 3), (1 << 26, 3)):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs, width, broadcast_bytes=limit).collect()}
         assert got == want
 
@@ -208,7 +209,7 @@ def test_tokens_equal_the_library(rows, special):
 @pytest.mark.parametrize(("chunk", "overlap"), [(1000, 50), (300, 20), (32768, 512)])
 def test_long_texts_are_spliced(rows, chunk, overlap):
     tok = tokens.tokenizer(tokenizer_path("byte_bpe_50k.json"))
-    for text in ("word " * 8000, "x" * 5000 + " y", "  ".join(t or "" for _, t in rows[:40]), "ab" * 3000 + " " + "cd " * 4000, " " * 3000 + "a" * 300 + " b" * 100, "日本語テキスト" * 500, "a<|endoftext|> b" * 900):
+    for text in ("word " * 8000, "x" * 5000 + " y", "  ".join(t or "" for _, t in rows[:40]), "ab" * 3000 + " " + "cd " * 4000, " " * 3000 + "a" * 300 + " b" * 100, "日本語テキスト" * 500, "a<|endoftext|> b" * 900, "漢字と仮名、また漢字。終わり！" * 700, "aGVsbG8+d29ybGQ/Zm9v1x2Y" * 600, "don't,we'll's re'x1's" * 400):
         assert token_counts.count_long(text, tok, chunk, overlap) == len(tok.encode(text, add_special_tokens=False))
 
 
@@ -358,6 +359,105 @@ def test_mix(spark, rows):
 
 
 
+def test_huge_texts_without_spaces_stay_in_chunks(monkeypatch):
+    tok, sizes = tokens.tokenizer(tokenizer_path("byte_bpe_50k.json")), []
+
+    class Watched:
+        def encode(self, text, add_special_tokens):
+            sizes.append(len(text))
+            return tok.encode(text, add_special_tokens=add_special_tokens)
+
+    text = "漢字と仮名、また漢字。終わり！abc123def+/" * 3000
+    assert token_counts.count_long(text, Watched(), 2000, 64) == len(tok.encode(text, add_special_tokens=False)) and max(sizes) <= 4000
+
+
+def test_isotonic_by_force():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 7, 40):
+        y, w = rng.normal(size=n).round(1), rng.integers(1, 5, n).astype(float)
+        mean = lambda i, j: (y[i : j + 1] * w[i : j + 1]).sum() / w[i : j + 1].sum()  # noqa: B023, E731
+        want = [max(min(mean(i, j) for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
+        assert rff_quality.isotonic(y, w) == pytest.approx(want)
+
+
+def test_ridge_from_partition_sums(spark):
+    rng = np.random.default_rng(9)
+    data = [(i, rng.normal(size=len(rff_quality.NAMES)).tolist(), float(i % 3 > 0)) for i in range(400)]
+    stats = spark.createDataFrame([(i, s) for i, s, _ in data], "_id long, stats array<double>").repartition(7)
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "_id long, label double")
+    model = rff_quality.fit(stats, labels)
+    kept = {r._id for r in stats.where(~gru_langid.held_out(F.col("_id"), 3, 1) & (F.pmod(F.xxhash64(F.lit("calibrate"), F.col("_id").cast("string")), F.lit(rff_quality.CALIBRATE)) > 0)).collect()}
+    x = model.features(np.array([s for i, s, _ in data if i in kept]))
+    y = np.array([v for i, _, v in data if i in kept])
+    f = rff_quality.FEATURES
+    penalty = rff_quality.RIDGE * len(x) * np.eye(f + 1) * np.append(np.ones(f) * 2 / f, 1e-6)
+    assert model.beta == pytest.approx(np.linalg.solve(x.T @ x + penalty, x.T @ y), rel=1e-5, abs=1e-7)
+
+
+def test_language_probabilities_by_force():
+    rng = np.random.default_rng(3)
+    net = gru_langid.Network(["de", "en", "fr"], gru_langid._init(3, rng))
+    texts = ["ab c" * 70, "", "x", "é" * 64 + "y"]
+    data, at = words.utf8(pa.array(texts))
+    got, w, k = gru_langid.pooled(net, data, at), net.weights, gru_langid.HIDDEN
+
+    def states(x, h, raw):
+        s, out = np.zeros(k), []
+        for byte in raw:
+            g, u = x[:, byte].astype(float), h.astype(float) @ s
+            z, r = (1 / (1 + np.exp(-(g[a : a + k] + u[a : a + k]))) for a in (0, k))
+            new = np.tanh(g[2 * k :] + r * u[2 * k :])
+            s = new + z * (s - new)
+            out.append(s)
+        return out
+
+    for i, t in enumerate(texts):
+        raw, total = t.encode(), np.zeros(3)
+        for a in range(0, len(raw), gru_langid.WINDOW):
+            part = raw[a : a + gru_langid.WINDOW]
+            padded = part + b" " * (gru_langid.WINDOW - len(part))
+            f, b = states(w["fw_x"], w["fw_h"], padded), states(w["bw_x"], w["bw_h"], padded[::-1])[::-1]
+            for p in range(len(part)):
+                e = np.exp(w["out"] @ np.concatenate([f[p], b[p]]) + w["bias"][:, 0])
+                total += e / e.sum()
+        assert got[i] == pytest.approx(total / max(1, len(raw)), abs=1e-4)
+
+
+def test_languages_of_any_number_are_sampled(spark, monkeypatch):
+    monkeypatch.setattr(gru_langid, "TRAIN_DOCS", 6)
+    seen = {}
+    monkeypatch.setattr(gru_langid, "train", lambda windows, mask, label, langs: seen.update(n=np.bincount(label).tolist(), langs=langs) or gru_langid.Network(langs, {}))
+    rows = [(i, f"text number {i}", "aa") for i in range(3000)] + [(None, "one text without id", "bb")] * 50 + [(9000 + i, f"other {i}", "cc") for i in range(40)]
+    gru_langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert seen["langs"] == ["aa", "bb", "cc"] and min(seen["n"]) >= 1  # a language of 3000 documents is there, as is one of a single text
+
+
+def test_repeated_rows_long_texts_and_clashing_names(spark, empty, tmp_path):
+    some = [(1, "one text of some words", "en", "s"), (2, "word " * 40_000, "en", None), (3, None, None, "s"), (4, "", "fr", "s"), (5, "un texte de quelques mots", "fr", "t")]
+    names = ("_id", "_text", "_row", "_w", "_len", "_part", "k1", "k2", "_source", "_size", "_draw", "sid", "row", "fp", "letters", "part", "first", "c0", "stats", "_at", "_p", "_null")
+    df = spark.createDataFrame(some * 2, empty.schema).repartition(3).withColumns({c: F.lit("x") for c in names})
+    bench = spark.createDataFrame([(1, "some words")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (5, 0), (None, 1)], "doc_id long, quality int")
+    path = tokenizer_path("byte_bpe_50k.json")
+    token_files.write_token_files(df, str(tmp_path / "t"), tokenizer_path("word_bpe_49k.json"))
+    for out in (
+        decontaminate.find_contamination(df, bench), token_counts.token_counts(df, path), simhash.near_duplicates(df), simhash.near_duplicates(df, width=5, similarity=0.8), substring_dedup.remove_repeats(df),
+        token_files.read_token_files(spark, str(tmp_path / "t")).withColumnRenamed("doc", "doc_id").drop("start"), license_scan.scan_licences(df), exact_dedup.exact_dedup(df).drop("kept"), rff_quality.quality(df, labels), gru_langid.language_id(df),
+    ):
+        got = Counter(map(str, out.collect()))
+        assert sum(got.values()) == 10 and len(got) == 5
+    mixed = curriculum.mix(df).collect()
+    assert len(mixed) == 10 and all(0 <= r.taken <= 3 * r.size for r in mixed)
+
+
+@pytest.mark.parametrize("kind", ["decimal(12,0)", "smallint", "double", "string"])
+def test_token_files_of_other_ids(spark, tmp_path, kind):
+    df = spark.createDataFrame([(3, "c"), (1, "a a"), (None, "none"), (1, "a")], "doc_id int, text string").select(F.col("doc_id").cast(kind), "text")
+    token_files.write_token_files(df, str(tmp_path / "t"), tokenizer_path("word_bpe_49k.json"))
+    got = token_files.read_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r.doc is None for r in got] == [True, False, False, False] and float(got[-1].doc) == 3
+
+
 def test_isotonic():
     assert rff_quality.isotonic(np.array([1.0, 0.0, 2.0]), np.ones(3)).tolist() == [0.5, 0.5, 2.0]
     assert rff_quality.isotonic(np.array([0.1, 0.2]), np.ones(2)).tolist() == [0.1, 0.2]
