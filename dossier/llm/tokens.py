@@ -12,9 +12,9 @@ from dossier.llm import memory as _memory
 from dossier.llm.words import mix64, spans, utf8, word_hashes
 
 #: Pieces a worker remembers; beyond it the memory starts afresh.
-MEMORY = 1_500_000
-SLOTS = 1 << 22
-_SHIFT = np.uint64(64 - 22)
+MEMORY = 1_200_000
+SLOTS = 1 << 21
+_SHIFT = np.uint64(64 - 21)
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _open: dict[str, object] = {}
 _memories: dict[tuple, object] = {}
