@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch handed to a Python worker; texts may be long.
 ARROW_ROWS = 512
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def build(app: str = "dossier", master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
