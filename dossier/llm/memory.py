@@ -7,9 +7,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-#: Blocks from this size on are mapped on their own, so freeing them leaves no holes (glibc's M_MMAP_THRESHOLD, M_TRIM_THRESHOLD).
-_MAPPED = 1 << 20
-_SETTINGS = {-3: _MAPPED, -1: _MAPPED}
 _state: dict[str, object] = {"owner": None, "libc": None, "caches": []}
 
 
@@ -29,10 +26,9 @@ def _enter(owner: str) -> None:
     if _state["libc"] is None:
         try:
             libc = ctypes.CDLL("libc.so.6")
-            for key, value in _SETTINGS.items():
-                libc.mallopt(key, value)
+            libc.malloc_trim(0)
             _state["libc"] = libc
-        except (OSError, AttributeError):  # another C library: nothing to set
+        except (OSError, AttributeError):  # another C library: it gives memory back in its own way
             pass
         pa.set_memory_pool(pa.system_memory_pool())
     if _state["owner"] != owner:

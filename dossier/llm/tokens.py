@@ -12,9 +12,9 @@ from dossier.llm import memory as _memory
 from dossier.llm.words import mix64, spans, utf8, word_hashes
 
 #: Pieces a worker remembers; beyond it the memory starts afresh.
-MEMORY = 1_200_000
-SLOTS = 1 << 21
-_SHIFT = np.uint64(64 - 21)
+MEMORY = 1_500_000
+SLOTS = 1 << 22
+_SHIFT = np.uint64(64 - 22)
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _open: dict[str, object] = {}
 _memories: dict[tuple, object] = {}
@@ -102,23 +102,24 @@ def _pieces_bare(data: np.ndarray, at: np.ndarray, inner: bool) -> tuple[np.ndar
 class _Memory:
     """Ids of pieces, held one after another, and an open hash table of the pieces.
 
-    A piece is known by a 64-bit hash of its bytes and by its length with its first and last eight bytes.
+    A piece is known by a 64-bit hash of its bytes and by 32 bits of its length, first and last eight bytes.
     """
 
     def __init__(self, tok, ids: bool):
         self.tok, self.ids = tok, ids
         self.parts, self.caseless, self.special = _kind(tok)
         self.between = _separator(tok) if ids and self.parts else None
+        self.kind = np.uint16 if max(tok.get_vocab().values(), default=0) < 1 << 16 else np.uint32
         self.clear()
 
     life = 0
 
     def clear(self):
         self.life += 1
-        self.key, self.again, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.key, self.again, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.int32)
         self.known = 0
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
-        self.store, self.used = np.zeros(4096, np.uint32), 0
+        self.store, self.used = np.zeros(4096, self.kind), 0
 
     def _probe(self, h: np.ndarray, again: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entries (-1 if unknown) and the slots where the search ended."""
@@ -158,7 +159,7 @@ class _Memory:
             self.length[at + i : at + i + len(lengths)] = lengths
             if self.ids:
                 if self.used + len(ids) > len(self.store):
-                    self.store = np.append(self.store, np.zeros(max(len(self.store) // 2, len(ids)), np.uint32))
+                    self.store = np.append(self.store, np.zeros(max(len(self.store) // 2, len(ids)), self.kind))
                 self.start[at + i : at + i + len(lengths)] = self.used + np.cumsum(lengths) - lengths
                 self.store[self.used : self.used + len(ids)] = ids
                 self.used += len(ids)
@@ -174,7 +175,7 @@ class _Memory:
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry of each piece of data."""
         h = word_hashes(data, starts, ends) | np.uint64(1)
-        again = _ends(data, starts, ends)
+        again = (_ends(data, starts, ends) >> np.uint64(32)).astype(np.uint32)
         out, _ = self._probe(h, again, np.arange(len(h)))
         new = np.flatnonzero(out < 0)
         if len(new):
@@ -248,7 +249,7 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     lengths = memory.length[entry]
     sums = np.append(0, np.cumsum(lengths))
     where = np.repeat(memory.start[entry] - sums[:-1], lengths) + np.arange(sums[-1])
-    return memory.store[where], sums[first]
+    return memory.store[where].astype(np.uint32), sums[first]
 
 
 class IdCounter:
