@@ -146,6 +146,18 @@ def to_double(c: Column) -> Column:
     return F.when(s.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), s.cast("double"))
 
 
+def percent(c: Column) -> Column:
+    """A fraction of 0 or more as a percentage with one decimal, rounded as C's printf does: by the double's exact value, ties to even."""
+    v = c * 100
+    part = v - F.floor(v)
+    # Ten times the part, as a double and what that double lacks: both are exact.
+    tenths = part * 8 + part * 2
+    rest = part * 2 - (tenths - part * 8)
+    half = tenths - F.floor(tenths) == 0.5
+    near = F.when(half & (rest > 0), F.ceil(tenths)).when(half & (rest < 0), F.floor(tenths)).otherwise(F.rint(tenths).cast("long"))
+    return F.concat((F.floor(v) + F.when(near == 10, 1).otherwise(0)).cast("string"), F.lit("."), F.pmod(near, F.lit(10)).cast("string"), F.lit("%"))
+
+
 def share(c: Column) -> Column:
     """A percentage as a fraction; missing stays null."""
     return to_double(c.cast("string")) / 100

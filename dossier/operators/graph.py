@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.functions.text import percent
 from dossier.plans.components import connected_components
 from dossier.session import discard, materialise, partitions
 
@@ -173,7 +174,7 @@ def infer_control(edge: DataFrame, threshold: float = CONTROL, depth: int = OWN_
     rows = found.select(F.get("path", F.lit(0)).alias("source_id"), F.element_at("path", -1).alias("target_id"), F.aggregate("shares", F.lit(1.0), lambda a, x: a * x).alias("p"), "hops", "path")
     sums = rows.groupBy("source_id", "target_id").agg(F.round(F.sum("p"), 9).alias("stake"), F.max("hops").alias("hops"), F.min_by("path", F.struct(-F.col("hops"), F.col("path"))).alias("chain"))
     out = sums.join(held, ["source_id", "target_id"], "left_anti").where(F.col("stake") >= threshold)
-    text = F.concat(F.array_join("chain", " -> "), F.lit(" = "), F.format_string("%.1f%%", F.least(F.col("stake"), F.lit(1.0)) * 100))
+    text = F.concat(F.array_join("chain", " -> "), F.lit(" = "), percent(F.least(F.col("stake"), F.lit(1.0))))
     return out.select("source_id", "target_id", F.lit("OWNS").alias("edge_type"), F.round(F.least("stake", F.lit(1.0)), 4).alias("effective_pct"), "hops", "chain", text.alias("evidence"), F.lit("inferred").alias("provenance"), F.lit(True).alias("needs_review")), skipped
 
 

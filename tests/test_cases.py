@@ -49,6 +49,15 @@ def test_ownership_sums_paths_and_takes_largest_duplicate(spark):
     assert [(r.target_id, r.effective_pct) for r in found] == [("D", 1.0)]
 
 
+def test_ownership_percentages_round_as_printf_does(spark):
+    table = own(spark, [(f"{x}{k}", f"{y}{k}", s) for k, p in enumerate((38.25, 44.55, 26.25, 38.35, 99.95)) for x, y, s in (("P", "B", 100.0), ("B", "C", p))])
+    found = {r.source_id: r.evidence for r in G.infer_control(table)[0].collect()}
+    assert found == {f"P{k}": f"P{k} -> B{k} -> C{k} = {p}%" for k, p in enumerate((38.2, 44.5, 26.2, 38.4, "100.0"))}
+    shares = [0.0, 1e-9, 0.0005, 0.0015, 0.00049999, 0.999, 0.9995, 0.99949999, 1.0, *[k / 8000 for k in range(8001)], *[round(k / 7001, 9) for k in range(7002)]]
+    got = spark.createDataFrame([(x,) for x in shares], "x double").select("x", X.percent(F.col("x")).alias("p")).collect()
+    assert [r for r in got if r.p != f"{r.x * 100:.1f}%"] == []
+
+
 def test_money(spark):
     chain = [("a", "b", 100_000.0, "USD"), ("b", "c", 90_000.0, "USD"), ("c", "d", 80_000.0, "USD"), ("a", "e", 5_000.0, "EUR")]
     start = spark.createDataFrame([("a",)], "id string")
