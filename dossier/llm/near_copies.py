@@ -23,8 +23,8 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Its size changes the work, never the result.
 LEAST_BITS, MOST_BITS = 16, 27
 PAGE, FLUSH = 1 << 16, 1 << 20
-#: Rounds in which sets are compared in random parts of their buckets, of about so many sets, in one of so many large buckets
-#: each; then all pairs of a bucket that are still apart are.
+#: Rounds before the last, in which all pairs still apart are compared: in the first each set of a bucket of more than PART
+#: with the bucket's leader, then in random parts of about PART sets, in one of SOME large buckets each.
 ROUNDS, PART, SOME = 2, 64, 4
 _BASE = 0xA24BAED4963EE407
 _LOWER = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), np.uint8)
@@ -219,11 +219,14 @@ class Corpus:
     def by_prefixes(self, edges: DataFrame) -> DataFrame:
         """edges, and more, so that all sets are connected which similar pairs connect.
 
-        Sets with a rare hash in common form a bucket. In ROUNDS rounds a bucket's sets are dealt into
-        parts of about PART in a random order that all buckets share, and compared within their part:
-        that settles small buckets, and connects most of a group of near copies at a few rows a set.
-        Then those of a bucket are compared in pairs that no edges connect yet. A pair counts in a
-        bucket only if its hash may be the first that both have.
+        Sets with a rare hash in common form a bucket. The first round settles the small ones, and
+        compares each set of a large one with its leader: the set with the fewest hashes before those of
+        large buckets, for its size. Near copies of one text have that text as leader, if it is there, or
+        one near it, so that a row a set and bucket connects a large group. In the next rounds sets are
+        dealt into parts of about PART in a random order that all buckets share, and compared within
+        their part. Then those of a bucket are compared in pairs that no edges connect yet. A pair counts
+        in a bucket only if its hash may be the first that both have. Leaders and parts set the order of
+        work, never the result.
         """
         keyed = self.rows.groupBy("sid").agg(F.first("prefix").alias("prefix")).select(F.posexplode("prefix").alias("at", "h"), "sid")
         keyed = materialise(keyed, "near-keyed")
@@ -239,17 +242,26 @@ class Corpus:
             discard(shared)
             shared = now.select("h", "sid", "at", "n")
             shared._dossier_path = now._dossier_path
-            dealt = now.withColumn("part", F.lit(0))
-            if k < ROUNDS:
-                place = F.shiftrightunsigned(F.xxhash64("sid", F.lit(k)), 11) / float(1 << 53)
-                dealt = now.withColumn("part", F.floor(place * F.ceil(F.col("c") / PART))).where((F.col("c") <= PART) | (F.pmod(F.xxhash64("h", F.lit(k)), F.lit(SOME)) == 0))
-            other = dealt.select("h", "part", F.col("sid").alias("t"), F.col("at").alias("at2"), F.col("n").alias("m"), F.col("comp").alias("other"))
             # So many hashes must be in common; from the first of these on, both sets must have as many left.
             p, q = self.share.numerator, self.share.denominator
             least = F.ceil((F.col("n") + F.col("m")) * p / (p + q) - 1e-9)
             sized = (F.col("at") + least <= F.col("n")) & (F.col("at2") + least <= F.col("m"))
-            pairs = dealt.withColumnRenamed("sid", "s").join(other, ["h", "part"]).where((F.col("comp") < F.col("other")) & sized)
-            pairs = pairs.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+            pair = [F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")]
+            dealt = now.withColumn("part", F.lit(0))
+            if k < ROUNDS:
+                place = F.shiftrightunsigned(F.xxhash64("sid", F.lit(k)), 11) / float(1 << 53)
+                large = F.pmod(F.xxhash64("h", F.lit(k)), F.lit(SOME)) == 0 if k else F.lit(False)
+                dealt = now.withColumn("part", F.floor(place * F.ceil(F.col("c") / PART))).where((F.col("c") <= PART) | large)
+            other = dealt.select("h", "part", F.col("sid").alias("t"), F.col("at").alias("at2"), F.col("n").alias("m"), F.col("comp").alias("other"))
+            pairs = dealt.withColumnRenamed("sid", "s").join(other, ["h", "part"]).where((F.col("comp") < F.col("other")) & sized).select(*pair)
+            if k == 0 and ROUNDS:
+                wide = now.where(F.col("c") > PART)
+                own = wide.groupBy("sid").agg((F.max("at") + 1 - F.count(F.lit(1))).alias("own"))
+                known = wide.join(own, "sid").withColumn("far", F.col("own") * (p + q) - F.col("n") * (q - p))
+                lead = known.groupBy("h").agg(F.min(F.struct("far", "sid", "at", "n", "comp")).alias("lead"))
+                lead = lead.select("h", F.col("lead.sid").alias("t"), F.col("lead.at").alias("at2"), F.col("lead.n").alias("m"), F.col("lead.comp").alias("other"))
+                pairs = pairs.union(wide.withColumnRenamed("sid", "s").join(lead, "h").where((F.col("comp") != F.col("other")) & sized).select(*pair))
+            pairs = pairs.distinct()
             pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "near-pairs")
             edges = edges.union(self.alike(pairs))
             tested = pairs if tested is None else tested.union(pairs)

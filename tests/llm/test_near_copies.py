@@ -67,6 +67,31 @@ def test_near_copies(spark, rows, rounds, monkeypatch):
     assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
 
 
+def test_a_large_group_costs_few_pairs_a_text(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(90_000)}"
+    base = [word() for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 700):  # one to six words changed: up to three are near copies of the base, most of the others of none
+        w = list(base)
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(150)] = word()
+        rows.append((k, " ".join(w)))
+    pairs, write = [], near_copies.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "near-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, width=5, similarity=0.8).collect()}
+    assert got == groups(rows)
+    assert sum(pairs) < 6 * len(rows), pairs
+
+
 def test_a_full_bitmap_loses_nothing(spark):
     df, keys = spark.range(0, 3000), spark.range(0, 3000, 7)
     for most in (1 << 15, 1 << 26):
