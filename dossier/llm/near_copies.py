@@ -192,6 +192,8 @@ class Corpus:
         sized = F.least("na", "nb") * self.share.denominator >= F.greatest("na", "nb") * self.share.numerator
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(sized).select("a", "b", "na", "ra", "nb", "rb")
         tried = materialise(both.mapInArrow(lean("near", _possible(self.share)), "a long, b long"), "near-tried")
+        if tried.isEmpty():
+            return tried
         wanted = tried.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         wanted = materialise(self.kinds.join(wanted, "sid", "left_semi").select("one.*", F.col("sid").alias("s")), "near-wanted")
         keyed = self.texts.withColumn("k", F.xxhash64("_text")).withColumnRenamed("_id", "_i")
@@ -217,7 +219,7 @@ class Corpus:
         return out
 
     def by_prefixes(self, edges: DataFrame) -> DataFrame:
-        """edges, and more, so that all sets are connected which similar pairs connect.
+        """Components (node, component) of the sets that edges and all other similar pairs connect.
 
         Sets with a rare hash in common form a bucket. The first round settles the small ones, and
         compares each set of a large one with its leader: the set with the fewest hashes before those of
@@ -226,21 +228,22 @@ class Corpus:
         dealt into parts of about PART in a random order that all buckets share, and compared within
         their part. Then those of a bucket are compared in pairs that no edges connect yet. A pair counts
         in a bucket only if its hash may be the first that both have. Leaders and parts set the order of
-        work, never the result.
+        work, never the result. A small bucket is done with the first round; where no large one is left,
+        no round follows.
         """
         keyed = self.rows.groupBy("sid").agg(F.first("prefix").alias("prefix")).select(F.posexplode("prefix").alias("at", "h"), "sid")
         keyed = materialise(keyed, "near-keyed")
         keys = materialise(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "near-keys")
         shared = materialise(maybe_in(keyed, F.col("h"), keys).join(keys, "h").join(self.kinds.select("sid", "n"), "sid").select("h", "sid", "at", "n"), "near-buckets")
         discard(keyed, keys)
-        tested = None
+        comp, tested = connected_components(edges, "a", "b"), None
         for k in range(ROUNDS + 1):
-            comp = connected_components(edges, "a", "b").withColumnRenamed("component", "root")
-            named = shared.join(comp, F.col("sid") == F.col("node"), "left").select("h", "sid", "at", "n", F.coalesce("root", "sid").alias("comp"))
+            named = shared.join(comp, F.col("sid") == F.col("node"), "left").select("h", "sid", "at", "n", F.coalesce("component", "sid").alias("comp"))
             apart = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("h", "c")
             now = materialise(named.join(apart, "h"), "near-buckets")
             discard(shared)
-            shared = now.select("h", "sid", "at", "n")
+            # The first round compares all pairs of a bucket of up to PART sets that are in different components, and these only grow.
+            shared = now.where(F.col("c") > PART).select("h", "sid", "at", "n")
             shared._dossier_path = now._dossier_path
             # So many hashes must be in common; from the first of these on, both sets must have as many left.
             p, q = self.share.numerator, self.share.denominator
@@ -263,10 +266,14 @@ class Corpus:
                 pairs = pairs.union(wide.withColumnRenamed("sid", "s").join(lead, "h").where((F.col("comp") != F.col("other")) & sized).select(*pair))
             pairs = pairs.distinct()
             pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "near-pairs")
-            edges = edges.union(self.alike(pairs))
+            found = self.alike(pairs)
+            if not found.isEmpty():  # a star for each component, and what connects these
+                comp = connected_components(comp.select("node", "component").union(found).toDF("a", "b"), "a", "b")
             tested = pairs if tested is None else tested.union(pairs)
+            if k == ROUNDS or shared.isEmpty():
+                break
         discard(shared)
-        return edges
+        return comp
 
 
 def near_copies(docs: DataFrame, links: Callable[[DataFrame], DataFrame], width: int = WIDTH, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,7 +297,7 @@ def near_copies(docs: DataFrame, links: Callable[[DataFrame], DataFrame], width:
     rows = materialise(keyed.mapInArrow(lean("near", _prefixes(width, share, bits, shared)), f"_id {kind}, k long, sid long, n int, fp long, ranges binary, prefix array<long>"), "near-rows")
     shared.destroy()
     corpus = Corpus(texts, rows, width, share)
-    comp = connected_components(corpus.by_prefixes(corpus.by_simhash(links)), "a", "b")
+    comp = corpus.by_prefixes(corpus.by_simhash(links))
     rooted = corpus.kinds.select("sid", "low").join(comp, F.col("sid") == F.col("node"), "left").select("sid", "low", F.coalesce("component", "sid").alias("root"))
     rooted = materialise(rooted, "near-roots")
     named = rooted.select("sid", "root").join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("sid", "component_id")

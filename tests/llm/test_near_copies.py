@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.llm import bitmap, near_copies, simhash
+from dossier.plans import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -92,6 +93,47 @@ def test_a_large_group_costs_few_pairs_a_text(spark, monkeypatch):
     assert sum(pairs) < 6 * len(rows), pairs
 
 
+def tables_of(monkeypatch):
+    """The labels of the tables that near_copies and components write from now on."""
+    labels = []
+
+    def noted(df, label, write=components.materialise):
+        labels.append(label)
+        return write(df, label)
+
+    for module in (near_copies, components):
+        monkeypatch.setattr(module, "materialise", noted)
+    return labels
+
+
+def test_small_buckets_take_one_round(spark, monkeypatch):
+    # Each query leaves threads and code in the driver, so a table without large buckets must not take the rounds of one that has some.
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        base = [f"w{rng.randrange(90_000)}" for _ in range(120)]
+        for c in range(1 + k % 4):
+            w = list(base)
+            w[rng.randrange(120)] = f"x{c}"
+            rows.append((10 * k + c, " ".join(w)))
+    labels = tables_of(monkeypatch)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5, similarity=0.8).collect()}
+    assert got == groups(rows) and len(set(got.values())) == 60
+    assert labels.count("near-pairs") == 1 and len(labels) <= 25, labels
+
+
+def test_stars_are_components_without_a_round(spark, monkeypatch):
+    labels = tables_of(monkeypatch)
+    edges = spark.createDataFrame([(7, 1), (1, 3), (9, 1), (4, 8), (5, 5), (None, 2), (1, 7)], "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(edges, "a", "b").collect()}
+    assert got == {1: 1, 3: 1, 7: 1, 9: 1, 4: 4, 8: 4} and labels == ["cc"]
+    assert components.connected_components(edges.limit(0), "a", "b").count() == 0
+    # A path, and two hubs with one node in common: no stars yet.
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(100, 103), (101, 103), (101, 102)], "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(edges, "a", "b").collect()}
+    assert got == {**dict.fromkeys(range(21), 0), **dict.fromkeys(range(100, 104), 100)}
+
+
 def test_a_full_bitmap_loses_nothing(spark):
     df, keys = spark.range(0, 3000), spark.range(0, 3000, 7)
     for most in (1 << 15, 1 << 26):
