@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import text as X
 from dossier.operators import catalogue as C
+from dossier.operators import cosines as N
 from dossier.operators import evidence as V
 from dossier.operators import extract as E
 from dossier.operators import graph as G
@@ -182,8 +183,8 @@ query("f_norm_field", "select p_partkey, lower(p_name || ' x') k from part")(lam
 query("f_norm_reg", "select p_partkey, case when p_partkey % 3 = 0 then null else lower(p_brand) end k from part")(lambda g: g.read("part").select("p_partkey", X.norm_reg(F.when(F.col("p_partkey") % 3 == 0, "---").otherwise(F.col("p_brand"))).alias("k")))
 query("f_verdict", """with p as (select a.vec_id a, b.vec_id b, a.label ta, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) c from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id)
     select a, b, case when ta = 3 then 'exclude' when round(c, 6) >= 0.45e0 then 'exclude' when round(c, 6) >= 0.2e0 then 'review' else 'exclude' end verdict from p""")(
-    lambda g: (lambda e: e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")).join(e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y")), "label").where("a < b").select(
-        "a", "b", X.semantic_verdict(F.when(F.col("label") == 3, "claim").otherwise("person"), F.lit("person"), F.round(X.cosine(F.col("x"), F.col("y")), 6), 0.2, 0.45).alias("verdict")))(g.read("embeddings"))
+    lambda g: N.cosines(g.read("embeddings"), "label", "vec_id", "embedding", with_key=True).select(
+        "a", "b", X.semantic_verdict(F.when(F.col("key") == 3, "claim").otherwise("person"), F.lit("person"), F.col("cosine"), 0.2, 0.45).alias("verdict"))
 )
 query("f_verdict_bool", "select entity_type, false merges from entity group by 1", "entity")(lambda g: g("entity").select("entity_type", (~X.semantic_verdict(F.col("entity_type"), F.lit("person"), F.lit(0.95)).isin("exclude", "review")).alias("merges")).distinct())
 query("f_stance", "select distinct entity_type, entity_type = 'claim' stance from entity", "entity")(lambda g: g("entity").select("entity_type", X.stance_bearing(F.col("entity_type")).alias("stance")).distinct())
@@ -202,7 +203,7 @@ query("f_share", f"select v.id::bigint id, case v.id when 1 then 0.55e0 when 2 t
 query("f_iso_ms", "select o_orderkey, epoch_ms(date_trunc('day', o_orderdate)) ms from orders")(lambda g: g.read("orders").select("o_orderkey", X.iso_millis(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("ms")))
 query("f_row_text", "select p_partkey, 'name=' || p_name || ', size=' || p_size t from part")(lambda g: g.read("part").select("p_partkey", X.row_text(name=F.col("p_name"), blank=F.lit("  "), size=F.col("p_size")).alias("t")))
 query("f_cosine", "select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) c from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id")(
-    lambda g: (lambda e: e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")).join(e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y")), "label").where("a < b").select("a", "b", F.round(X.cosine(F.col("x"), F.col("y")), 6).alias("c")))(g.read("embeddings"))
+    lambda g: N.cosines(g.read("embeddings"), "label", "vec_id", "embedding").withColumnRenamed("cosine", "c")
 )
 query("f_json", "select event_id, (props->>'k')::bigint k from events")(lambda g: g.read("events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "long").alias("k")))
 query("f_slug", "select p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') s from part")(lambda g: g.read("part").select("p_partkey", X.slug(F.concat("p_name", F.lit(" / "), "p_brand")).alias("s")))
