@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions import text as X
+from dossier.operators.cosines import cosines
 from dossier.plans.components import connected_components
 from dossier.session import discard, materialise
 
@@ -58,6 +59,7 @@ def adjudicate(pairs: DataFrame, threshold: float, decide: Callable[[DataFrame],
     below the band is neither.
     """
     score = next(c for c in pairs.columns if c not in ("a", "b"))
+    pairs = materialise(pairs.where(F.col(score) >= threshold - band), "adjudicate")
     sure = pairs.where(F.col(score) >= threshold)
     doubt = pairs.where((F.col(score) < threshold) & (F.col(score) >= threshold - band))
     if decide is None:
@@ -139,8 +141,7 @@ def fuzzy_pairs(entity: DataFrame, threshold: float = FUZZY) -> DataFrame:
 def cosine_pairs(entity: DataFrame, threshold: float = COSINE, exclude: tuple[str, ...] = X.STANCE_TYPES) -> DataFrame:
     """(a, b, cosine) of pairs in a type at or above the threshold; types that carry a stance never match."""
     base = entity.where(F.col("embedding").isNotNull() & ~X.stance_bearing(F.col("entity_type"), exclude))
-    a, b = base.select("entity_type", F.col("id").alias("a"), F.col("embedding").alias("ea")), base.select("entity_type", F.col("id").alias("b"), F.col("embedding").alias("eb"))
-    return a.join(b, "entity_type").where("a < b").select("a", "b", F.round(X.cosine(F.col("ea"), F.col("eb")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
+    return cosines(base, "entity_type", "id", "embedding", threshold)
 
 
 def greedy(entity: DataFrame, pairs: DataFrame, order: str = "ord") -> DataFrame:
@@ -153,8 +154,9 @@ def greedy(entity: DataFrame, pairs: DataFrame, order: str = "ord") -> DataFrame
     """
     score = next(c for c in pairs.columns if c not in ("a", "b"))
     at = entity.select("id", F.col(order).alias("o"))
-    p = pairs.select("a", "b", F.col(score).alias("s")).union(pairs.select("b", "a", F.col(score)))
-    p = p.join(at.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(at.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b").where("ob < oa")
+    p = pairs.select("a", "b", F.col(score).alias("s")).join(at.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(at.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b").where("ob <> oa")
+    turn = lambda x, y: F.when(F.col("ob") < F.col("oa"), F.col(x)).otherwise(F.col(y))
+    p = p.select(turn("a", "b").alias("a"), turn("b", "a").alias("b"), "s", turn("oa", "ob").alias("oa"), turn("ob", "oa").alias("ob"))
     p = materialise(p, "greedy-pairs")
     later = p.select(F.col("a").alias("id")).distinct()
     state = at.select("id").join(later.withColumn("later", F.lit(True)), "id", "left").select("id", F.when(F.col("later"), F.lit(None)).otherwise(True).cast("boolean").alias("stands"))
