@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from dossier.functions import text as X
 from dossier.operators.cosines import cosines
 from dossier.plans.components import connected_components
-from dossier.session import discard, materialise
+from dossier.session import discard, materialise, partitions
 
 FUZZY = 0.92
 COSINE = 0.92
@@ -33,8 +34,8 @@ def has_fields(frame: DataFrame, fields: tuple[str, ...] = ("reg_id", "address",
 
 def name_pairs(entity: DataFrame) -> DataFrame:
     """(a, b) of a type whose labels have the same comparison key; blank keys pair with nothing."""
-    keyed = entity.select("id", X.cluster_key(F.col("entity_type"), F.col("label")).alias("k")).where("k is not null")
-    return keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), "k").where("a < b").select("a", "b")
+    keyed = entity.select("id", X.cluster_key(F.col("entity_type"), F.col("label")).alias("k"))
+    return block_pairs(keyed, ("k",)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def cluster_tier(clusters: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -173,28 +174,88 @@ def greedy(entity: DataFrame, pairs: DataFrame, order: str = "ord") -> DataFrame
     return state.join(best, "id", "left").select("id", F.coalesce("best.b", "id").alias("canonical"))
 
 
-def multifield(entity: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id map, pairs decided, candidates): register numbers, addresses and names decide; only merges unite.
-
-    Candidates share a type and a register number, or a type, name key and address; blanks are null
-    before the join, so they never meet. All pairs of a block are decided, since a person reviews pairs;
-    blocks are as large as a register number, or a name at an address, has rows.
-    """
+def field_keys(entity: DataFrame) -> DataFrame:
+    """(id, type, reg_id, address, jurisdiction, name) in normal form, each once; blanks are null, so they never meet."""
     blank = lambda c: F.nullif(c, F.lit(""))
-    base = entity.select(
+    return entity.select(
         "id", F.col("entity_type").alias("type"), X.norm_reg(F.col("reg_id")).alias("reg_id"), blank(X.norm_address(F.col("address"))).alias("address"),
         blank(X.norm_field(F.col("jurisdiction"))).alias("jurisdiction"), X.norm_name(F.col("label")).alias("name"),
-    )
-    side = lambda s: base.select(*[F.col(c).alias(f"{c}_{s}") for c in base.columns])
-    a, b = side("a"), side("b")
-    by_reg = a.join(b, (F.col("type_a") == F.col("type_b")) & (F.col("reg_id_a") == F.col("reg_id_b")))
-    by_addr = a.join(b, (F.col("type_a") == F.col("type_b")) & (F.col("name_a") == F.col("name_b")) & (F.col("address_a") == F.col("address_b")))
-    candidates = by_reg.union(by_addr).where("id_a < id_b").distinct()
-    part = lambda s: {c: F.col(f"{c}_{s}") for c in base.columns}
+    ).distinct()
+
+
+BY_REG, BY_PLACE = ("type", "reg_id"), ("type", "name", "address")
+#: Rows of a tile of a block, about; a pair of tiles is a task's share of the block's pairs.
+BLOCK_TILE = 4096
+
+
+def block_pairs(base: DataFrame, block: tuple[str, ...], carried: tuple[str, ...] = ()) -> DataFrame:
+    """(id_a, id_b, carried fields of both) of all pairs with id_a < id_b that share the block's fields, none of them null.
+
+    A block is dealt into tiles by a hash of its ids, and pairs of tiles are joined, so a block of any
+    size is many tasks' work; nothing else is shuffled, and nothing after the join.
+    """
+    rows = base.select("id", *block, *[c for c in carried if c not in block]).where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*block, "id")]))
+    rows = rows.select("id", F.xxhash64(*block).alias("_h"), *[c for c in rows.columns if c != "id"])
+    sizes = rows.groupBy("_h").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TILE).alias("_n")).where("_n > 1")
+    dealt = rows.join(sizes, "_h", "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_t", F.pmod(F.xxhash64("id", F.lit(1)), F.col("_n")))
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
+    # Of a cell (i, j) the left side is tile i, the right one tile j; both orders of tiles are cells.
+    left = dealt.select(F.explode(F.transform(every, lambda x: cell(F.col("_t"), x))).alias("_c"), "_h", *[F.col(c).alias(f"{c}_a") for c in rows.columns if c != "_h"])
+    right = dealt.select(F.explode(F.transform(every, lambda x: cell(x, F.col("_t")))).alias("_c"), "_h", *[F.col(c).alias(f"{c}_b") for c in rows.columns if c != "_h"])
+    parts = 4 * partitions(base.sparkSession)
+    keyed = lambda d: d.select("_h", F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"), *[c for c in d.columns if c not in ("_h", "_c")]).repartition(parts, "_h", "_i", "_j")
+    same = reduce(lambda x, y: x & y, [F.col(f"{c}_a") == F.col(f"{c}_b") for c in block])
+    pairs = keyed(left).join(keyed(right).hint("shuffle_hash"), ["_h", "_i", "_j"]).where(same & (F.col("id_a") < F.col("id_b")))
+    return pairs.select("id_a", "id_b", *[F.col(f"{c}_{s}") for s in "ab" for c in dict.fromkeys((*block, *carried))])
+
+
+_FIELDS = ("type", "reg_id", "address", "jurisdiction", "name")
+
+
+def candidate_pairs(base: DataFrame) -> DataFrame:
+    """All pairs that share a register number, or a name and an address: those of the second kind without those of the first."""
+    pairs = block_pairs(base, BY_PLACE, _FIELDS).where(~F.coalesce(F.col("reg_id_a") == F.col("reg_id_b"), F.lit(False)))
+    first = block_pairs(base, BY_REG, _FIELDS)
+    return first.union(pairs.select(*first.columns))
+
+
+def decided_pairs(base: DataFrame) -> DataFrame:
+    """(a, b, decision, reason) of all candidates."""
+    part = lambda s: {c: F.col(f"{c}_{s}") for c in _FIELDS}
     decision, reason = X.decide(part("a"), part("b"))
-    decided = materialise(candidates.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), decision.alias("decision"), reason.alias("reason")), "decided")
-    comp = connected_components(decided.where("decision = 'merge'"), "a", "b")
-    return entity.select("id").join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("canonical")), decided, candidates
+    return candidate_pairs(base).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), decision.alias("decision"), reason.alias("reason"))
+
+
+def merged(entity: DataFrame, base: DataFrame) -> DataFrame:
+    """(id, canonical) that the pairs decided as merges unite, without forming the pairs.
+
+    Of one register number and address, rows of one jurisdiction merge, and a row without one merges
+    with all; of rows without a register number, those of one name and address merge. So a link from
+    each row to one of its class, and one from each class to a row without jurisdiction, unite the same.
+    """
+    whole = base.where("id is not null and type is not null and address is not null")
+    reg = whole.where("reg_id is not null")
+    at = ["type", "reg_id", "address"]
+    free = reg.where("jurisdiction is null").groupBy(*at).agg(F.min("id").alias("free"))
+    own = reg.where("jurisdiction is not null").groupBy(*at, "jurisdiction").agg(F.min("id").alias("own"))
+    known = reg.join(free, at, "left").join(own, [*at, "jurisdiction"], "left").select("id", F.coalesce("free", "own").alias("to"))
+    place = ["type", "name", "address"]
+    bare = whole.where("reg_id is null and name is not null")
+    alike = bare.join(bare.groupBy(*place).agg(F.min("id").alias("to")), place).select("id", "to")
+    comp = connected_components(known.union(alike), "id", "to")
+    return entity.select("id").join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("canonical"))
+
+
+def multifield(entity: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id map, pairs decided, candidates): register numbers, addresses and names decide; only merges unite.
+
+    Candidates share a type and a register number, or a type, name key and address. All pairs of a block
+    are decided, since a person reviews pairs; blocks are as large as a register number, or a name at an
+    address, has rows. The id map needs no pairs; decided and candidates are formed when they are read.
+    """
+    base = field_keys(entity)
+    return merged(entity, base), decided_pairs(base), candidate_pairs(base)
 
 
 def alias(entity: DataFrame, edge: DataFrame) -> DataFrame:

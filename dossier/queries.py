@@ -390,8 +390,8 @@ _CAND = f"with f as ({_REG}), c as (select a.id a, b.id b, a.reg ra, b.reg rb, a
 _DEC = _CAND + """, d as (select a, b, case when ra = rb and aa = ab and not coalesce(ja <> jb, false) then 'merge' when ra = rb then 'review' when ra is not null or rb is not null then 'apart' when na = nb and aa = ab then 'merge' else 'apart' end decision,
     case when ra = rb and (not coalesce(aa = ab, false) or coalesce(ja <> jb, false)) then case when coalesce(ja <> jb, false) then 'jurisdiction mismatch' when aa is null or ab is null then 'address missing' else 'address mismatch' end end reason from c)"""
 query("f_decide", _DEC + " select a, b, decision, reason from d")(lambda g: Z.multifield(_firms(g))[1])
-query("j_block_reg", _CAND + " select a, b from c where ra = rb")(lambda g: Z.multifield(_firms(g))[2].where("reg_id_a = reg_id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-query("j_block_nameaddr", _CAND + " select a, b from c where na = nb and aa = ab")(lambda g: Z.multifield(_firms(g))[2].where("name_a = name_b and address_a = address_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+query("j_block_reg", _CAND + " select a, b from c where ra = rb")(lambda g: Z.block_pairs(Z.field_keys(_firms(g)), Z.BY_REG).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+query("j_block_nameaddr", _CAND + " select a, b from c where na = nb and aa = ab")(lambda g: Z.block_pairs(Z.field_keys(_firms(g)), Z.BY_PLACE).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
 query("j_block_norm", "select 'c' || a.c_custkey a, 'c' || b.c_custkey b from customer a join customer b on 'c' || a.c_custkey < 'c' || b.c_custkey and a.c_custkey % 41 = b.c_custkey % 41")(lambda g: Z.name_pairs(_firms(g)))
 query("er_multifield", "with recursive" + _DEC[4:] + ", l as (select a x, b y from d where decision = 'merge' union all select b, a from d where decision = 'merge'), r as (select id, id c from f union select r.id, l.y from r join l on l.x = r.c) select id, min(c) canonical from r group by 1")(lambda g: Z.multifield(_firms(g))[0])
 _ALIAS = lambda g: (lambda k: g.read("supplier").where(k % 5 < 2).select(F.concat(F.lit("s"), k.cast("string")).alias("source_id"), F.concat(F.lit("s"), (k + 1).cast("string")).alias("target_id"), F.lit("ALIAS_OF").alias("edge_type")).union(
