@@ -9,6 +9,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,8 +180,8 @@ def infer_control(edge: DataFrame, threshold: float = CONTROL, depth: int = OWN_
     return out.select("source_id", "target_id", F.lit("OWNS").alias("edge_type"), F.round(F.least("stake", F.lit(1.0)), 4).alias("effective_pct"), "hops", "chain", text.alias("evidence"), F.lit("inferred").alias("provenance"), F.lit(True).alias("needs_review")), skipped
 
 
-#: Edges of a component that one Python task may take on.
-COMPONENT_EDGES = 200_000
+#: Edges of a component that one Python task may take on as arrays, and by a search node by node.
+COMPONENT_EDGES, LOT_EDGES = 2_000_000, 200_000
 
 
 def _adjacency(pdf: pd.DataFrame) -> tuple[list[str], list[list[int]]]:
@@ -230,50 +232,72 @@ def _turn(node: str, k: int) -> bool:
     return zlib.crc32(f"{node}:{k}".encode()) % 2 == 0
 
 
-def louvain_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(id, community) of one component by Louvain's moves in rounds; louvain_wide() is the same by joins.
+def _summed(key: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sum of each."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[at], np.add.reduceat(w[order], at)
+
+
+def louvain_of(table: pa.Table) -> pa.Table:
+    """(id, community) of whole components (u, v, component) by Louvain's moves in rounds; louvain_wide() is the same by joins.
 
     In a round each node whose turn it is moves to the neighbouring community that raises modularity
     most, its own or else the first by name if several do; all at once, in whole numbers. When no node
-    wants to move, communities become nodes, named by their first member, until none are joined.
+    wants to move, communities become nodes, named by their first member, until none are joined. Nodes
+    are numbers in the order of their names; components that have settled don't change any more.
     """
-    nodes, near = _adjacency(pdf)
-    links = {x: {nodes[j]: 1 for j in near[i]} for i, x in enumerate(nodes)}
-    degree = {x: len(links[x]) for x in nodes}
-    total, member = sum(degree.values()), {x: x for x in nodes}
+    ends = pa.chunked_array([*table.column("u").chunks, *table.column("v").chunks], pa.string()).combine_chunks().dictionary_encode()
+    ends = ends.combine_chunks() if isinstance(ends, pa.ChunkedArray) else ends
+    by_name = np.asarray(pc.sort_indices(ends.dictionary))
+    names, place = ends.dictionary.take(pa.array(by_name)), np.empty(len(by_name), np.int64)
+    place[by_name] = np.arange(len(by_name))
+    ends = place[np.asarray(ends.indices)]
+    u, v = ends[: len(ends) // 2], ends[len(ends) // 2 :]
+    part = table.column("component").combine_chunks().dictionary_encode()
+    part = np.asarray((part.combine_chunks() if isinstance(part, pa.ChunkedArray) else part).indices)
+    src, dst = np.append(u, v), np.append(v, u)
+    w, node = np.ones(len(src), np.int64), np.arange(len(names))
+    of = np.zeros(len(names), np.int64)
+    of[u] = of[v] = part
+    degree = np.bincount(src, minlength=len(names))
+    total, member = np.bincount(of, degree).astype(np.int64)[of], node
     while True:
-        comm = {x: x for x in links}
+        n = len(node)
+        comm = np.arange(n)
         for k in range(LOUVAIN_ROUNDS):
-            mass: dict[str, int] = defaultdict(int)
-            for x, c in comm.items():
-                mass[c] += degree[x]
-            wish = {}
-            for x, c in comm.items():
-                to = {c: 0}
-                for y, w in links[x].items():
-                    to[comm[y]] = to.get(comm[y], 0) + w
-                best = min(to, key=lambda d: (-(total * to[d] - degree[x] * (mass[d] - (degree[x] if d == c else 0))), d != c, d))  # noqa: B023
-                if best != c:
-                    wish[x] = best
-            if not wish:
+            mass = np.bincount(comm, degree, n).astype(np.int64)
+            key, to = _summed(np.append(src * n + comm[dst], np.arange(n) * n + comm), np.append(w, np.zeros(n, np.int64)))
+            x, c = key // n, key % n
+            own = c == comm[x]
+            gain = total[x] * to - degree[x] * (mass[c] - np.where(own, degree[x], 0))
+            most = np.maximum.reduceat(gain, np.flatnonzero(np.append(True, x[1:] != x[:-1])))
+            best = np.flatnonzero(gain == most[x])
+            # Of a node's best ones the first by name; but a node whose own is one of them stays.
+            best = best[np.append(True, x[best][1:] != x[best][:-1])]
+            wish = np.ones(n, bool)
+            wish[x[own & (gain == most[x])]] = False
+            best = best[wish[x[best]]]
+            if not len(best):
                 break
-            comm |= {x: c for x, c in wish.items() if _turn(x, k)}
-        name: dict[str, str] = {}
-        for x, c in comm.items():
-            name[c] = min(x, name.get(c, x))
-        if len(name) == len(links):
+            turn = np.fromiter((_turn(y, k) for y in names.take(pa.array(node[x[best]])).to_pylist()), bool, len(best))
+            comm[x[best[turn]]] = c[best[turn]]
+        first = np.full(n, n)
+        np.minimum.at(first, comm, np.arange(n))
+        to_name = first[comm]
+        heads = np.unique(to_name)
+        if len(heads) == n:
             break
-        to_name = {x: name[c] for x, c in comm.items()}
-        member = {x: to_name[m] for x, m in member.items()}
-        new_links, new_degree = {n: {} for n in name.values()}, dict.fromkeys(name.values(), 0)
-        for x, row in links.items():
-            a = to_name[x]
-            new_degree[a] += degree[x]
-            for y, w in row.items():
-                if (b := to_name[y]) != a:
-                    new_links[a][b] = new_links[a].get(b, 0) + w
-        links, degree = new_links, new_degree
-    return pd.DataFrame({"id": list(member), "community": list(member.values())}, columns=["id", "community"])
+        number = np.zeros(n, np.int64)
+        number[heads] = np.arange(len(heads))
+        fresh = number[to_name]
+        member = fresh[member]
+        degree, total, node = np.bincount(fresh, degree).astype(np.int64), total[heads], node[heads]
+        a, b = fresh[src], fresh[dst]
+        key, w = _summed((a * len(heads) + b)[a != b], w[a != b]) if (a != b).any() else (a[:0], w[:0])
+        src, dst = key // len(heads), key % len(heads)
+    return pa.table({"id": names, "community": names.take(pa.array(node[member]))})
 
 
 def louvain_wide(tagged: DataFrame) -> DataFrame:
@@ -317,11 +341,11 @@ def _by_component(pairs: DataFrame):
     return pairs.join(comp, F.col("u") == F.col("node")).select("u", "v", "component")
 
 
-def _parted(pairs: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """(u, v, component) of components that one task may take on, and of larger ones."""
+def _parted(pairs: DataFrame, label: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v, component) of components of up to so many edges, and of larger ones."""
     tagged = materialise(_by_component(pairs), label)
     sizes = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    return tagged.join(sizes.where(F.col("n") <= COMPONENT_EDGES), "component", "left_semi"), tagged.join(sizes.where(F.col("n") > COMPONENT_EDGES), "component", "left_semi")
+    return tagged.join(sizes.where(F.col("n") <= most), "component", "left_semi"), tagged.join(sizes.where(F.col("n") > most), "component", "left_semi")
 
 
 def forests_of(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -356,10 +380,11 @@ def bridges(edge: DataFrame) -> DataFrame:
     none; again until the lots lose no more than a tenth. What is left, at most two edges for each
     node, is one task's.
     """
-    small, large = _parted(simple(edge), "bridges")
+    lot = min(COMPONENT_EDGES, LOT_EDGES)
+    small, large = _parted(simple(edge), "bridges", lot)
     n, turn = large.count(), 0
     while n:
-        lots = max(1, -(-n // COMPONENT_EDGES))
+        lots = max(1, -(-n // lot))
         thin = large.withColumn("lot", F.pmod(F.xxhash64("u", "v", F.lit(turn)), F.lit(lots))).groupBy("component", "lot").applyInPandas(lambda key, pdf: forests_of(pdf).assign(component=key[0]), "u string, v string, component string")
         large = materialise(thin, "bridges")
         before, n, turn = n, large.count(), turn + 1
@@ -370,9 +395,12 @@ def bridges(edge: DataFrame) -> DataFrame:
 
 def communities(edge: DataFrame) -> DataFrame:
     """(id, community) by Louvain inside each component: those that a task may take on in one, larger ones by joins, with the same result."""
-    small, large = _parted(simple(edge), "louvain")
-    out = small.groupBy("component").applyInPandas(lambda pdf: louvain_of(pdf), "id string, community string")
-    return out if large.isEmpty() else out.union(louvain_wide(large))
+    small, large = _parted(simple(edge), "louvain", COMPONENT_EDGES)
+    # Many small components are one call's work.
+    lots = max(partitions(edge.sparkSession), -(-small.count() // LOT_EDGES))
+    out = small.withColumn("lot", F.pmod(F.xxhash64("component"), F.lit(lots))).groupBy("lot").applyInArrow(lambda table: louvain_of(table), "id string, community string")
+    # Read several times by what compares communities.
+    return materialise(out if large.isEmpty() else out.union(louvain_wide(large)), "louvain")
 
 
 def _betweenness_wide(pairs: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -410,58 +438,80 @@ def betweenness(edge: DataFrame, pivots: int = 500, edges: bool = False) -> Data
     """
     pairs = materialise(simple(edge), "betweenness")
     spark = edge.sparkSession
-    every = materialise(degrees(pairs).select("id"), "nodes")
+    every = _numbered(degrees(pairs).select("id"))
     n = every.count()
     starts = every.orderBy(F.xxhash64("id"), "id").limit(pivots)
     scale = (n / max(1, min(n, pivots))) / max(1, (n * (n - 1)) if edges else (n - 1) * (n - 2))
     if pairs.count() > COMPONENT_EDGES:
-        by_node, by_edge = _betweenness_wide(pairs, materialise(starts, "pivots"))
+        by_node, by_edge = _betweenness_wide(pairs, materialise(starts.select("id"), "pivots"))
     else:
-        nodes, near = _adjacency(pairs.toPandas())
-        at = {x: i for i, x in enumerate(nodes)}
-        shared = spark.sparkContext.broadcast(near)
-        start = spark.createDataFrame([(at[r["id"]],) for r in starts.collect()], "s long").repartition(max(1, min(partitions(spark), n)))
-        sums = start.mapInPandas(_brandes(shared, edges), "i long, j long, b double").groupBy("i", "j").agg(F.sum("b").alias("b"))
-        names = spark.createDataFrame([(i, x) for i, x in enumerate(nodes)], "k long, id string")
-        by_node = names.join(sums, F.col("k") == F.col("i")).select("id", "b")
-        a, b = names.select(F.col("k").alias("i"), F.col("id").alias("u")), names.select(F.col("k").alias("j"), F.col("id").alias("v"))
-        by_edge = sums.join(a, "i").join(b, "j").select("u", "v", "b") if edges else None
+        a, b = every.select(F.col("k").alias("i"), F.col("id").alias("u")), every.select(F.col("k").alias("j"), F.col("id").alias("v"))
+        ends = materialise(pairs.join(a, "u").join(b, "v").select("u", "v", F.least("i", "j").cast("int").alias("i"), F.greatest("i", "j").cast("int").alias("j")), "ends")
+        drawn = ends.select("i", "j").toArrow()
+        i, j = (np.asarray(drawn.column(c)).astype(np.int32) for c in "ij")
+        src, dst = np.append(i, j), np.append(j, i)
+        order = np.argsort(src, kind="stable")
+        shared = spark.sparkContext.broadcast((np.append(0, np.cumsum(np.bincount(src, minlength=n))), dst[order]))
+        # Each task sends a row for each node or edge: no more tasks than can run in two rounds.
+        tasks = max(1, min(partitions(spark), 2 * spark.sparkContext.defaultParallelism, n))
+        start = spark.createDataFrame([(r["k"],) for r in starts.collect()], "s long").repartition(tasks)
+        sums = start.mapInPandas(_brandes(shared, edges), "i int, j int, b double").groupBy("i", "j").agg(F.sum("b").alias("b"))
+        by_node = None if edges else every.join(sums, F.col("k") == F.col("i")).select("id", "b")
+        by_edge = ends.join(sums, ["i", "j"]).select("u", "v", "b") if edges else None
     if edges:
         return by_edge.select("u", "v", F.round(F.col("b") * scale, 9).alias("betweenness"))
-    return every.join(by_node, "id", "left").select("id", F.round(F.coalesce("b", F.lit(0.0)) * scale, 9).alias("betweenness"))
+    return every.select("id").join(by_node, "id", "left").select("id", F.round(F.coalesce("b", F.lit(0.0)) * scale, 9).alias("betweenness"))
+
+
+def _numbered(ids: DataFrame) -> DataFrame:
+    """ids with k, numbers from 0 without a gap: places in their partitions, behind what the partitions before hold."""
+    spark = ids.sparkSession
+    at = materialise(ids.withColumn("m", F.monotonically_increasing_id()), "nodes")
+    sizes = sorted(map(tuple, at.groupBy(F.shiftright("m", 33).alias("p")).agg(F.count(F.lit(1))).collect()))
+    before = np.append(0, np.cumsum([x for _, x in sizes]))
+    shift = spark.createDataFrame([(int(p), int(k)) for (p, _), k in zip(sizes, before, strict=False)], "p long, before long")
+    return materialise(at.withColumn("p", F.shiftright("m", 33)).join(F.broadcast(shift), "p").select("id", (F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("k")), "nodes")
 
 
 def _brandes(shared, edges: bool):
+    """Brandes' sums for the pivots of a task; a level of the search is one step over arrays."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adj = shared.value
+        ptr, dst = shared.value
+        n = len(ptr) - 1
+        total, on = np.zeros(n), np.zeros(len(dst) if edges else 0)
         for frame in frames:
-            total, on = np.zeros(len(adj)), defaultdict(float)
             for s in frame["s"]:
-                order, back, dist, ways = [], [[] for _ in adj], {s: 0}, defaultdict(float)
-                ways[s], queue = 1.0, deque([s])
-                while queue:
-                    u = queue.popleft()
-                    order.append(u)
-                    for v in adj[u]:
-                        if v not in dist:
-                            dist[v] = dist[u] + 1
-                            queue.append(v)
-                        if dist[v] == dist[u] + 1:
-                            ways[v] += ways[u]
-                            back[v].append(u)
-                share = defaultdict(float)
-                for v in reversed(order):
-                    for u in back[v]:
-                        c = ways[u] / ways[v] * (1 + share[v])
-                        share[u] += c
-                        on[min(u, v), max(u, v)] += c
-                    if v != s:
-                        total[v] += share[v]
-            if edges:
-                yield pd.DataFrame({"i": [k[0] for k in on], "j": [k[1] for k in on], "b": list(on.values())})
-            else:
-                at = np.flatnonzero(total)
-                yield pd.DataFrame({"i": at, "j": at, "b": total[at]})
+                seen, ways, front, levels = np.zeros(n, bool), np.zeros(n), np.array([s]), []
+                seen[s], ways[s] = True, 1.0
+                while len(front):
+                    count = ptr[front + 1] - ptr[front]
+                    at = np.repeat(ptr[front] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    fresh = ~seen[dst[at]]
+                    at, near = at[fresh], np.repeat(front, count)[fresh]
+                    sums = np.bincount(dst[at], ways[near], n)
+                    front = np.flatnonzero(sums)
+                    seen[front] = True
+                    ways[front] = sums[front]
+                    levels.append((at.astype(np.int32), near.astype(np.int32)))
+                share = np.zeros(n)
+                for at, near in reversed(levels):
+                    far = dst[at]
+                    c = ways[near] / ways[far] * (1 + share[far])
+                    share += np.bincount(near, c, n)
+                    if edges:
+                        on[at] += c
+                share[s] = 0
+                total += share
+        if edges:
+            at = np.flatnonzero(on)
+            src = np.repeat(np.arange(n, dtype=np.int32), np.diff(ptr))[at]
+            out = pd.DataFrame({"i": np.minimum(src, dst[at]), "j": np.maximum(src, dst[at]), "b": on[at]})
+        else:
+            at = np.flatnonzero(total)
+            out = pd.DataFrame({"i": at, "j": at, "b": total[at]})
+        for k in range(0, len(out), 1 << 16):
+            yield out[k : k + (1 << 16)]
 
     return run
 
