@@ -10,6 +10,7 @@ from dossier.llm.bitmap import marked
 from dossier.llm.curriculum import training_order
 from dossier.llm.decontaminate import decontaminate
 from dossier.llm.gru_langid import UNKNOWN, learn, predict
+from dossier.llm.memory import release
 from dossier.llm.queries import tokenizer_path
 from dossier.llm.simhash import near_duplicates
 from dossier.llm.token_files import read_token_files, write_token_files
@@ -85,6 +86,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null text has its end id only; rows are told apart by their start, so repeated ones stay.
     """
     prepare(spark)
+    release(spark)
     out = table_path(spark, "tokens")
     try:
         stored = bool(docs.select("_metadata.row_index").columns)

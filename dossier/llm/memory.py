@@ -6,6 +6,8 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 _state: dict[str, object] = {"owner": None, "libc": None, "caches": []}
 
@@ -53,3 +55,15 @@ def lean(owner: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             _trim()
 
     return wrapped
+
+
+def release(spark: SparkSession) -> None:
+    """Garbage of the driver's and the executors' JVMs is collected and its pages go back to the system.
+
+    A JVM keeps the heap that an earlier stage's shuffles made it take. Beside Python workers with caches of
+    their own that is memory twice. One short task for each core; a result depends on none of them.
+    """
+    sc = spark.sparkContext
+    sc._jvm.System.gc()
+    n = sc.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
