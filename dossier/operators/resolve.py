@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions import text as X
+from dossier.operators import linkage as L
 from dossier.operators.cosines import cosines
 from dossier.plans.components import connected_components
 from dossier.session import discard, materialise, partitions
@@ -292,20 +293,18 @@ def merge_records(entity: DataFrame, id_map: DataFrame, via: str) -> DataFrame:
 def fellegi_sunter(entity: DataFrame, threshold: float = 0.9, rounds: int = 20) -> DataFrame:
     """(id, canonical) by probabilistic linkage of names (Fellegi and Sunter 1969).
 
-    Pairs share a type and a name key's first word; three comparisons (whole key, last word, length)
-    make eight patterns. The expectation-maximisation runs on the counts of patterns, which is all
-    that reaches the driver. Under four entities, or without pairs, everyone is themselves.
+    Pairs share a type and a name key's first word; three comparisons (whole key within two edits, last
+    word, length) make eight patterns. The expectation-maximisation runs on the counts of patterns, which is
+    all that reaches the driver. Counts come from automata and histograms, and links from shared remainders of keys,
+    so a first word that all have costs no pair of each; only if the sure patterns are not all those that agree in
+    some comparisons are the pairs formed. Under four entities, or without pairs, everyone is themselves.
     """
     key = X.norm_name(F.col("label"))
     base = entity.select("id", "entity_type", key.alias("k")).where("k is not null")
     words = F.split("k", " ")
     one = base.groupBy("entity_type", "k").agg(F.min("id").alias("rep")).withColumn("first", words[0]).withColumn("last", F.element_at(words, -1))
-    side = lambda s: one.select("entity_type", "first", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "k", "last")])
-    pairs = side("a").join(side("b"), ["entity_type", "first"]).where("rep_a < rep_b")
-    bit = lambda c: c.cast("int")
-    pattern = bit(F.levenshtein("k_a", "k_b") <= 2) * 4 + bit(F.col("last_a") == F.col("last_b")) * 2 + bit(F.abs(F.length("k_a") - F.length("k_b")) <= 1)
-    pairs = materialise(pairs.select("rep_a", "rep_b", pattern.alias("pattern")), "fs")
-    counts = {r[0]: r[1] for r in pairs.groupBy("pattern").agg(F.count(F.lit(1))).collect()}
+    one = materialise(one, "fs")
+    counts = L.patterns(one)
     same = by_key(entity.withColumn("_fs", F.col("id")), key, "_fs")
     if not counts or entity.limit(4).count() < 4:
         return same
@@ -325,5 +324,5 @@ def fellegi_sunter(entity: DataFrame, threshold: float = 0.9, rounds: int = 20)
             m[i] = min(0.999, max(0.001, sum(n * o for n, o in on) / max(1e-9, match)))
             u[i] = min(0.999, max(0.001, sum(n * (1 - o) for n, o in on) / max(1e-9, total - match)))
     sure = [p for p, o in odds.items() if o >= threshold]
-    comp = connected_components(pairs.where(F.col("pattern").isin(*sure) if sure else F.lit(False)), "rep_a", "rep_b")
+    comp = connected_components(L.links(one, set(counts), set(sure)), "rep", "head")
     return same.join(comp, F.col("canonical") == F.col("node"), "left").select("id", F.coalesce("component", "canonical").alias("canonical"))
