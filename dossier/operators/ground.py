@@ -11,26 +11,34 @@ from dossier.functions import text as X
 BROADCAST_LABELS = 500_000
 #: Different first words of labels that may travel in the plan as a set; beyond it the join alone sifts.
 FIRST_WORDS = 20_000
+#: Runs of a label that it is looked up by, at most.
+KEY_RUNS = 16
 
 
 def mentions(entity: DataFrame, chunk: DataFrame, id_col: str = "id", label_col: str = "label", chunk_col: str = "id", body_col: str = "body") -> DataFrame:
     """(entity, chunk): the label stands in the chunk as whole words.
 
-    Not every label is tried on every chunk: a label's first run of word characters is looked up among
-    the different runs of each chunk, an equi-join, and only then is the pattern tried. A label without
-    such a run, or shorter than two characters, matches nothing.
+    Not every label is tried on every chunk: a label's runs of word characters, the first KEY_RUNS of
+    them, are looked up among the chunk's sequences of as many runs, an equi-join, and only then is the
+    pattern tried. A label without such a run, or shorter than two characters, matches nothing.
     """
+    runs = lambda c: F.filter(F.split(c, r"(?U)\W+"), lambda w: w != "")
     labels = entity.select(F.col(id_col).alias("entity"), X.norm(F.col(label_col)).alias("_label")).where("length(_label) >= 2")
-    labels = labels.withColumn("_word", F.regexp_extract("_label", r"(?U)(\w+)", 1)).where("_word <> ''")
+    labels = labels.withColumn("_runs", F.slice(runs("_label"), 1, KEY_RUNS)).where("size(_runs) > 0")
+    labels = labels.select("entity", "_label", F.get("_runs", F.lit(0)).alias("_word"), F.size("_runs").alias("_n"), F.xxhash64("_runs").alias("_key"))
     body = chunk.select(F.col(chunk_col).alias("chunk"), X.norm(F.col(body_col)).alias("_body"))
-    runs = F.array_distinct(F.split("_body", r"(?U)\W+"))
+    body = body.select("chunk", "_body", runs("_body").alias("_runs"))
     first = [r[0] for r in labels.select("_word").distinct().limit(FIRST_WORDS + 1).collect()]
+    sizes = sorted(r[0] for r in labels.select("_n").distinct().collect())  # KEY_RUNS at most
+    places = F.when(F.size("_runs") > 0, F.sequence(F.lit(1), F.size("_runs"))).otherwise(F.array().cast("array<int>"))
     if len(first) <= FIRST_WORDS:
-        # A chunk is repeated for the runs that begin a label only.
-        runs = F.filter(runs, lambda w: w.isin(first)) if first else F.array().cast("array<string>")
-    words = body.select("chunk", "_body", F.explode(runs).alias("_word")).where("_word <> ''")
+        # Sequences are made where a label may begin only.
+        places = F.filter(places, lambda i: F.get("_runs", i - 1).isin(first)) if first else F.array().cast("array<int>")
+    keys = F.transform(places, lambda i: F.array_compact(F.array(*[F.when(i + (n - 1) <= F.size("_runs"), F.xxhash64(F.slice("_runs", i, n))) for n in sizes] or [F.lit(None).cast("long")])))
+    words = body.select("chunk", "_body", F.explode(F.array_distinct(F.flatten(keys))).alias("_key"))
     few = labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    return words.join(F.broadcast(labels) if few else labels, "_word").where(X.whole_word(F.col("_label"), F.col("_body"))).select("entity", "chunk").distinct()
+    labels = labels.select("entity", "_label", "_key")
+    return words.join(F.broadcast(labels) if few else labels, "_key").where(X.whole_word(F.col("_label"), F.col("_body"))).select("entity", "chunk").distinct()
 
 
 def ground_entities(entity: DataFrame, found: DataFrame) -> DataFrame:
